@@ -46,7 +46,7 @@ def gathered(turns: DataFrame) -> DataFrame:
     A conversation is one training sequence, so its own rows meet; conversations are never grouped with each other.
     """
     one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = turns.select(F.col("conv_id").cast("long").alias("conv_id"), one.alias("one")).groupBy("conv_id").agg(F.array_sort(F.collect_list("one")).alias("turns"))
+    convs = turns.select(F.col("conv_id").cast("long").alias("conv_id"), one.alias("one")).groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("turns"))
     return convs.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])))
 
 

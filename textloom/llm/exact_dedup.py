@@ -16,7 +16,7 @@ from textloom.llm.shared import materialise, table
 
 def _pruned(items, k: int):
     """Misra-Gries prune of an array<struct<n, key>>: subtract the (k+1)th largest count, keep what stays positive."""
-    top = F.slice(F.reverse(F.array_sort(items)), 1, k + 1)
+    top = F.slice(F.sort_array(items, asc=False), 1, k + 1)
     least = F.when(F.size(top) > k, F.element_at(top, -1)["n"]).otherwise(F.lit(0))
     return F.filter(F.transform(top, lambda x: F.struct((x["n"] - least).alias("n"), x["key"].alias("key"))), lambda x: x["n"] > 0)
 

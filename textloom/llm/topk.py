@@ -83,7 +83,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id"
         sent = spark.sparkContext.broadcast([(r[0], np.array(r[1], np.int64)) for r in part])
         one = spread.mapInArrow(lambda it, sent=sent: _search(it, sent.value, k), "query_id long, score long, vec_id long")
         found = one if found is None else found.unionByName(one)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("vec_id").alias("vec_id")))), 1, k)
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("vec_id").alias("vec_id")))), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
 

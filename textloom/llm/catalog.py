@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from textloom.llm import bpe, chat_tree, exact_dedup, topk, warc
+from textloom.llm import bpe, chat_tree, exact_dedup, langid, line_dedup, minhash, mixing, secrets, topk, warc
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+        "op2_fuzzy_line_dedup": line_dedup.op2_fuzzy_line_dedup,
         "op3_chat_tree": chat_tree.op3_chat_tree,
+        "op4_rake_mixing": mixing.op4_rake_mixing,
         "op5_warc": warc.op5_warc,
+        "op6_secret_scan": secrets.op6_secret_scan,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_threshold_top_k": topk.op8_threshold_top_k,
+        "op9_language_id": langid.op9_language_id,
         "op10_byte_bpe": bpe.op10_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }

@@ -26,3 +26,88 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialise(small, "small-star")
         before, now = now, _print(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+SMALL_BAND, LEADER_ROUNDS, BLOCK = 24, 3, 128
+
+
+class Linker:
+    """Components of nodes that share bands, without all-pairs lists.
+
+    bands(band, node, size): members of bands with at least two. verify(pairs(a, b)) returns the linked pairs. compare is a
+    function of two lists of rows (node, root, *more) that returns likely pairs, more(nodes) the columns that it needs.
+    First each band's members are compared with one leader; then only members that the links so far leave in other
+    components are compared further: small bands in full, large ones with new leaders and at last block by block.
+    """
+
+    def __init__(self, bands: DataFrame, verify, compare, details: DataFrame):
+        self.bands, self.verify, self.compare, self.details = bands, verify, compare, details
+        self.tested, self.roots = None, None
+
+    def labelled(self) -> DataFrame:
+        """(band, node, root, size) of the bands that hold more than one component."""
+        if self.roots is None:
+            return self.bands.withColumn("root", F.col("node"))
+        rows = self.bands.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = rows.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
+        return materialise(rows.join(open_, "band"), "open-bands")
+
+    def test(self, pairs: DataFrame) -> None:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        links = materialise(self.verify(pairs).select("a", "b"), "links")
+        if links.take(1):
+            self._join(links)
+
+    def _join(self, links: DataFrame) -> None:
+        if self.roots is None:
+            self.roots = materialise(components(links), "roots")
+            return
+        root = lambda name: self.roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+        over = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        more = components(over).withColumnRenamed("root", "top")
+        old = self.roots.join(more.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        new = more.join(self.roots, "node", "left_anti").select("node", F.col("top").alias("root"))
+        self.roots = materialise(old.unionByName(new), "roots")
+
+    def _leaders(self, rows: DataFrame, seed: int) -> DataFrame:
+        first = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("leader"), F.col("root").alias("led"))).alias("l")).select("band", "l.leader", "l.led")
+        return rows.join(first, "band").filter("root <> led").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+    def run(self) -> DataFrame | None:
+        """(node, root) of all linked nodes, or None if there are no links."""
+        self.test(self._leaders(self.labelled(), 0))
+        for seed in range(1, LEADER_ROUNDS + 1):
+            rows = self.labelled()
+            few, many = rows.filter(F.col("size") <= SMALL_BAND), rows.filter(F.col("size") > SMALL_BAND)
+            x = few.select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
+            y = few.select("band", F.col("node").alias("b"), F.col("root").alias("rb"))
+            within = x.join(y, "band").filter("a < b AND ra <> rb").select("a", "b")  # at most SMALL_BAND partners a row
+            last = not many.take(1)
+            self.test(within if last else within.unionByName(self._leaders(many, seed)))
+            if last:
+                return self.roots
+        self._blocks(self.labelled().filter(F.col("size") > SMALL_BAND))
+        return self.roots
+
+    def _blocks(self, rows: DataFrame) -> None:
+        """What is still open in large bands: blocks of about BLOCK members against each other."""
+        if not rows.take(1):
+            return
+        more, compare = [c for c in self.details.columns if c != "node"], self.compare
+        n = F.ceil(F.col("size") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), n).cast("int")
+        dealt = rows.join(self.details, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+        dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+
+        def block(pdf):
+            import pandas as pd
+
+            recs, two = list(pdf[["own", "node", "root", *more]].itertuples(index=False, name=None)), pdf["x"].iloc[0] != pdf["y"].iloc[0]
+            out = [(p[1], q[1]) for i, p in enumerate(recs) for q in recs[:i] if p[2] != q[2] and not (two and p[0] == q[0]) and compare(p[3:], q[3:])]
+            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+        self.test(dealt.groupBy("band", "x", "y").applyInPandas(block, "a long, b long"))

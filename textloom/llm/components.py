@@ -34,14 +34,15 @@ SMALL_BAND, LEADER_ROUNDS, BLOCK = 24, 3, 128
 class Linker:
     """Components of nodes that share bands, without all-pairs lists.
 
-    bands(band, node, size): members of bands with at least two. verify(pairs(a, b)) returns the linked pairs. compare is a
-    function of two lists of rows (node, root, *more) that returns likely pairs, more(nodes) the columns that it needs.
+    bands(band, node, size): members of bands with at least two. verify(pairs(a, b)) returns the linked pairs.
+    link_block(left, right, find) yields the places of linked rows of two lists of (node, root, *details); pairs whose roots
+    find() already gives one component may be left out. details(node, ...) holds the columns that it needs.
     First each band's members are compared with one leader; then only members that the links so far leave in other
     components are compared further: small bands in full, large ones with new leaders and at last block by block.
     """
 
-    def __init__(self, bands: DataFrame, verify, compare, details: DataFrame):
-        self.bands, self.verify, self.compare, self.details = bands, verify, compare, details
+    def __init__(self, bands: DataFrame, verify, link_block, details: DataFrame):
+        self.bands, self.verify, self.link_block, self.details = bands, verify, link_block, details
         self.tested, self.roots = None, None
 
     def labelled(self) -> DataFrame:
@@ -94,20 +95,43 @@ class Linker:
         return self.roots
 
     def _blocks(self, rows: DataFrame) -> None:
-        """What is still open in large bands: blocks of about BLOCK members against each other."""
+        """What is still open in large bands: members outside a band's largest component against all members, block by block.
+
+        A block links its own members in full and returns a spanning forest, at most one link for each of its members.
+        """
         if not rows.take(1):
             return
-        more, compare = [c for c in self.details.columns if c != "node"], self.compare
-        n = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), n).cast("int")
-        dealt = rows.join(self.details, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-        dealt = dealt.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+        sizes = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all")).select("band", F.col("m.root").alias("main"), F.col("all"), (F.col("all") - F.col("m.n")).alias("minor"))
+        rows = materialise(rows.select("band", "node", "root").join(main, "band"), "open-members")
+        count = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+        own = lambda c: F.pmod(F.xxhash64("node"), count(c)).cast("int")
+        minor = rows.filter("root <> main").select("band", "node", "root", F.lit(True).alias("left"), own("minor").alias("x"), F.explode(F.sequence(F.lit(0), count("all") - 1)).alias("y"))
+        whole = rows.select("band", "node", "root", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), count("minor") - 1)).alias("x"), own("all").alias("y"))
+        more, link = [c for c in self.details.columns if c != "node"], self.link_block
+        dealt = minor.unionByName(whole).join(self.details, "node")
 
         def block(pdf):
             import pandas as pd
 
-            recs, two = list(pdf[["own", "node", "root", *more]].itertuples(index=False, name=None)), pdf["x"].iloc[0] != pdf["y"].iloc[0]
-            out = [(p[1], q[1]) for i, p in enumerate(recs) for q in recs[:i] if p[2] != q[2] and not (two and p[0] == q[0]) and compare(p[3:], q[3:])]
+            part = lambda flag: list(pdf.loc[pdf["left"] == flag, ["node", "root", *more]].itertuples(index=False, name=None))
+            left, right = part(True), part(False)
+            top = {r: r for _, r, *_ in left + right}
+
+            def find(r):
+                while top[r] != r:
+                    top[r] = top[top[r]]
+                    r = top[r]
+                return r
+
+            out = []
+            for i, j in link(left, right, find):
+                a, b = find(left[i][1]), find(right[j][1])
+                if a != b:
+                    top[a] = b
+                    out.append((left[i][0], right[j][0]))
             return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-        self.test(dealt.groupBy("band", "x", "y").applyInPandas(block, "a long, b long"))
+        links = materialise(dealt.groupBy("band", "x", "y").applyInPandas(block, "a long, b long"), "links")
+        if links.take(1):
+            self._join(links)

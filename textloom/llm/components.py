@@ -28,20 +28,24 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-SMALL_BAND, LEADER_ROUNDS, BLOCK = 24, 3, 128
+SMALL_BAND, LEADER_ROUNDS, BLOCK = 24, 2, 128
 
 
 class Linker:
     """Components of nodes that share bands, without all-pairs lists.
 
-    bands(band, node, size): members of bands with at least two. verify(pairs(a, b)) returns the linked pairs.
+    bands(band, node, size, mark): members of bands with at least two; near(mark, mark) drops pairs before anything is
+    shuffled (both optional). verify(pairs(a, b)) returns the linked pairs.
     link_block(left, right, find) yields the places of linked rows of two lists of (node, root, *details); pairs whose roots
     find() already gives one component may be left out. details(node, ...) holds the columns that it needs.
     First each band's members are compared with one leader; then only members that the links so far leave in other
     components are compared further: small bands in full, large ones with new leaders and at last block by block.
     """
 
-    def __init__(self, bands: DataFrame, verify, link_block, details: DataFrame):
+    def __init__(self, bands: DataFrame, verify, link_block, details: DataFrame, near=None):
+        if near is None:
+            bands = bands.withColumn("mark", F.lit(0))
+        self.near = near or (lambda x, y: F.lit(True))
         self.bands, self.verify, self.link_block, self.details = bands, verify, link_block, details
         self.tested, self.roots = None, None
 
@@ -75,8 +79,8 @@ class Linker:
         self.roots = materialise(old.unionByName(new), "roots")
 
     def _leaders(self, rows: DataFrame, seed: int) -> DataFrame:
-        first = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("leader"), F.col("root").alias("led"))).alias("l")).select("band", "l.leader", "l.led")
-        return rows.join(first, "band").filter("root <> led").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        first = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("leader"), F.col("root").alias("led"), F.col("mark").alias("led_mark"))).alias("l")).select("band", "l.leader", "l.led", "l.led_mark")
+        return rows.join(first, "band").filter("root <> led").filter(self.near(F.col("mark"), F.col("led_mark"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
     def run(self) -> DataFrame | None:
         """(node, root) of all linked nodes, or None if there are no links."""
@@ -84,9 +88,9 @@ class Linker:
         for seed in range(1, LEADER_ROUNDS + 1):
             rows = self.labelled()
             few, many = rows.filter(F.col("size") <= SMALL_BAND), rows.filter(F.col("size") > SMALL_BAND)
-            x = few.select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
-            y = few.select("band", F.col("node").alias("b"), F.col("root").alias("rb"))
-            within = x.join(y, "band").filter("a < b AND ra <> rb").select("a", "b")  # at most SMALL_BAND partners a row
+            x = few.select("band", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("mark").alias("ma"))
+            y = few.select("band", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("mark").alias("mb"))
+            within = x.join(y, "band").filter("a < b AND ra <> rb").filter(self.near(F.col("ma"), F.col("mb"))).select("a", "b")  # at most SMALL_BAND partners a row
             last = not many.take(1)
             self.test(within if last else within.unionByName(self._leaders(many, seed)))
             if last:

@@ -2,10 +2,208 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from textloom.functions import chunking, cleaning
+from textloom.functions.cleaning import CleanOptions
+from textloom.operators import export, structure
+from textloom.sources import files
+
+ROUND = 6
+
+
+def _table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Cleaned texts are used several times below; a shuffle by key keeps the expressions from being computed over and over."""
+    return df.repartition("doc_id")
+
+
+def _chunks(df: DataFrame, strategy: str = "Length-based", size: int = 500, overlap: int = 10) -> DataFrame:
+    return chunking.chunk(df, strategy, size, overlap).select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "text", "start", "end")
+
+
+def _mapped(step):
+    return lambda spark, d: _docs(spark, d).select("doc_id", step(F.col("text")).alias("cleaned"))
+
+
+def _cleaned(spark, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", "text", cleaning.clean_text(F.col("text")).alias("cleaned"))
+
+
+def _summary(spark, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "lang", "source", cleaning.clean_text(F.col("text")).alias("text"))
+    chunks = chunking.chunk(_spread(docs))
+    return chunks.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
+def _headed(spark, d: str) -> DataFrame:
+    turns = _table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    text = F.array_join(F.transform("t", lambda t: F.concat(F.lit("## "), t["role"], F.lit("\n"), t["text"])), "\n")
+    return _chunks(turns.select(F.col("conv_id").alias("doc_id"), text.alias("text")), "Structure-based")
+
+
+def _pages(spark, d: str) -> DataFrame:
+    pages = _table(spark, d, "pages")
+    raw = pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.col("page_id").alias("ordinal"), F.col("html").cast("binary").alias("content"))
+    return files.extract_documents(raw).select(F.col("ordinal").alias("page_id"), "content", "metadata")
+
+
+def _typed(spark, d: str) -> DataFrame:
+    exts = F.array(*map(F.lit, ["txt", "MD", "html", "docx", "XLSX", "pptx", "pdf", "csv", ""]))
+    name = F.concat(F.lit("file"), F.col("page_id").cast("string"), F.lit("."), F.get(exts, (F.col("page_id") % 9).cast("int")))
+    return _table(spark, d, "pages").select("page_id", name.alias("filename")).select("page_id", "filename", files.type_of(F.col("filename")).alias("type"))
+
+
+def _with_metadata(spark, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "text", F.struct(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit("text").alias("type")).alias("metadata"))
+    return chunking.chunk(docs)
+
+
+def _edges(spark, d: str, above: float = 0.3) -> DataFrame:
+    return structure.similarity_edges(_table(spark, d, "embeddings"), "vec_id", "embedding", above)
+
+
+def _centrality(spark, d: str) -> DataFrame:
+    return structure.degree_centrality(_table(spark, d, "embeddings"), _edges(spark, d), "vec_id")
+
+
+def _topic_argmax(spark, d: str) -> DataFrame:
+    rows = _table(spark, d, "embeddings").select("label", F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x.cast("double"), 4)).alias("s"))
+    return structure.main_topic(rows, "label", "s").select("label", F.col("topic_id").cast("long").alias("topic_id"))
+
+
+def _lda(spark, d: str) -> DataFrame:
+    return structure.topics(_docs(spark, d), "text", iterations=5)[0]
+
+
+def _stats(spark, d: str) -> DataFrame:
+    return _spread(_cleaned(spark, d)).select("doc_id", *(v.alias(k) for k, v in cleaning.clean_stats(F.col("text"), F.col("cleaned")).items()))
+
+
+def _preview(spark, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", F.struct(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"), F.lit("text").alias("type"), F.octet_length("text").alias("size"), F.lit(None).cast("string").alias("language")).alias("metadata"))
+    return export.preview(docs)
+
+
+def _dedupe(spark, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select(F.md5(F.col("text").cast("binary")).alias("name"), "doc_id")
+    return export.last_wins(docs, "name", "doc_id")
+
+
+def _hierarchy(spark, d: str) -> DataFrame:
+    vectors = _table(spark, d, "embeddings")
+    return structure.cluster_hierarchy(vectors, "vec_id", "embedding", F.concat_ws("-", "label", F.floor(F.col("vec_id") / 20_000).cast("string")))
+
 
 def queries() -> dict:
-    return {}
+    paragraphs = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return {
+        "clean_then_chunk_summary": _summary,
+        "chunk_length": lambda s, d: _chunks(_docs(s, d)),
+        "chunk_length_paragraphs": lambda s, d: _chunks(_docs(s, d).withColumn("text", paragraphs)),
+        "chunk_structure_paragraphs": lambda s, d: _chunks(_docs(s, d).withColumn("text", paragraphs), "Structure-based"),
+        "chunk_structure_headers": _headed,
+        "chunk_semantic": lambda s, d: _chunks(_docs(s, d), "Semantic"),
+        "clean_urls": lambda s, d: _table(s, d, "pages").select("page_id", F.regexp_replace(F.concat(F.lit("see "), "url", F.lit(" now")), cleaning.URL, "").alias("cleaned")),
+        "clean_emails": _mapped(lambda t: F.regexp_replace(t, cleaning.EMAIL, "")),
+        "clean_phones": _mapped(lambda t: F.regexp_replace(t, cleaning.PHONE, "")),
+        "clean_numbers": _mapped(lambda t: F.regexp_replace(t, f"{cleaning.DIGIT}+", "")),
+        "clean_special": _mapped(lambda t: F.regexp_replace(t, cleaning.SPECIAL, "")),
+        "clean_headers_footers": _mapped(lambda t: F.when(cleaning.repeated_line_abort(t), "abort").otherwise(cleaning.remove_headers_footers(t))),
+        "clean_line_breaks": _mapped(cleaning.fix_line_breaks),
+        "clean_whitespace": _mapped(lambda t: cleaning.strip(cleaning.collapse_spaces(t))),
+        "clean_empty_lines": lambda s, d: _docs(s, d).select("doc_id", cleaning.remove_empty_lines(paragraphs).alias("cleaned")),
+        "clean_default": lambda s, d: _cleaned(s, d).select("doc_id", "cleaned"),
+        "clean_stats": _stats,
+        "type_dispatch": _typed,
+        "html_text": lambda s, d: _pages(s, d).select("page_id", "content"),
+        "html_meta": lambda s, d: _pages(s, d).select("page_id", F.size("metadata.meta_tags").alias("n_tags"), "metadata.size", "metadata.size_bytes"),
+        "preview": _preview,
+        "export_csv_projection": lambda s, d: export.csv_projection(_with_metadata(s, d)),
+        "export_jsonl": lambda s, d: export.json_lines(_with_metadata(s, d)),
+        "export_markdown": lambda s, d: _with_metadata(s, d).select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), export.markdown_block(F.col("metadata.filename"), F.col("text")).alias("block")),
+        "vector_records": lambda s, d: export.vector_records(chunking.chunk(_docs(s, d)).select("doc_id", "chunk_ix", "start", "end"), ["doc_id", "chunk_ix"], "doc_id").select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "row_id", "id", "batch", "start", "end"),
+        "dedupe_last_wins": _dedupe,
+        "doc_similarity_edges": lambda s, d: _edges(s, d).withColumn("similarity", F.round("similarity", ROUND)),
+        "doc_degree_centrality": lambda s, d: _centrality(s, d).withColumn("centrality", F.round("centrality", ROUND)),
+        "central_documents": lambda s, d: structure.central_documents(_centrality(s, d).withColumn("centrality", F.round("centrality", ROUND)), "vec_id"),
+        "cluster_summary": lambda s, d: _table(s, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.sort_array(F.collect_list("vec_id")).cast("array<string>"), ",").alias("members")),
+        "cluster_hierarchy": _hierarchy,
+        "term_counts": lambda s, d: structure.term_counts(_docs(s, d), "doc_id", "text"),
+        "topics_lda": _lda,
+        "topic_argmax": _topic_argmax,
+        "language_detect": lambda s, d: _docs(s, d).select("doc_id", files.detect_language(F.col("text")).alias("language")),
+    }
+
+
+_LENGTH = """r AS (SELECT doc_id, text, n, 0 AS ord, 0 AS s, {end} AS e FROM (SELECT doc_id, text, length(text) AS n, 0 AS s0 FROM t) WHERE n > 0
+  UNION ALL SELECT doc_id, text, n, ord + 1, e - 10, {next} FROM r WHERE e - 10 < n),
+c AS (SELECT doc_id, ord, s, e, regexp_replace(substring(text, s + 1, e - s), '^\\s+|\\s+$', '', 'g') AS text FROM r)"""
+
+
+def _end(s: str) -> str:
+    near, dot = f"strpos(substring(text, {s} + 451, 100), chr(10) || chr(10))", f"strpos(substring(text, {s} + 471, 60), '.')"
+    return f"(CASE WHEN {s} + 500 >= n THEN {s} + 500 WHEN {near} > 0 THEN {s} + 450 + {near} - 1 WHEN {dot} > 0 THEN {s} + 470 + {dot} ELSE {s} + 500 END)"
+
+
+def _length_sql(source: str, select: str) -> str:
+    return f"WITH RECURSIVE t AS ({source}), {_LENGTH.format(end=_end('s0'), next=_end('(e - 10)'))} {select}"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    chunks = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS chunk_ix, text, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\" FROM c WHERE text <> ''"
+    docs, spread = "SELECT doc_id, text FROM documents", "SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents"
+    same = lambda pattern: f"SELECT doc_id, regexp_replace(text, '{pattern}', '', 'g') AS cleaned FROM documents"
+    lines = """l AS (SELECT *, string_split(text, chr(10)) AS ls, len(string_split(text, chr(10))) AS n, len(string_split(text, chr(10))) // 2 AS h FROM documents),
+m AS (SELECT *, CASE WHEN n < 3 THEN NULL WHEN ls[1] = ls[1 + h] THEN ls[1] WHEN ls[2] = ls[2 + h] THEN ls[2] WHEN n >= 5 AND ls[3] = ls[3 + h] THEN ls[3] END AS hd,
+  CASE WHEN n < 3 THEN NULL WHEN ls[n] = ls[n - h] THEN ls[n] WHEN n - 1 - h >= 1 AND ls[n - 1] = ls[n - 1 - h] THEN ls[n - 1] WHEN n - 2 - h >= 1 AND ls[n - 2] = ls[n - 2 - h] THEN ls[n - 2] END AS ft,
+  n IN (3, 4) AND NOT (ls[1] = ls[1 + h] OR ls[2] = ls[2 + h]) AS stop FROM l),
+k AS (SELECT *, CASE WHEN n < 3 THEN text ELSE array_to_string(list_filter(ls, lambda x: x IS DISTINCT FROM hd AND x IS DISTINCT FROM ft AND NOT regexp_full_match(trim(x), '(Page [0-9]+( of [0-9]+)?|[0-9]+)')), chr(10)) END AS body FROM m),
+cl AS (SELECT *, CASE WHEN stop THEN text ELSE trim(regexp_replace(regexp_replace(body, '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', '\\1\\2', 'g'), '\\s+', ' ', 'g')) END AS cleaned FROM k)"""
+    dots = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+    edges = f"e AS (SELECT a.vec_id AS source, b.vec_id AS target, {dots} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {dots} > 0.3)"
+    centrality = f"WITH {edges}, d AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id) SELECT vec_id, round(coalesce(d.n, 0) / ((SELECT count(*) FROM embeddings) - 1), {ROUND}) AS centrality FROM embeddings LEFT JOIN d ON id = vec_id"
+    votes = {k: " + ".join(f"CAST(list_contains(w, '{x}') AS INT)" for x in v) for k, v in files.STOP_WORDS.items()}
+    return {
+        "clean_then_chunk_summary": f"WITH RECURSIVE {lines}, t AS (SELECT doc_id, cleaned AS text FROM cl), {_LENGTH.format(end=_end('s0'), next=_end('(e - 10)'))} SELECT lang, source, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, CAST(sum(length(c.text)) AS BIGINT) AS n_chars FROM c JOIN documents USING (doc_id) WHERE c.text <> '' GROUP BY lang, source",
+        "chunk_length": _length_sql(docs, chunks),
+        "chunk_length_paragraphs": _length_sql(spread, chunks),
+        "chunk_structure_paragraphs": f"""WITH t AS ({spread}), p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS x, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM t),
+q AS (SELECT *, coalesce(sum(length(x) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_ix FROM p WHERE trim(x) <> '')
+SELECT doc_id, chunk_ix, trim(x) AS text, CAST(s AS BIGINT) AS start, CAST(s + length(x) AS BIGINT) AS "end" FROM q""",
+        "chunk_structure_headers": """WITH t AS (SELECT conv_id AS doc_id, turn, role, text FROM conversations WHERE text IS NOT NULL AND trim(text, chr(10) || ' ') <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn) - 1 AS chunk_ix, '## ' || role || chr(10) || chr(10) || text AS text, CAST(-1 AS BIGINT) AS start, CAST(length('## ' || role || chr(10) || chr(10) || text) - 1 AS BIGINT) AS "end" FROM t""",
+        "clean_urls": r"SELECT page_id, regexp_replace('see ' || url || ' now', 'https?://[a-zA-Z0-9$-_@.&+!*\\(),]+', '', 'g') AS cleaned FROM pages",
+        "clean_emails": same(r"[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"),
+        "clean_phones": same(r"\+?\d{1,4}?[-.\s]?\(?\d{1,3}?\)?[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}"),
+        "clean_numbers": same(r"\p{Nd}+"),
+        "clean_special": same(r"[^\p{L}\p{N}_\s.,!?-]"),
+        "clean_headers_footers": f"WITH {lines} SELECT doc_id, CASE WHEN stop THEN 'abort' ELSE body END AS cleaned FROM cl",
+        "clean_line_breaks": r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([.!?])\s*\n([A-Z])', '\1' || chr(10) || chr(10) || '\2', 'g'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '([^.!?])\n([a-z])', '\1 \2', 'g') AS cleaned FROM documents",
+        "clean_whitespace": r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS cleaned FROM documents",
+        "clean_empty_lines": f"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10)) AS cleaned FROM ({spread})",
+        "clean_default": f"WITH {lines} SELECT doc_id, cleaned FROM cl",
+        "clean_stats": f"WITH {lines} SELECT doc_id, length(text) AS original_length, length(cleaned) AS cleaned_length, round((1 - length(cleaned) / length(text)) * 100, 2) AS reduction_percentage, length(text) - length(cleaned) AS removed_characters, CAST(len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS BIGINT) AS original_lines, CAST(len(string_split(regexp_replace(cleaned, '\\n$', ''), chr(10))) AS BIGINT) AS cleaned_lines FROM cl",
+        "type_dispatch": "SELECT page_id, 'file' || page_id || '.' || (['txt', 'MD', 'html', 'docx', 'XLSX', 'pptx', 'pdf', 'csv', ''])[page_id % 9 + 1] AS filename, (['text', 'markdown', 'html', 'docx', 'xlsx', 'pptx', 'pdf', NULL, 'text'])[page_id % 9 + 1] AS type FROM pages",
+        "html_meta": "SELECT page_id, CAST(0 AS INTEGER) AS n_tags, CAST(0 AS BIGINT) AS size, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM pages",
+        "preview": "SELECT 'doc' || doc_id AS filename, 'text' AS type, printf('%.1f KB', octet_length(encode(text)) / 1024) AS size, 'unknown' AS language FROM documents",
+        "export_csv_projection": _length_sql(docs, "SELECT text, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", 'length_based' AS strategy, 'doc' || doc_id || '.txt' AS filename, 'text' AS type FROM c WHERE text <> ''"),
+        "export_markdown": _length_sql(docs, "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS chunk_ix, '## Chunk from doc' || doc_id || '.txt' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) AS block FROM c WHERE text <> ''"),
+        "vector_records": _length_sql(docs, "SELECT doc_id, chunk_ix, row_id, 'chunk_' || row_id AS id, row_id // 100 AS batch, start, \"end\" FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS chunk_ix, row_number() OVER (ORDER BY doc_id, ord) - 1 AS row_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\" FROM c WHERE text <> '')"),
+        "dedupe_last_wins": "SELECT md5(text) AS name, max(doc_id) AS doc_id, min(doc_id) AS position FROM documents GROUP BY md5(text)",
+        "doc_similarity_edges": f"WITH {edges} SELECT source, target, round(similarity, {ROUND}) AS similarity FROM e",
+        "doc_degree_centrality": centrality,
+        "central_documents": f"SELECT * FROM ({centrality}) ORDER BY centrality DESC, vec_id LIMIT 3",
+        "cluster_summary": "SELECT label, count(*) AS size, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY label",
+        "term_counts": r"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY doc_id, term",
+        "topic_argmax": "WITH s AS (SELECT label, t AS topic_id, avg(round(CAST(embedding[t + 1] AS DOUBLE), 4)) AS p FROM embeddings, range(5) r(t) GROUP BY label, t) SELECT label, CAST(topic_id AS BIGINT) AS topic_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p DESC, topic_id) AS k FROM s) WHERE k = 1",
+        "language_detect": f"WITH w AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM documents), v AS (SELECT doc_id, {', '.join(f'{x} AS {k}' for k, x in votes.items())} FROM w) SELECT doc_id, CASE WHEN greatest({', '.join(votes)}) = 0 THEN 'unknown' {' '.join(f'WHEN {k} = greatest({chr(44).join(votes)}) THEN {chr(39)}{k}{chr(39)}' for k in votes)} END AS language FROM v",
+    }

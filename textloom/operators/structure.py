@@ -107,7 +107,8 @@ def topics(docs: DataFrame, text: str, most: int = 5, iterations: int = 10):
     counted = prepared.transform(docs)
     model = LDA(k=topic_count(docs.count(), most), seed=42, maxIter=iterations, featuresCol="__c").fit(counted)
     words = prepared.stages[-1].vocabulary
-    described = model.describeTopics(TOPIC_WORDS).select(F.col("topic").cast("int").alias("topic_id"), F.transform("termIndices", lambda i: F.element_at(F.array(*map(F.lit, words)) if len(words) < 200 else F.lit(words), i + 1)).alias("words"))
+    rows = [(int(r["topic"]), [words[i] for i in r["termIndices"]]) for r in model.describeTopics(TOPIC_WORDS).collect()]  # topic_count rows
+    described = docs.sparkSession.createDataFrame(rows, "topic_id int, words array<string>")
     return described, model.transform(counted).withColumn("topic_share", vector_to_array("topicDistribution")).drop("__t", "__w", "__c", "topicDistribution")
 
 

@@ -127,7 +127,15 @@ def test_exports(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()["text"] == 't"q'
 
 
-def test_entry_without_llm():
-    import __spark_entry__ as e
-
-    assert set(e.oracle_sql()) <= set(e.queries()) and e.FLAGSHIP in e.queries()
+def test_entry_without_session_and_llm(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "textloom", tmp_path / "textloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and e.FLAGSHIP in e.queries() and e.llm is None"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    assert not done.returncode, done.stderr

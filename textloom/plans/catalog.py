@@ -21,6 +21,11 @@ def _docs(spark, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _spaced(spark, sf_dir: str) -> DataFrame:
+    """Documents whose lines are paragraphs."""
+    return _docs(spark, sf_dir).withColumn("text", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))
+
+
 def _spread(df: DataFrame) -> DataFrame:
     """Cleaned texts are used several times below; a shuffle by key keeps the expressions from being computed over and over."""
     return df.repartition("doc_id")
@@ -104,12 +109,11 @@ def _hierarchy(spark, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    paragraphs = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     return {
         "clean_then_chunk_summary": _summary,
         "chunk_length": lambda s, d: _chunks(_docs(s, d)),
-        "chunk_length_paragraphs": lambda s, d: _chunks(_docs(s, d).withColumn("text", paragraphs)),
-        "chunk_structure_paragraphs": lambda s, d: _chunks(_docs(s, d).withColumn("text", paragraphs), "Structure-based"),
+        "chunk_length_paragraphs": lambda s, d: _chunks(_spaced(s, d)),
+        "chunk_structure_paragraphs": lambda s, d: _chunks(_spaced(s, d), "Structure-based"),
         "chunk_structure_headers": _headed,
         "chunk_semantic": lambda s, d: _chunks(_docs(s, d), "Semantic"),
         "clean_urls": lambda s, d: _table(s, d, "pages").select("page_id", F.regexp_replace(F.concat(F.lit("see "), "url", F.lit(" now")), cleaning.URL, "").alias("cleaned")),
@@ -120,7 +124,7 @@ def queries() -> dict:
         "clean_headers_footers": _mapped(lambda t: F.when(cleaning.repeated_line_abort(t), "abort").otherwise(cleaning.remove_headers_footers(t))),
         "clean_line_breaks": _mapped(cleaning.fix_line_breaks),
         "clean_whitespace": _mapped(lambda t: cleaning.strip(cleaning.collapse_spaces(t))),
-        "clean_empty_lines": lambda s, d: _docs(s, d).select("doc_id", cleaning.remove_empty_lines(paragraphs).alias("cleaned")),
+        "clean_empty_lines": lambda s, d: _spaced(s, d).select("doc_id", cleaning.remove_empty_lines(F.col("text")).alias("cleaned")),
         "clean_default": lambda s, d: _cleaned(s, d).select("doc_id", "cleaned"),
         "clean_stats": _stats,
         "type_dispatch": _typed,

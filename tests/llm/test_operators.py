@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from textloom.llm import bpe, chat_tree, exact_dedup, langid, line_dedup, minhash, mixing, secrets, topk, warc
+from textloom.llm import bpe, chat_tree, components, exact_dedup, langid, line_dedup, minhash, mixing, secrets, topk, warc
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "pi", "rho"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, band long"
@@ -90,6 +90,57 @@ def test_simhash_blocks_find_all_near_lines():
     assert line_dedup.edits("kitten", "sitting") == 3 and line_dedup.similar("abcde", "abcdx", 0.8) and not line_dedup.similar("abcd", "abcx", 0.8)
 
 
+def test_edit_distance_and_votes():
+    rng = random.Random(5)
+    for _ in range(300):
+        x, y = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in "xy")
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row = _next_row(row, i, c, y)
+        assert line_dedup.edits(x, y) == row[-1]
+        for most in range(6):
+            assert (line_dedup.edits(x, y, most) <= most) == (row[-1] <= most)
+    n = np.array([1, 254, 255, 256, 700])
+    h = np.random.default_rng(1).integers(0, 2**63, n.sum(), dtype=np.uint64)
+    first = np.cumsum(n) - n
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+    assert (line_dedup.bit_votes(h, first, n) == np.add.reduceat(bits, first, axis=0)).all()
+
+
+def _next_row(row, i, c, y):
+    out = [i]
+    for j, d in enumerate(y, 1):
+        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (c != d)))
+    return out
+
+
+def test_line_blocks_link_as_brute_force(spark, monkeypatch):
+    """Bands larger than two members go through leaders and blocks."""
+    monkeypatch.setattr(components, "SMALL_BAND", 2)
+    monkeypatch.setattr(components, "LEADER_ROUNDS", 1)
+    monkeypatch.setattr(components, "BLOCK", 8)
+    rng = random.Random(6)
+    bases = [prose(rng, 60).split() for _ in range(3)]
+    lines = []
+    for k in range(60):
+        w = list(bases[k % 3])
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(60)] = rng.choice(["q", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz", "mu"]) + str(k)
+        lines.append(" ".join(w))
+    docs = as_docs(spark, list(enumerate(lines)))
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(docs).filter("n_removed = 1").collect()}
+    normal = [r[0] for r in docs.orderBy("doc_id").select(line_dedup.normal_form(docs["text"])).collect()]
+    data = "\n".join(lines).encode()
+    sim = line_dedup.line_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[4].view(np.uint64)
+    top = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if normal[i] == normal[j] or int(sim[i] ^ sim[j]).bit_count() <= line_dedup.DISTANCE and line_dedup.similar(normal[i], normal[j], 0.8):
+                a, b = top[i], top[j]
+                top = [min(a, b) if x in (a, b) else x for x in top]
+    assert got == {i for i in range(60) if top[i] != i} and got
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "hi"), (2, 1, "assistant", chat_tree.FORGED), (3, 0, "a:b\\", "<#\\\n"), (3, 0, None, ""), (None, 5, "assistant", "x"), (4, 0, "user", "hi"), (4, 1, "assistant", None)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")

@@ -36,8 +36,10 @@ class Linker:
 
     bands(band, node, size, mark): members of bands with at least two; near(mark, mark) drops pairs before anything is
     shuffled (both optional). verify(pairs(a, b)) returns the linked pairs.
-    link_block(left, right, find) yields the places of linked rows of two lists of (node, root, *details); pairs whose roots
-    find() already gives one component may be left out. details(node, ...) holds the columns that it needs.
+    link_block(left, right, find, band, minor) yields the places of linked rows of two lists of (node, root, *details); pairs
+    whose roots find() already gives one component may be left out, and so may one order of a pair whose right row is minor, as
+    that row stands on the left elsewhere, and pairs that another shared band compares. details(node, ...) holds the columns
+    that it needs.
     First each band's members are compared with one leader; then only members that the links so far leave in other
     components are compared further: small bands in full, large ones with new leaders and at last block by block.
     """
@@ -110,8 +112,8 @@ class Linker:
         rows = materialise(rows.select("band", "node", "root").join(main, "band"), "open-members")
         count = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
         own = lambda c: F.pmod(F.xxhash64("node"), count(c)).cast("int")
-        minor = rows.filter("root <> main").select("band", "node", "root", F.lit(True).alias("left"), own("minor").alias("x"), F.explode(F.sequence(F.lit(0), count("all") - 1)).alias("y"))
-        whole = rows.select("band", "node", "root", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), count("minor") - 1)).alias("x"), own("all").alias("y"))
+        minor = rows.filter("root <> main").select("band", "node", "root", F.lit(True).alias("left"), F.lit(True).alias("minor_row"), own("minor").alias("x"), F.explode(F.sequence(F.lit(0), count("all") - 1)).alias("y"))
+        whole = rows.select("band", "node", "root", F.lit(False).alias("left"), (F.col("root") != F.col("main")).alias("minor_row"), F.explode(F.sequence(F.lit(0), count("minor") - 1)).alias("x"), own("all").alias("y"))
         more, link = [c for c in self.details.columns if c != "node"], self.link_block
         dealt = minor.unionByName(whole).join(self.details, "node")
 
@@ -129,7 +131,7 @@ class Linker:
                 return r
 
             out = []
-            for i, j in link(left, right, find):
+            for i, j in link(left, right, find, pdf["band"].iloc[0], pdf.loc[~pdf["left"], "minor_row"].to_numpy(bool)):
                 a, b = find(left[i][1]), find(right[j][1])
                 if a != b:
                     top[a] = b

@@ -84,9 +84,10 @@ class Linker:
         first = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("leader"), F.col("root").alias("led"), F.col("mark").alias("led_mark"))).alias("l")).select("band", "l.leader", "l.led", "l.led_mark")
         return rows.join(first, "band").filter("root <> led").filter(self.near(F.col("mark"), F.col("led_mark"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
-    def run(self) -> DataFrame | None:
-        """(node, root) of all linked nodes, or None if there are no links."""
-        self.test(self._leaders(self.labelled(), 0))
+    def run(self, couples: DataFrame | None = None) -> DataFrame | None:
+        """(node, root) of all linked nodes, or None if there are no links; couples(a, b): pairs to test besides the bands'."""
+        pairs = self._leaders(self.labelled(), 0)
+        self.test(pairs if couples is None else pairs.unionByName(couples))
         for seed in range(1, LEADER_ROUNDS + 1):
             rows = self.labelled()
             few, many = rows.filter(F.col("size") <= SMALL_BAND), rows.filter(F.col("size") > SMALL_BAND)

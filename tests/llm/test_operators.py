@@ -142,6 +142,15 @@ def test_line_blocks_link_as_brute_force(spark, monkeypatch):
     assert got == {i for i in range(60) if top[i] != i} and got
 
 
+def test_long_lines_are_compared_whole():
+    rng = random.Random(7)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3500))
+    head = "".join(rng.choice("klmnopqr ") for _ in range(300))
+    for x in (long[:20_000], long[:5000], long[:4001]):
+        assert line_dedup.similar(x, head + x, 0.8) and line_dedup.similar(head + x + "end", "start" + x, 0.8)
+    assert not line_dedup.similar(long[:5000], long[5000:10_000], 0.8)
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "hi"), (2, 1, "assistant", chat_tree.FORGED), (3, 0, "a:b\\", "<#\\\n"), (3, 0, None, ""), (None, 5, "assistant", "x"), (4, 0, "user", "hi"), (4, 1, "assistant", None)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")

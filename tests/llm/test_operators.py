@@ -151,6 +151,17 @@ def test_long_lines_are_compared_whole():
     assert not line_dedup.similar(long[:5000], long[5000:10_000], 0.8)
 
 
+def test_short_lines_and_lines_without_spaces(spark):
+    han, token = "机器学习模型需要大量干净的训练数据才能得到好的结果", "0123456789abcdef" * 5
+    rows = [(1, f"All rights reserved.\n{han}\n{token}\n}}\n—\n\nRead more"), (2, f"Read more\n All rights reserved.\r\n{han}\n{token}\n}}\n—\n\nALL RIGHTS RESERVED."), (3, han.replace("学", "学 ") + "\nthis line has no other copy")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(as_docs(spark, rows)).collect()}
+    assert out == {1: rows[0][1], 2: "}\n—\n\nALL RIGHTS RESERVED.", 3: "this line has no other copy"}
+    data = "\n".join([han, han + "了", token * 4, "x" + token * 4, "All rights"]).encode()
+    _, _, n, _, sim = line_dedup.line_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    bits = [int(x) for x in sim.view(np.uint64)]
+    assert n.tolist() == [1, 1, 1, 1, 2] and 0 < (bits[0] ^ bits[1]).bit_count() < 16
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "hi"), (2, 1, "assistant", chat_tree.FORGED), (3, 0, "a:b\\", "<#\\\n"), (3, 0, None, ""), (None, 5, "assistant", "x"), (4, 0, "user", "hi"), (4, 1, "assistant", None)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")

@@ -162,6 +162,25 @@ def test_short_lines_and_lines_without_spaces(spark):
     assert n.tolist() == [1, 1, 1, 1, 2] and 0 < (bits[0] ^ bits[1]).bit_count() < 16
 
 
+def test_shingled_lines_find_near_copies(spark):
+    """Lines with one word or a tenth of them replaced, against all pairs of an edit similarity of 0.8."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    lines = [[word() for _ in range(n)] for n in (8, 10, 12, 20, 30, 60) for _ in range(20)]
+    for w in list(lines):
+        w = list(w)
+        for i in rng.sample(range(len(w)), max(1, len(w) // 10)):
+            w[i] = word()
+        lines.append(w)
+    han = "机器学习模型需要大量干净的训练数据才能得到好的结果"
+    lines = [" ".join(w) for w in lines] + [han, han.replace("干净", "新鲜"), han[3:] + "了"]
+    normal = [line_dedup.normal_form(x.encode()).decode() for x in lines]
+    late = {j for j in range(len(lines)) for i in range(j) if line_dedup.similar(normal[i], normal[j], 0.8)}
+    out = line_dedup.dedup_lines(as_docs(spark, list(enumerate(lines))), shingled=True)
+    got = {r["doc_id"] for r in out.filter("n_removed = 1").collect()}
+    assert len(late) > 110 and got <= late and len(got) >= 0.98 * len(late) and len(lines) - 1 in got
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "hi"), (2, 1, "assistant", chat_tree.FORGED), (3, 0, "a:b\\", "<#\\\n"), (3, 0, None, ""), (None, 5, "assistant", "x"), (4, 0, "user", "hi"), (4, 1, "assistant", None)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")

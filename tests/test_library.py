@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import chunking
 from textloom.functions.cleaning import CleanOptions, clean_stats, clean_text, fix_line_breaks, remove_headers_footers
 from textloom.operators import export, structure
+from textloom.plans import catalog
 from textloom.sources import files
 
 
@@ -139,3 +140,22 @@ def test_entry_without_session_and_llm(tmp_path):
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and e.FLAGSHIP in e.queries() and e.llm is None"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
     assert not done.returncode, done.stderr
+
+
+def test_cluster_hierarchy_covers_the_whole_table(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(1, "a", [1.0, 0.0, 0.1]), (2, "b", [1.0, 0.0, 0.1]), (25_000, "a", [1.0, 0.0, 0.12]), (25_001, "b", [0.0, -1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: r["cluster_id"] for r in catalog.queries()["cluster_hierarchy"](spark, str(tmp_path)).collect()}
+    assert got == {1: "cluster_0", 2: "cluster_0", 25_000: "cluster_0", 25_001: "cluster_1"}
+    for n in (1, 2, 40):
+        v = rng.normal(size=(n, 3))
+        d = 1 - (u := v / np.linalg.norm(v, axis=1, keepdims=True)) @ u.T
+        groups = [[i] for i in range(n)]
+        while len(groups) > 1:
+            far, x, y = min((d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+            if far > 0.5:
+                break
+            groups[x] += groups.pop(y)
+        want = {i: k for k, g in enumerate(sorted(groups, key=min)) for i in g}
+        assert structure.average_linkage(v).tolist() == [want[i] for i in range(n)]

@@ -50,19 +50,35 @@ def average_linkage(vectors: np.ndarray, most: float = MERGE_UP_TO) -> np.ndarra
     """Cluster numbers by average-linkage merging on cosine distance while the smallest is at most `most`; numbered by first member."""
     n = len(vectors)
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    d = 1.0 - unit @ unit.T
+    d = unit @ unit.T
+    np.subtract(1.0, d, out=d)
     np.fill_diagonal(d, np.inf)
-    size, owner = np.ones(n), np.arange(n)
-    while n > 1:
-        i, j = divmod(int(d.argmin()), len(vectors))
-        if not d[i, j] <= most:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
-        size[i] += size[j]
-        owner[owner == j] = i
+    size, owner, done, chain, start = np.ones(n), np.arange(n), np.zeros(n, bool), [], 0
+    while True:  # chains of nearest neighbours give the merges of the smallest distance first in n^2 steps
+        if not chain:
+            while start < n and done[start]:
+                start += 1
+            if start == n:
+                break
+            chain = [start]
+        i = chain[-1]
+        j = int(d[i].argmin())
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
+        if not d[i, j] <= most:  # and those before in the chain are farther still
+            done[chain] = True
+            chain = []
+        elif len(chain) > 1 and j == chain[-2]:
+            del chain[-2:]
+            i, j = min(i, j), max(i, j)
+            merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            d[i], d[:, i] = merged, merged
+            d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
+            size[i] += size[j]
+            done[j] = True
+            owner[owner == j] = i
+        else:
+            chain.append(j)
     return np.unique(owner, return_inverse=True)[1]
 
 

@@ -104,8 +104,7 @@ def _dedupe(spark, d: str) -> DataFrame:
 
 
 def _hierarchy(spark, d: str) -> DataFrame:
-    vectors = _table(spark, d, "embeddings")
-    return structure.cluster_hierarchy(vectors, "vec_id", "embedding", F.concat_ws("-", "label", F.floor(F.col("vec_id") / 20_000).cast("string")))
+    return structure.cluster_hierarchy(_table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 def queries() -> dict:

@@ -159,3 +159,12 @@ def test_cluster_hierarchy_covers_the_whole_table(spark, tmp_path):
             groups[x] += groups.pop(y)
         want = {i: k for k, g in enumerate(sorted(groups, key=min)) for i in g}
         assert structure.average_linkage(v).tolist() == [want[i] for i in range(n)]
+
+
+def test_topics_query_fits_fully_with_all_terms(spark, tmp_path, monkeypatch):
+    seen = {}
+    for name in ("LDA", "CountVectorizer"):
+        monkeypatch.setattr(structure, name, lambda made=getattr(structure, name), name=name, **k: seen.setdefault(name, made(**k)))
+    spark.createDataFrame([(1, "red apple tree"), (2, "blue river water"), (3, "red river")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalog.queries()["topics_lda"](spark, str(tmp_path)).count() == 2
+    assert seen["LDA"].getMaxIter() == 10 and seen["CountVectorizer"].getVocabSize() == 2**31 - 1

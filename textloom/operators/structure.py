@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Similarity above which documents are related, cosine distance up to which clusters merge, words of a topic.
 EDGE_ABOVE, MERGE_UP_TO, TOPIC_WORDS, CENTRAL = 0.5, 0.5, 9, 3
 CLUSTER_CAP = 20_000
+#: All terms: the largest number that CountVectorizer takes.
+VOCABULARY = 2**31 - 1
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -118,7 +120,7 @@ def topic_count(documents: int, most: int = 5) -> int:
 
 def topics(docs: DataFrame, text: str, most: int = 5, iterations: int = 10):
     """(topics(topic_id, words), documents with `topic_share` arrays); the vocabulary is CountVectorizer's, stop words are English."""
-    stages = [RegexTokenizer(inputCol=text, outputCol="__t", pattern=r"(?U)\b\w\w+\b", gaps=False), StopWordsRemover(inputCol="__t", outputCol="__w"), CountVectorizer(inputCol="__w", outputCol="__c", minDF=1)]
+    stages = [RegexTokenizer(inputCol=text, outputCol="__t", pattern=r"(?U)\b\w\w+\b", gaps=False), StopWordsRemover(inputCol="__t", outputCol="__w"), CountVectorizer(inputCol="__w", outputCol="__c", minDF=1, vocabSize=VOCABULARY)]
     prepared = Pipeline(stages=stages).fit(docs)
     counted = prepared.transform(docs)
     model = LDA(k=topic_count(docs.count(), most), seed=42, maxIter=iterations, featuresCol="__c").fit(counted)

@@ -86,7 +86,7 @@ def _topic_argmax(spark, d: str) -> DataFrame:
 
 
 def _lda(spark, d: str) -> DataFrame:
-    return structure.topics(_docs(spark, d), "text", iterations=5)[0]
+    return structure.topics(_docs(spark, d), "text")[0]
 
 
 def _stats(spark, d: str) -> DataFrame:

@@ -181,6 +181,14 @@ def test_shingled_lines_find_near_copies(spark):
     assert len(late) > 110 and got <= late and len(got) >= 0.98 * len(late) and len(lines) - 1 in got
 
 
+def test_top_k_of_repeated_query_ids(spark):
+    rows = [(50, [float(x), 1.0]) for x in (3, -2, 2, 1)] + [(1, [1.0, 0.0]), (2, [-1.0, 0.0])]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2], rows[1:] + rows[:1]):
+        vectors = spark.createDataFrame(order, "vec_id long, embedding array<double>").coalesce(1)
+        got = topk.exact_top_k(vectors, lambda i: i == 50, 2).orderBy("rank").collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(50, 2, 2 * 256 * 256), (50, 1, -2 * 256 * 256)]
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "hi"), (2, 1, "assistant", chat_tree.FORGED), (3, 0, "a:b\\", "<#\\\n"), (3, 0, None, ""), (None, 5, "assistant", "x"), (4, 0, "user", "hi"), (4, 1, "assistant", None)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")

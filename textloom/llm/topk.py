@@ -66,15 +66,16 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataF
 
 
 def exact_top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score) of the k best candidates of every query row.
+    """(query_id, rank from 1, vec_id, score) of the k best candidates of every query id.
 
     Candidates are all rows but those with the query's own id; only vectors of the query's length take part (others have
     no inner product with it). Fewer than k candidates give fewer rows; an empty table gives none. Repeated ids are
-    candidates each; a null id is no query and no candidate. Extra columns are ignored.
+    candidates each; as queries they are one, with the smallest of their scaled vectors (compared from the first component
+    on), and none of their rows is a candidate of it. A null id is no query and no candidate. Extra columns are ignored.
     """
     rows = materialise(usable(vectors, vec_id, embedding, scale).filter(F.col("vec_id").isNotNull()), "vectors")
     spark, n = rows.sparkSession, rows.count()
-    queries = rows.filter(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"])
+    queries = rows.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     chunks = max(1, math.ceil(queries.count() / QUERIES_PER_CHUNK))
     spread = rows.coalesce(partitions_for(rows, n, BLOCK_ROWS * 4))
     found = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import materialise
+from textloom.llm.shared import materialise, release
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -23,11 +23,24 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialise(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialise(small, "small-star")
+        old, edges = edges, materialise(small, "small-star")
+        release(old, large)
         before, now = now, _print(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def extend(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of components that links(a, b) join; roots: those found before, or None."""
+    if roots is None:
+        return materialise(components(links), "roots")
+    root = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    over = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    more = components(over).withColumnRenamed("root", "top")
+    old = roots.join(more.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = more.join(roots, "node", "left_anti").select("node", F.col("top").alias("root"))
+    return materialise(old.unionByName(new), "roots")
+
+
 SMALL_BAND, LEADER_ROUNDS, BLOCK = 24, 2, 128
 
 
@@ -70,15 +83,9 @@ class Linker:
             self._join(links)
 
     def _join(self, links: DataFrame) -> None:
-        if self.roots is None:
-            self.roots = materialise(components(links), "roots")
-            return
-        root = lambda name: self.roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-        over = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-        more = components(over).withColumnRenamed("root", "top")
-        old = self.roots.join(more.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        new = more.join(self.roots, "node", "left_anti").select("node", F.col("top").alias("root"))
-        self.roots = materialise(old.unionByName(new), "roots")
+        before, self.roots = self.roots, extend(self.roots, links)
+        if before is not None:
+            release(before)
 
     def _leaders(self, rows: DataFrame, seed: int) -> DataFrame:
         first = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("leader"), F.col("root").alias("led"), F.col("mark").alias("led_mark"))).alias("l")).select("band", "l.leader", "l.led", "l.led_mark")

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import uuid
+import weakref
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where spark.checkpoint.dir is unset, which is allowed in local mode alone.
 LOCAL_SCRATCH = "/tmp/checkpoints/textloom"
 _folders: dict[str, str] = {}
+_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -21,7 +25,7 @@ def scratch(spark: SparkSession) -> str:
     if app not in _folders:
         top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not top:
-            if not spark.sparkContext.master.startswith("local["):
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             top = LOCAL_SCRATCH
         _folders[app] = f"{top.rstrip('/')}/textloom-{app}-{uuid.uuid4().hex[:8]}"
@@ -44,7 +48,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes stage tables that nothing will read any more; what was made from them has to be written before."""
+    for df in tables:
+        if path := _written.pop(df, None):
+            _remove(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +69,17 @@ def joinable(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def string_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets from 0) of an Arrow string or binary column with offsets of 32 or 64 bits."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 def slices(lengths: np.ndarray, most: int):
     """Yield (from, to) over consecutive rows whose lengths sum to about `most`; a longer row stands alone."""
     start, total = 0, 0

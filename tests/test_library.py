@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import chunking
-from textloom.functions.cleaning import CleanOptions, clean_stats, clean_text, fix_line_breaks, remove_headers_footers
+from textloom.functions.cleaning import CleanOptions, clean_stats, clean_text, fix_line_breaks, remove_headers_footers, repair_unicode
 from textloom.operators import export, structure
-from textloom.plans import catalog
+from textloom.plans import catalog, ingest
 from textloom.sources import files
 
 
@@ -54,9 +54,12 @@ def test_length(spark, text, size, overlap, want):
 
 
 def test_stuck_and_refused(spark):
-    assert spans(spark, "a" * 50 + "\n\n" + "b" * 100, "Length-based", 100, 50) == []
+    stuck = "a" * 50 + "\n\n" + "b" * 100
+    assert spans(spark, stuck, "Length-based", 100, 50) == [(None, None, None)]
+    rows = chunking.chunk(spark.createDataFrame([(1, stuck), (2, "fine"), (3, None)], "id int, text string"), "Length-based", 100, 50, errors=True).collect()
+    assert [(r["id"], r["chunk_ix"], r["text"], r["error"] is None) for r in sorted(rows)] == [(1, None, None, False), (2, 0, "fine", True)]
     with pytest.raises(ValueError, match="size"):
-        chunking.length_chunks(F.lit("a"), 40, 0)
+        spans(spark, "a", "Length-based", 40, 0)
     with pytest.raises(ValueError, match="strategy"):
         spans(spark, "a", "none")
 
@@ -115,14 +118,14 @@ def test_exports(spark, tmp_path):
     docs = spark.createDataFrame([("a", 1, "v1"), ("b", 2, "w"), ("a", 3, "v2")], "name string, ord long, text string")
     assert sorted(map(tuple, export.last_wins(docs, "name", "ord").select("position", "name", "text").collect())) == [(1, "a", "v2"), (2, "b", "w")]
     chunks = spark.createDataFrame([("f", i // 150, i, f't"{i}') for i in range(300)], "filename string, file long, ix long, text string")
-    ids = export.vector_records(chunks, ["file", "ix"], "file").select("ix", "id", "batch").orderBy("ix").collect()
+    ids = export.vector_records(chunks, ["file", "ix"]).select("ix", "id", "batch").orderBy("ix").collect()
     assert [r["id"] for r in ids] == [f"chunk_{i}" for i in range(300)] and ids[250]["batch"] == 2
     records = spark.createDataFrame([("chunk_0", "x", None), ("chunk_1", "y", "en")], "id string, text string, language string")
     path = str(tmp_path / "store")
     assert export.export_vectors(records, "chroma", path).first()["chunks_uploaded"] == 2
     export.export_vectors(records.limit(1).withColumn("text", F.lit("z")), "chroma", path)
-    assert {r["id"]: (r["text"], r["language"]) for r in spark.read.parquet(path).collect()} == {"chunk_0": ("z", "unknown"), "chunk_1": ("y", "en")}
-    assert export.export_vectors(records, "none", path).first()["status"] == "error"
+    assert {r["id"]: (r["text"], r["language"]) for r in export.stored(spark, path).collect()} == {"chunk_0": ("z", "unknown"), "chunk_1": ("y", "en")}
+    assert export.export_vectors(records, "none", path).first()["status"] == "error" and export.stored(spark, str(tmp_path / "nowhere")) is None
     made = spark.createDataFrame([("t\"q", 0, 1, "s", ("f", "text"))], "text string, start int, end int, strategy string, metadata struct<filename:string,type:string>")
     assert export.write_chunks(made, str(tmp_path / "csv"), "CSV") and not export.write_chunks(made.limit(0), str(tmp_path / "none"), "CSV")
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()["text"] == 't"q'
@@ -168,3 +171,77 @@ def test_topics_query_fits_fully_with_all_terms(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "red apple tree"), (2, "blue river water"), (3, "red river")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert catalog.queries()["topics_lda"](spark, str(tmp_path)).count() == 2
     assert seen["LDA"].getMaxIter() == 10 and seen["CountVectorizer"].getVocabSize() == 2**31 - 1
+
+
+def test_types_follow_the_mime_table(spark):
+    want = {"X.MD": "markdown", "a.DOCX": "docx", "noend": "text", "a.csv": None, "a.exe": None, "a.tsv": None, "a.bmp": None, "a.webp": None, "a.c": "text", "a.HTM": "html", "b.txt.gz": "text", "b.tgz": None, ".csv": "text", "dir.csv/x": "text", "a.unknown": "text", ".md": "markdown", "a.": "text"}
+    got = spark.createDataFrame([(k,) for k in want], "f string").select("f", files.type_of(F.col("f")).alias("t")).collect()
+    assert {r["f"]: r["t"] for r in got} == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("e\u0301te\u0301", "été"), ("l\u00e2\u20ac\u2122\u00c3\u00a9t\u00c3\u00a9", "l'été"), ("déjà vu », Ã", "déjà vu », Ã"), ("a\r\nb \ufb01", "a\nb fi"), ("日本語", "日本語"), (None, None)])
+def test_unicode_repair(spark, text, want):
+    assert one(spark, text, repair_unicode) == want
+
+
+def test_json_array(spark, tmp_path):
+    import json
+
+    chunks = spark.range(7).repartitionByRange(3, "id").sortWithinPartitions("id").select(F.concat(F.lit('a"\n'), "id").alias("text"), F.struct(F.lit("é.txt").alias("filename")).alias("metadata"))
+    path = tmp_path / "json"
+    assert export.write_chunks(chunks, str(path), "JSON") and not export.write_chunks(chunks.limit(0), str(tmp_path / "none"), "JSON")
+    whole = "".join(p.read_text() for p in sorted(path.glob("part-*")))
+    assert json.loads(whole) == [{"text": f'a"\n{i}', "metadata": {"filename": "é.txt"}} for i in range(7)] and "\n    " in whole
+
+
+def test_process_raw(spark):
+    rows = [("a.txt", 1, b"Old text."), ("b.txt", 2, b""), ("c.csv", 3, b"x"), ("a.txt", 4, b"New text. More."), ("a.txt", 5, b""), ("d.html", 6, b"<p>Hi</p>"), ("e.txt", 7, None)]
+    raw = spark.createDataFrame([(n, i, bytearray(d) if d is not None else None) for n, i, d in rows], "filename string, ordinal long, content binary")
+    out = ingest.process_raw(raw)
+    assert sorted((r["position"], r["filename"], r["content"], r["stats"]["original_length"]) for r in out.documents.collect()) == [(1, "a.txt", "New text. More.", 15), (6, "d.html", "Hi", 2)]
+    assert sorted((r["filename"], r["chunk_ix"], r["text"], r["metadata"]["type"]) for r in out.chunks.collect()) == [("a.txt", 0, "New text. More.", "text"), ("d.html", 0, "Hi", "html")]
+    assert sorted((r["ordinal"], r["filename"]) for r in out.errors.collect()) == [(2, "b.txt"), (3, "c.csv"), (5, "a.txt"), (7, "e.txt")]
+    assert ingest.process_raw(raw.limit(0)).documents.count() == 0
+
+
+class Folder(export.VectorWriter):
+    """Writes each batch as a file."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def create(self, dimension):
+        (self.path / f"dimension-{dimension}").touch()
+
+    def upsert(self, batch):
+        import uuid
+
+        (self.path / f"batch-{uuid.uuid4().hex}").write_text("\n".join(r["id"] for r in batch))
+
+
+def test_writer_interface(spark, tmp_path):
+    records = spark.range(250).coalesce(1).select(F.concat(F.lit("chunk_"), "id").alias("id"), F.lit(None).cast("string").alias("language"))
+    done = export.export_vectors(records, "pinecone", writer=Folder(tmp_path), dimension=8).first()
+    files_ = [p.read_text().split("\n") for p in tmp_path.glob("batch-*")]
+    assert (done["status"], done["chunks_uploaded"]) == ("success", 250) and (tmp_path / "dimension-8").exists()
+    assert sorted(map(len, files_)) == [50, 100, 100] and len({x for f in files_ for x in f}) == 250
+
+
+def test_edges_as_brute_force(spark):
+    v = np.random.default_rng(5).normal(size=(60, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = sorted((r[0], r[1], round(r[2], 9)) for r in structure.similarity_edges(df, "id", "v", 0.5, block=16).collect())
+    assert got == [(i, j, round(float(v[i] @ v[j]), 9)) for i in range(60) for j in range(i + 1, 60) if v[i] @ v[j] > 0.5]
+    assert structure.similarity_edges(df.limit(0), "id", "v").count() == 0
+
+
+def test_structure_documents(spark):
+    texts = [("apples", "red apple tree and green apple"), ("apples2", "green apple tree and red apple"), ("sea", "blue water in a deep river and sea")]
+    docs = spark.createDataFrame([(i, f"{n}.txt", t) for i, (n, t) in enumerate(texts)], "ix long, filename string, content string")
+    out = structure.structure_documents(docs)
+    assert out.status == "success" and out.topics.count() == 2
+    assert sorted([d["ix"] for d in r["documents"]] for r in out.clusters.collect()) == [[0, 1], [2]]
+    assert ("apples.txt", "apples2.txt") in {(r["source"], r["target"]) for r in out.relationships.collect()} and out.central.count() == 3
+    assert structure.structure_documents(docs.drop("content").withColumn("content", F.lit(1))).status == "error"
+    one_ = structure.structure_documents(docs.limit(1).withColumn("content", F.lit("")))
+    assert one_.status == "success" and one_.topics.first()["words"] == ["apples.txt"]

@@ -1,89 +1,123 @@
-"""Chunking by length, sentence or structure: array-of-struct expressions, exploded to one row per chunk."""
+"""Chunking by length, sentence or structure: one Arrow pass over each text, whose cost grows with its length, then one row per chunk.
+
+A fold over a text's positions has no linear form in SQL expressions, which would copy the text or what was found so far at
+every step. Offsets count code points.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import re
 
-from textloom.functions.cleaning import SPACE, let, strip
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-CHUNK = "array<struct<text:string,start:bigint,end:bigint,strategy:string,level:int>>"
-#: How far around a chunk's end breaks are searched.
+#: How far around a chunk's end breaks are searched, and what a heading and the end of a sentence are.
 PARAGRAPH_REACH, PERIOD_REACH = 50, 30
+HEADING = re.compile(r"^#{1,6}\s+.+$", re.M)
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
-def _chunk(text: Column, start: Column, end: Column, strategy: str, level: Column | None = None) -> Column:
-    return F.struct(text.alias("text"), start.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(strategy).alias("strategy"), (F.lit(None) if level is None else level).cast("int").alias("level"))
+def length_spans(text: str, size: int, overlap: int):
+    """(text, start, end, level) of a left fold over chunk starts; a chunk that would not advance raises ValueError."""
+    start, n = 0, len(text)
+    while start < n:
+        end = start + size
+        if end < n:
+            near = text.find("\n\n", end - PARAGRAPH_REACH, end + PARAGRAPH_REACH)
+            dot = text.find(".", end - PERIOD_REACH, end + PERIOD_REACH) if near < 0 else -1
+            end = near if near >= 0 else dot + 1 if dot >= 0 else end
+        if piece := text[start:end].strip():
+            yield piece, start, end, None
+        if end - overlap <= start:
+            raise ValueError(f"no progress at {start}: a break right behind it and an overlap of {overlap}")
+        start = end - overlap
 
 
-def length_chunks(text: Column, size: int = 500, overlap: int = 10) -> Column:
-    """A left fold over chunk starts. Sizes under 50 or steps that could not advance are refused; a row that stands still ends with a null array."""
-    step = size - PARAGRAPH_REACH - overlap
-    if size < PARAGRAPH_REACH or step < 0:
-        raise ValueError("size must be at least 50 and exceed the overlap by at least 50")
-    n = F.length(text)
-    most = F.ceil(n / step) + 2 if step else n + 2
+def sentences(text: str) -> list[str]:
+    return [s for x in SENTENCE_END.split(text) if (s := x.strip())]
 
-    def advance(s, _):
-        end = s["pos"] + size
-        near = F.locate("\n\n", text.substr(end - (PARAGRAPH_REACH - 1), F.lit(2 * PARAGRAPH_REACH)))
-        dot = F.locate(".", text.substr(end - (PERIOD_REACH - 1), F.lit(2 * PERIOD_REACH)))
-        broken = F.when(near > 0, end - PARAGRAPH_REACH + near - 1).when(dot > 0, end - PERIOD_REACH + dot).otherwise(end)
-        end = F.when(end < n, broken).otherwise(end).cast("int")
-        piece = F.struct(s["pos"].alias("start"), end.alias("end"))
-        to = (end - overlap).cast("int")
-        stuck = to <= s["pos"]
-        moved = F.struct(F.when(stuck, n).otherwise(to).alias("pos"), stuck.alias("stuck"), F.concat(s["spans"], F.array(piece)).alias("spans"))
-        return F.when(s["pos"] < n, moved).otherwise(s)
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("stuck"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    spans = F.aggregate(F.sequence(F.lit(1), most.cast("int")), zero, advance, lambda s: F.when(~s["stuck"], s["spans"]))
-    made = F.transform(spans, lambda x: _chunk(strip(text.substr(x["start"] + 1, x["end"] - x["start"])), x["start"], x["end"], "length_based"))
-    return F.filter(made, lambda c: F.length(c["text"]) > 0)
+class _Finder:
+    """First places of sentences in a text; those already looked for are remembered."""
 
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
 
-def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, rf"(?<=[.!?]){SPACE}+", -1), strip), lambda s: F.length(s) > 0)
+    def __call__(self, part: str) -> int:
+        if part not in self.known:
+            self.known[part] = self.text.find(part)
+        return self.known[part]
 
 
-def semantic_chunks(text: Column, size: int = 500, overlap: int = 0) -> Column:
+def semantic_spans(text: str, size: int, overlap: int):
     """Sentences packed up to `size`; each chunk starts with the last two (of at most two: the last) of the one before. overlap is not used."""
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-
-    def pack(s, x):
-        flush = (total(s["open"]) + F.length(x) > size) & (F.size(s["open"]) > 0)
-        seed = F.when(F.size(s["open"]) > 2, F.slice(s["open"], -2, 2)).otherwise(F.slice(s["open"], -1, 1))
-        return F.when(flush, F.struct(F.concat(s["done"], F.array(s["open"])).alias("done"), F.concat(seed, F.array(x)).alias("open"))).otherwise(F.struct(s["done"].alias("done"), F.concat(s["open"], F.array(x)).alias("open")))
-
-    zero = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("open"))
-    groups = F.aggregate(sentences(text), zero, pack, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
-    find = lambda x: F.call_function("locate", x, text) - 1
-    return F.transform(groups, lambda g: _chunk(F.array_join(g, " "), find(F.element_at(g, 1)), find(F.element_at(g, -1)) + F.length(F.element_at(g, -1)), "semantic"))
-
-
-def structure_chunks(text: Column, size: int = 0, overlap: int = 0) -> Column:
+    find, held, total = _Finder(text), [], 0
+    done = lambda: (" ".join(held), find(held[0]), find(held[-1]) + len(held[-1]), None)
+    for s in sentences(text):
+        if held and total + len(s) > size:
+            yield done()
+            held = held[-2:] if len(held) > 2 else held[-1:]
+            total = sum(map(len, held))
+        held.append(s)
+        total += len(s)
+    if held:
+        yield done()
+
+
+def structure_spans(text: str, size: int, overlap: int):
     """Sections under `#` headings if the text starts with `#`, else paragraphs; offsets as found (-1 for rebuilt sections). size and overlap are not used."""
-    head = rf"(?dm)^#{{1,6}}{SPACE}+.+$"
-    bodies, heads = F.split(text, head, -1), F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(head), F.lit(0)))
-    pairs = F.filter(F.arrays_zip(heads.alias("h"), bodies.alias("b")), lambda p: F.length(strip(p["b"])) > 0)
-    whole = F.transform(pairs, lambda p: strip(F.concat(p["h"], F.lit("\n"), p["b"])))
-    find = lambda x: F.call_function("locate", x, text) - 1
-    sections = F.transform(whole, lambda x: _chunk(x, find(x), find(x) + F.length(x), "structure_based", F.lit(0)))
-    kept = F.filter(F.split(text, "\n\n", -1), lambda x: F.length(strip(x)) > 0)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(CHUNK).alias("out"))
-    add = lambda s, x: F.struct((s["at"] + F.length(x) + 2).alias("at"), F.concat(s["out"], F.array(_chunk(strip(x), s["at"], s["at"] + F.length(x), "structure_based", F.lit(0)))).alias("out"))
-    paragraphs = F.aggregate(kept, zero, add, lambda s: s["out"])
-    return F.when(text.startswith("#"), sections).otherwise(paragraphs)
-
-
-STRATEGIES = {"Length-based": length_chunks, "Semantic": semantic_chunks, "Structure-based": structure_chunks}
-
-
-def chunk(df: DataFrame, strategy: str = "Length-based", size: int = 500, overlap: int = 10, text: str = "text", overlap_mode: str = "raw") -> DataFrame:
-    """One row per chunk: the other columns of df, chunk_ix, chunk text, start, end, strategy, level. overlap_mode 'percent' takes overlap as a share of size."""
+    if text.startswith("#"):
+        for head, body in zip(["", *HEADING.findall(text)], HEADING.split(text), strict=True):
+            if body.strip():
+                whole = f"{head}\n{body}".strip()
+                at = text.find(whole)
+                yield whole, at, at + len(whole), 0
+        return
+    at = 0
+    for x in text.split("\n\n"):
+        if piece := x.strip():
+            yield piece, at, at + len(x), 0
+            at += len(x) + 2
+
+
+STRATEGIES = {"Length-based": ("length_based", length_spans), "Semantic": ("semantic", semantic_spans), "Structure-based": ("structure_based", structure_spans)}
+_MADE = [("chunk_ix", pa.int32()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strategy", pa.string()), ("level", pa.int32()), ("error", pa.string())]
+
+
+def chunk(df: DataFrame, strategy: str = "Length-based", size: int = 500, overlap: int = 10, text: str = "text", overlap_mode: str = "raw", errors: bool = False) -> DataFrame:
+    """One row per chunk: the other columns of df, chunk_ix, chunk text, start, end, strategy, level. overlap_mode 'percent' takes overlap as a share of size.
+
+    A text that cannot be chunked gives one row with nulls; with `errors` a column `error` says why. Null and empty texts give no
+    rows. By length, sizes under 50 or steps that could not advance anywhere are refused. Columns of df with the names of new ones are left out.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown chunking strategy: {strategy}")
     overlap = int(size * overlap / 100) if overlap_mode == "percent" else overlap
-    others = [c for c in df.columns if c != text]
-    made = df.select(*others, F.posexplode(STRATEGIES[strategy](F.col(text), size, overlap)).alias("chunk_ix", "c"))
-    return made.select(*others, "chunk_ix", "c.text", "c.start", "c.end", "c.strategy", "c.level")
+    if strategy == "Length-based" and (size < PARAGRAPH_REACH or size - PARAGRAPH_REACH - overlap < 0):
+        raise ValueError("size must be at least 50 and exceed the overlap by at least 50")
+    name, spans = STRATEGIES[strategy]
+    made_names = [n for n, _ in _MADE]
+    others = [c for c in df.columns if c != text and c not in made_names]
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                rows, made = [], []
+                for i, t in enumerate(batch.column(0).slice(a, 1024).to_pylist(), a):
+                    try:
+                        mine = [(k, *x[:3], name, x[3], None) for k, x in enumerate(spans(t or "", size, overlap))]
+                    except ValueError as e:
+                        mine = [(None, None, None, None, None, None, str(e))]
+                    made += mine
+                    rows += [i] * len(mine)
+                if made:
+                    columns = [pa.array(x, kind) for x, (_, kind) in zip(zip(*made, strict=True), _MADE, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[1:]), *columns], names=[*others, *made_names])
+
+    kept = df.select(F.col(text).alias("__text"), *others)
+    kinds = {pa.int32(): IntegerType(), pa.int64(): LongType(), pa.string(): StringType()}
+    schema = StructType([*kept.schema.fields[1:], *(StructField(n, kinds[k]) for n, k in _MADE)])
+    out = kept.mapInArrow(run, schema)
+    return out if errors else out.drop("error")

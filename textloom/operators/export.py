@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.tables import materialise
+
 #: Rows of a batch, dimension of a new index, what each store is called, file extension and MIME type per format.
 BATCH, DIMENSION = 100, 768
 STORES = ("pinecone", "weaviate", "chroma")
@@ -16,7 +21,9 @@ CSV_COLUMNS = ["text", "start", "end", "strategy", "filename", "type"]
 def last_wins(docs: DataFrame, key: str, ordinal: str) -> DataFrame:
     """One row per key, that of the greatest ordinal, with `position`: the smallest ordinal of the key."""
     others = [c for c in docs.columns if c != key]
-    best = docs.groupBy(key).agg(F.max(F.struct(F.col(ordinal).alias("__o"), *others)).alias("r"), F.min(ordinal).alias("position"))
+    row = F.struct(*others)
+    latest = F.struct(F.col(ordinal).alias("o"), F.xxhash64(F.to_json(row)).alias("h"))  # of equal ordinals always the same row
+    best = docs.groupBy(key).agg(F.max_by(row, latest).alias("r"), F.min(ordinal).alias("position"))
     return best.select(key, *(F.col(f"r.{c}").alias(c) for c in others), "position")
 
 
@@ -28,17 +35,30 @@ def json_lines(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.to_json(F.struct(*chunks.columns), {"ignoreNullFields": "true"}).alias("value"))
 
 
+def json_array(chunks: DataFrame) -> DataFrame:
+    """(value): the lines of one indented JSON array, in the order of chunks. Written as text, the files make the array when put together by name.
+
+    chunks is read twice and has to come in the same order both times.
+    """
+    rows = chunks.select(F.to_json(F.struct(*chunks.columns), {"ignoreNullFields": "true", "pretty": "true"}).alias("v"), F.monotonically_increasing_id().alias("__at"))
+    first, last = rows.agg(F.min("__at"), F.max("__at")).first()
+    body = F.concat(F.lit("  "), F.replace("v", F.lit("\n"), F.lit("\n  ")))  # line feeds inside strings are escaped
+    return rows.select(F.concat(F.when(F.col("__at") == first, "[\n").otherwise(""), body, F.when(F.col("__at") == last, "\n]").otherwise(",")).alias("value"))
+
+
 def markdown_block(filename: Column, text: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("## Chunk from "), filename, F.lit("\n")), text, F.lit("\n---\n"))
 
 
 def write_chunks(chunks: DataFrame, path: str, fmt: str) -> bool:
-    """Write below path; False and nothing written if there are no chunks."""
+    """Write below path; False and nothing written if there are no chunks. JSON is one array over all files, in the order of their names."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format: {fmt}")
     if chunks.isEmpty():
         return False
-    if fmt in ("JSONL", "JSON"):
+    if fmt == "JSON":
+        json_array(chunks).write.text(path)
+    elif fmt == "JSONL":
         json_lines(chunks).write.text(path)
     elif fmt == "CSV":
         csv_projection(chunks).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
@@ -55,47 +75,100 @@ def chunk_label(ix: Column, text: Column, start: Column, end: Column) -> Column:
     return F.format_string("Chunk %d (%d characters, %d-%d)", ix + 1, F.length(text), start, end)
 
 
-def vector_records(chunks: DataFrame, order: list[str], group: str) -> DataFrame:
-    """chunks with row_id, id `chunk_<row_id>` and batch, counted over all files in `order`, whose first column is `group`.
+def numbered(rows: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
+    """rows with their place, from 0, in the order of the columns `order`, which should tell all rows apart.
 
-    Counts per group are summed over the (few) groups and added to a position within the group, so no task sorts all rows.
+    Rows are evaluated and sorted once, range by range, into a stage table; a range's first place is the sum of the sizes of
+    those before it, which is one row per range. So no task sees all rows, and none of `order`'s values has to be whole in one.
     """
-    counts = chunks.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(group, "__before")
-    within = F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1
-    row_id = (F.col("__before") + within).cast("long")
-    return chunks.join(offsets, group).withColumn("row_id", row_id).withColumns({"id": F.concat(F.lit("chunk_"), F.col("row_id").cast("string")), "batch": F.floor(F.col("row_id") / BATCH).cast("long")}).drop("__before")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = materialise(placed, "numbered").withColumns({"__part": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("__part").agg(F.max("__row").alias("n"))
+    starts = sizes.select("__part", F.coalesce(F.sum(F.col("n") + 1).over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__row")).cast("long")).drop("__at", "__part", "__row", "__start")
+
+
+def vector_records(chunks: DataFrame, order: list[str]) -> DataFrame:
+    """chunks with row_id, id `chunk_<row_id>` and batch, counted over all files in `order`."""
+    return numbered(chunks, order).withColumns({"id": F.concat(F.lit("chunk_"), F.col("row_id").cast("string")), "batch": F.floor(F.col("row_id") / BATCH).cast("long")})
+
+
+class VectorWriter:
+    """What a vector store's client has to do. Writers are sent to the executors, so connections belong into open()."""
+
+    def create(self, dimension: int) -> None:
+        """Makes the index, class or collection if it is missing; called once, on the driver."""
+
+    def open(self) -> None:
+        """Called in each task before its first batch."""
+
+    def upsert(self, batch: list[dict]) -> None:
+        """At most BATCH records; a record replaces one of the same id. May see a batch again if a task is repeated."""
+        raise NotImplementedError
+
 
+def write_batches(records: DataFrame, writer: VectorWriter, dimension: int = DIMENSION, batch: int = BATCH) -> int:
+    """Sends records to a store by batches of `batch` from the executors; returns their number."""
+    writer.create(dimension)
+    sent = records.sparkSession.sparkContext.accumulator(0)
 
-def export_vectors(records: DataFrame, store: str, path: str) -> DataFrame:
-    """Write records(id, vector, text, filename, type, language, start, end) to a Parquet stand-in of a vector store; one result row.
+    def run(rows) -> None:
+        rows = iter(rows)
+        writer.open()
+        while some := [r.asDict(recursive=True) for r in islice(rows, batch)]:
+            writer.upsert(some)
+            sent.add(len(some))
+
+    records.foreachPartition(run)
+    return sent.value
+
+
+def _prepared(records: DataFrame, store: str) -> DataFrame:
+    if store == "chroma":
+        return records.withColumn("language", F.coalesce("language", F.lit("unknown")))
+    return records.withColumn("id", F.expr("uuid()")) if store == "weaviate" else records
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The records of a Parquet stand-in of a store: its newest whole version, or None."""
+    fs, folder = _folder(spark, path)
+    versions = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    whole = [v for v in versions if v.startswith("v") and fs.exists(_path(spark, f"{path}/{v}/_SUCCESS"))]
+    return spark.read.parquet(f"{path}/{max(whole)}") if whole else None
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = _path(spark, path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def export_vectors(records: DataFrame, store: str, path: str | None = None, writer: VectorWriter | None = None, dimension: int = DIMENSION) -> DataFrame:
+    """Sends records(id, vector, text, filename, type, language, start, end) to a store, by `writer` or into a Parquet stand-in below `path`; one result row.
 
     pinecone and chroma replace records of equal ids, weaviate appends under fresh ids; chroma stores unknown languages as
-    `unknown`. Failures become a row with status `error`.
+    `unknown`. The stand-in gets a new version that counts only once it is whole, so a crash leaves the one before; of
+    equal ids in one call any one stays. Failures become a row with status `error`.
     """
-    spark = records.sparkSession
+    spark, kinds = records.sparkSession, "status string, database string, index string, chunks_uploaded long, message string"
     try:
         if store not in STORES:
             raise ValueError(f"unsupported vector store: {store}")
-        out = records
-        if store == "chroma":
-            out = out.withColumn("language", F.coalesce("language", F.lit("unknown")))
-        if store == "weaviate":
-            out = out.withColumn("id", F.expr("uuid()"))
-        n = out.count()
-        old = _existing(spark, path)
-        if old is not None and store != "weaviate":
-            kept = old.join(out.select("id"), "id", "left_anti")
-            kept.unionByName(out, allowMissingColumns=True).write.mode("overwrite").parquet(path + ".next")
-            spark.read.parquet(path + ".next").write.mode("overwrite").parquet(path)
-        else:
-            out.write.mode("append").parquet(path)
-        return spark.createDataFrame([("success", store, n, None)], "status string, database string, chunks_uploaded long, message string")
+        out = _prepared(records, store)
+        if writer is not None:
+            return spark.createDataFrame([("success", store, path, write_batches(out, writer, dimension), None)], kinds)
+        if path is None:
+            raise ValueError("give a writer or a path")
+        old, n = stored(spark, path), records.count()
+        if store != "weaviate":
+            out = out.dropDuplicates(["id"])
+        if old is not None:
+            old = old if store == "weaviate" else old.join(out.select("id"), "id", "left_anti")
+            out = old.unionByName(out, allowMissingColumns=True)
+        out.write.parquet(f"{path}/v{time.time_ns():020d}")
+        return spark.createDataFrame([("success", store, path, n, None)], kinds)
     except Exception as e:
-        return spark.createDataFrame([("error", store, None, str(e))], "status string, database string, chunks_uploaded long, message string")
-
-
-def _existing(spark, path: str):
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-    return spark.read.parquet(path) if there else None
+        return spark.createDataFrame([("error", store, path, None, str(e))], kinds)

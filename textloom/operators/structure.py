@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.tables import materialise
+
 #: Similarity above which documents are related, cosine distance up to which clusters merge, words of a topic.
 EDGE_ABOVE, MERGE_UP_TO, TOPIC_WORDS, CENTRAL = 0.5, 0.5, 9, 3
 CLUSTER_CAP = 20_000
@@ -25,16 +28,29 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarity_edges(vectors: DataFrame, node: str, vector: str, above: float = EDGE_ABOVE, blocks: int = 8) -> DataFrame:
+def similarity_edges(vectors: DataFrame, node: str, vector: str, above: float = EDGE_ABOVE, block: int = 4096) -> DataFrame:
     """(source, target, similarity) of all pairs source < target whose dot product exceeds `above`.
 
-    Rows are dealt to `blocks` groups and meet in blocks x blocks tasks of bounded size, so neither side is broadcast.
+    Rows are dealt to groups of about `block`, as many as their counted number asks for. Two groups meet in one task, which
+    multiplies them as matrices, so a task's memory stays bounded and neither side is broadcast. Vectors have one length.
     """
-    rows = vectors.select(F.col(node).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int").alias("g"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = rows.select(F.col("id").alias("source"), F.col("v").alias("a"), F.col("g").alias("x"), every.alias("y"))
-    b = rows.select(F.col("id").alias("target"), F.col("v").alias("b"), F.col("g").alias("y"), every.alias("x"))
-    return a.join(b, (a["x"] == b["x"]) & (a["y"] == b["y"]) & (F.col("source") < F.col("target"))).select("source", "target", dot(F.col("a"), F.col("b")).alias("similarity")).filter(F.col("similarity") > above)
+    rows = vectors.select(F.col(node).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    groups = max(1, math.ceil(vectors.count() / block))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.struct(F.least("g", o).alias("x"), F.greatest("g", o).alias("y"))))
+    dealt = rows.select("id", "v", "g", cell.alias("c")).select("id", "v", "g", "c.x", "c.y")
+
+    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = key
+        left, right = pdf[pdf["g"] == x], pdf[pdf["g"] == y]
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        if not len(a) or not len(b):
+            return pd.DataFrame({"source": [], "target": [], "similarity": []})
+        dots = np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T
+        i, j = np.nonzero((dots > above) & ((a[:, None] < b[None, :]) if x == y else (a[:, None] != b[None, :])))
+        return pd.DataFrame({"source": np.minimum(a[i], b[j]), "target": np.maximum(a[i], b[j]), "similarity": dots[i, j]})
+
+    return dealt.groupBy("x", "y").applyInPandas(product, "source long, target long, similarity double")
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
@@ -149,7 +165,7 @@ class Structure:
 def structure_documents(docs: DataFrame, min_similarity: float = 0.5, max_topics: int = 5, honour_similarity: bool = False) -> Structure:
     """docs(ix, filename, content[, embedding]) to topics, clusters, central documents and relationships; failures give status `error`.
 
-    min_similarity changes nothing unless honour_similarity is set. If topics can't be fitted, each document's name is one.
+    Every result is written before the status is known, so what fails while it is computed is an error too. min_similarity changes nothing unless honour_similarity is set. If topics can't be fitted, each document's name is one.
     """
     try:
         docs = docs if "embedding" in docs.columns else embed(docs, "content")
@@ -166,6 +182,6 @@ def structure_documents(docs: DataFrame, min_similarity: float = 0.5, max_topics
         central = central_documents(degree_centrality(docs, edges, "ix"), "ix").join(docs.select("ix", "filename"), "ix")
         name = lambda end: docs.select(F.col("ix").alias(end), F.col("filename").alias(f"{end}_name"))
         related = edges.join(name("source"), "source").join(name("target"), "target").select(F.col("source_name").alias("source"), F.col("target_name").alias("target"), "similarity")
-        return Structure("success", named, sizes, central, related)
+        return Structure("success", *(materialise(x, "structure") for x in (named, sizes, central, related)))
     except Exception as e:
         return Structure("error", message=str(e))

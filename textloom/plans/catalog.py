@@ -9,16 +9,14 @@ from textloom.functions import chunking, cleaning
 from textloom.functions.cleaning import CleanOptions
 from textloom.operators import export, structure
 from textloom.sources import files
+from textloom.tables import spread
+from textloom.tables import table as _table
 
 ROUND = 6
 
 
-def _table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _docs(spark, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+def _docs(spark, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text"))))
 
 
 def _spaced(spark, sf_dir: str) -> DataFrame:
@@ -26,11 +24,6 @@ def _spaced(spark, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).withColumn("text", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Cleaned texts are used several times below; a shuffle by key keeps the expressions from being computed over and over."""
-    return df.repartition("doc_id")
-
-
 def _chunks(df: DataFrame, strategy: str = "Length-based", size: int = 500, overlap: int = 10) -> DataFrame:
     return chunking.chunk(df, strategy, size, overlap).select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "text", "start", "end")
 
@@ -44,8 +37,8 @@ def _cleaned(spark, d: str) -> DataFrame:
 
 
 def _summary(spark, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").select("doc_id", "lang", "source", cleaning.clean_text(F.col("text")).alias("text"))
-    chunks = chunking.chunk(_spread(docs))
+    docs = _docs(spark, d, "doc_id", "lang", "source", "text").withColumn("text", cleaning.clean_text(F.col("text")))
+    chunks = chunking.chunk(docs)
     return chunks.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.sum(F.length("text").cast("long")).alias("n_chars"))
 
 
@@ -56,19 +49,25 @@ def _headed(spark, d: str) -> DataFrame:
 
 
 def _pages(spark, d: str) -> DataFrame:
-    pages = _table(spark, d, "pages")
+    pages = spread(_table(spark, d, "pages").select("page_id", "html"))
     raw = pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.col("page_id").alias("ordinal"), F.col("html").cast("binary").alias("content"))
     return files.extract_documents(raw).select(F.col("ordinal").alias("page_id"), "content", "metadata")
 
 
+#: Endings that type_dispatch puts behind the names of pages, and the handlers that they get.
+_ENDINGS = {"": None, ".txt": "text", ".MD": "markdown", ".htm": "html", ".docx": "docx", ".XLSX": "xlsx", ".pptx": "pptx", ".pdf": "pdf", ".csv": "", ".exe": "", ".bin": "", ".webp": "", ".tsv": "", ".bmp": "", ".c": "text", ".unknown": "text", ".txt.gz": "text", ".tgz": "", ".json": "", ".mp3": ""}
+
+
 def _typed(spark, d: str) -> DataFrame:
-    exts = F.array(*map(F.lit, ["txt", "MD", "html", "docx", "XLSX", "pptx", "pdf", "csv", ""]))
-    name = F.concat(F.lit("file"), F.col("page_id").cast("string"), F.lit("."), F.get(exts, (F.col("page_id") % 9).cast("int")))
-    return _table(spark, d, "pages").select("page_id", name.alias("filename")).select("page_id", "filename", files.type_of(F.col("filename")).alias("type"))
+    """The types of the pages' own file names, and of these with another ending."""
+    name = F.regexp_extract("url", r"([^/?#]*)([?#].*)?$", 1)
+    endings = F.array(*map(F.lit, _ENDINGS))
+    names = _table(spark, d, "pages").select("page_id", F.concat(name, F.get(endings, (F.col("page_id") % len(_ENDINGS)).cast("int"))).alias("filename"))
+    return names.withColumn("type", files.type_of(F.col("filename")))
 
 
 def _with_metadata(spark, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").select("doc_id", "text", F.struct(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit("text").alias("type")).alias("metadata"))
+    docs = _docs(spark, d).select("doc_id", "text", F.struct(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit("text").alias("type")).alias("metadata"))
     return chunking.chunk(docs)
 
 
@@ -81,7 +80,7 @@ def _centrality(spark, d: str) -> DataFrame:
 
 
 def _topic_argmax(spark, d: str) -> DataFrame:
-    rows = _table(spark, d, "embeddings").select("label", F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x.cast("double"), 4)).alias("s"))
+    rows = _table(spark, d, "embeddings").select("label", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("s"))
     return structure.main_topic(rows, "label", "s").select("label", F.col("topic_id").cast("long").alias("topic_id"))
 
 
@@ -90,7 +89,7 @@ def _lda(spark, d: str) -> DataFrame:
 
 
 def _stats(spark, d: str) -> DataFrame:
-    return _spread(_cleaned(spark, d)).select("doc_id", *(v.alias(k) for k, v in cleaning.clean_stats(F.col("text"), F.col("cleaned")).items()))
+    return _cleaned(spark, d).select("doc_id", *(v.alias(k) for k, v in cleaning.clean_stats(F.col("text"), F.col("cleaned")).items()))
 
 
 def _preview(spark, d: str) -> DataFrame:
@@ -133,7 +132,7 @@ def queries() -> dict:
         "export_csv_projection": lambda s, d: export.csv_projection(_with_metadata(s, d)),
         "export_jsonl": lambda s, d: export.json_lines(_with_metadata(s, d)),
         "export_markdown": lambda s, d: _with_metadata(s, d).select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), export.markdown_block(F.col("metadata.filename"), F.col("text")).alias("block")),
-        "vector_records": lambda s, d: export.vector_records(chunking.chunk(_docs(s, d)).select("doc_id", "chunk_ix", "start", "end"), ["doc_id", "chunk_ix"], "doc_id").select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "row_id", "id", "batch", "start", "end"),
+        "vector_records": lambda s, d: export.vector_records(chunking.chunk(_docs(s, d)).select("doc_id", "chunk_ix", "start", "end"), ["doc_id", "chunk_ix"]).select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "row_id", "id", "batch", "start", "end"),
         "dedupe_last_wins": _dedupe,
         "doc_similarity_edges": lambda s, d: _edges(s, d).withColumn("similarity", F.round("similarity", ROUND)),
         "doc_degree_centrality": lambda s, d: _centrality(s, d).withColumn("centrality", F.round("centrality", ROUND)),
@@ -195,8 +194,9 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn) - 1 AS chun
         "clean_empty_lines": f"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10)) AS cleaned FROM ({spread})",
         "clean_default": f"WITH {lines} SELECT doc_id, cleaned FROM cl",
         "clean_stats": f"WITH {lines} SELECT doc_id, length(text) AS original_length, length(cleaned) AS cleaned_length, round((1 - length(cleaned) / length(text)) * 100, 2) AS reduction_percentage, length(text) - length(cleaned) AS removed_characters, CAST(len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS BIGINT) AS original_lines, CAST(len(string_split(regexp_replace(cleaned, '\\n$', ''), chr(10))) AS BIGINT) AS cleaned_lines FROM cl",
-        "type_dispatch": "SELECT page_id, 'file' || page_id || '.' || (['txt', 'MD', 'html', 'docx', 'XLSX', 'pptx', 'pdf', 'csv', ''])[page_id % 9 + 1] AS filename, (['text', 'markdown', 'html', 'docx', 'xlsx', 'pptx', 'pdf', NULL, 'text'])[page_id % 9 + 1] AS type FROM pages",
-        "html_meta": "SELECT page_id, CAST(0 AS INTEGER) AS n_tags, CAST(0 AS BIGINT) AS size, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM pages",
+        "type_dispatch": f"""WITH e AS (SELECT page_id, regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) AS own, ([{", ".join(repr(x) for x in _ENDINGS)}])[page_id % {len(_ENDINGS)} + 1] AS ending FROM pages)
+SELECT page_id, own || ending AS filename, CASE WHEN own = '' AND ending NOT IN ({", ".join(repr(k) for k in _ENDINGS if k.strip(".").lower() in files.ENDINGS)}) THEN 'text' {" ".join(f"WHEN ending = {k!r} THEN {'NULL' if v == '' else repr(v)}" for k, v in _ENDINGS.items() if v is not None)} WHEN own LIKE '%.html' THEN 'html' ELSE 'text' END AS type FROM e""",
+        "html_meta": "SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, '<meta[^>]*>'), lambda m: regexp_matches(m, '(name|property)=') AND regexp_matches(m, 'content=.?[^\"\'' >]'))) AS INTEGER) AS n_tags, CASE WHEN len(regexp_extract_all(html, '<meta[^>]*>')) = 0 THEN CAST(octet_length(encode(html)) AS BIGINT) ELSE CAST(length(regexp_extract(regexp_extract_all(html, '<meta[^>]*>')[-1], 'content=.?([^\"\'' >]*)', 1)) AS BIGINT) END AS size, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM pages",
         "preview": "SELECT 'doc' || doc_id AS filename, 'text' AS type, printf('%.1f KB', octet_length(encode(text)) / 1024) AS size, 'unknown' AS language FROM documents",
         "export_csv_projection": _length_sql(docs, "SELECT text, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", 'length_based' AS strategy, 'doc' || doc_id || '.txt' AS filename, 'text' AS type FROM c WHERE text <> ''"),
         "export_markdown": _length_sql(docs, "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS chunk_ix, '## Chunk from doc' || doc_id || '.txt' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) AS block FROM c WHERE text <> ''"),
@@ -206,7 +206,16 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn) - 1 AS chun
         "doc_degree_centrality": centrality,
         "central_documents": f"SELECT * FROM ({centrality}) ORDER BY centrality DESC, vec_id LIMIT 3",
         "cluster_summary": "SELECT label, count(*) AS size, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY label",
+        "chunk_semantic": r"""WITH RECURSIVE s0 AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS ss FROM documents),
+s AS (SELECT doc_id, text, ss, len(ss) AS n, list_transform(ss, lambda x: length(x)) AS ls FROM s0 WHERE len(ss) > 0),
+r AS (SELECT doc_id, n, ls, 1 AS i, 1 AS first, ls[1] AS total, 0 AS ix, CAST(NULL AS BIGINT) AS done, CAST(NULL AS BIGINT) AS until FROM s
+  UNION ALL SELECT doc_id, n, ls, i + 1, CASE WHEN total + ls[i + 1] > 500 THEN (CASE WHEN i - first + 1 > 2 THEN i - 1 ELSE i END) ELSE first END,
+    CASE WHEN total + ls[i + 1] > 500 THEN (CASE WHEN i - first + 1 > 2 THEN ls[i - 1] + ls[i] ELSE ls[i] END) ELSE total END + ls[i + 1],
+    CASE WHEN total + ls[i + 1] > 500 THEN ix + 1 ELSE ix END, CASE WHEN total + ls[i + 1] > 500 THEN first END, CASE WHEN total + ls[i + 1] > 500 THEN i END FROM r WHERE i < n),
+c AS (SELECT doc_id, ix - 1 AS ix, done AS a, until AS b FROM r WHERE done IS NOT NULL UNION ALL SELECT doc_id, ix, first, i FROM r WHERE i = n)
+SELECT doc_id, CAST(ix AS BIGINT) AS chunk_ix, array_to_string(ss[a:b], ' ') AS text, CAST(strpos(text, ss[a]) - 1 AS BIGINT) AS start, CAST(strpos(text, ss[b]) - 1 + length(ss[b]) AS BIGINT) AS "end" FROM c JOIN s USING (doc_id)""",
+        "export_jsonl": _length_sql(docs, "SELECT to_json({'doc_id': doc_id, 'metadata': {'filename': 'doc' || doc_id || '.txt', 'type': 'text'}, 'chunk_ix': row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1, 'text': text, 'start': CAST(s AS BIGINT), 'end': CAST(e AS BIGINT), 'strategy': 'length_based'})::VARCHAR AS value FROM c WHERE text <> ''"),
         "term_counts": r"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents) GROUP BY doc_id, term",
-        "topic_argmax": "WITH s AS (SELECT label, t AS topic_id, avg(round(CAST(embedding[t + 1] AS DOUBLE), 4)) AS p FROM embeddings, range(5) r(t) GROUP BY label, t) SELECT label, CAST(topic_id AS BIGINT) AS topic_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p DESC, topic_id) AS k FROM s) WHERE k = 1",
+        "topic_argmax": "WITH s AS (SELECT label, t AS topic_id, avg(round(CAST(embedding[t + 1] AS DOUBLE), 4)) AS p FROM embeddings, range(64) r(t) WHERE t < len(embedding) GROUP BY label, t) SELECT label, CAST(topic_id AS BIGINT) AS topic_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p DESC, topic_id) AS k FROM s) WHERE k = 1",
         "language_detect": f"WITH w AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM documents), v AS (SELECT doc_id, {', '.join(f'{x} AS {k}' for k, x in votes.items())} FROM w) SELECT doc_id, CASE WHEN greatest({', '.join(votes)}) = 0 THEN 'unknown' {' '.join(f'WHEN {k} = greatest({chr(44).join(votes)}) THEN {chr(39)}{k}{chr(39)}' for k in votes)} END AS language FROM v",
     }

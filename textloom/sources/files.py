@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import mimetypes
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -16,22 +17,38 @@ from pyspark.sql import functions as F
 
 METADATA = "struct<filename:string,type:string,size:bigint,size_bytes:bigint,language:string,sheets:array<string>,slides:int,pages:int,pdf_metadata:map<string,string>,ocr_applied:boolean,meta_tags:map<string,string>>"
 DOCUMENT = f"filename string, ordinal bigint, content string, html_content string, metadata {METADATA}, error string"
-#: Extensions and the types they stand for.
-TYPES = {"txt": "text", "text": "text", "md": "markdown", "html": "html", "htm": "html", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "pdf": "pdf"}
-REFUSED = ("csv", "json", "xml", "png", "jpg", "jpeg", "gif", "zip", "gz", "doc", "xls", "ppt", "js", "css", "mp3", "mp4", "rtf", "tar", "py", "svg")
+#: The MIME types that have a handler, and endings that stand for one whatever the MIME table says.
+HANDLERS = {
+    "text/plain": "text",
+    "text/markdown": "markdown",
+    "application/pdf": "pdf",
+    "text/html": "html",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
+}
+ENDINGS = {"md": "markdown", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx"}
 OCR_BELOW, OCR_CONFIDENCE = 100, 0.5
 #: Function words that vote for a language, most frequent first.
 STOP_WORDS = {"en": ["the", "of", "and", "to", "in", "that", "is", "was"], "fr": ["de", "la", "le", "et", "les", "des", "une", "est"], "de": ["der", "die", "und", "das", "ist", "nicht", "ein", "zu"], "es": ["el", "los", "que", "y", "en", "por", "una", "del"]}
 
 
 def type_of(filename: Column) -> Column:
-    """The handler for a file name; unknown extensions are text, known unsupported ones null."""
-    ext = F.lower(F.regexp_extract(filename, r"\.([^./\\]+)$", 1))
-    kind = F.lit("text")
-    for e in REFUSED:
-        kind = F.when(ext == e, F.lit(None).cast("string")).otherwise(kind)
-    for e, t in TYPES.items():
-        kind = F.when(ext == e, t).otherwise(kind)
+    """The handler for a file name by Python's own MIME table: names that it cannot guess are text, types without a handler null.
+
+    An ending of a compression (as in `a.txt.gz`) is left off, as the table does; a leading dot makes no ending."""
+    known = mimetypes.MimeTypes(filenames=())
+    table = {ext[1:]: HANDLERS.get(mime, "") for ext, mime in known.types_map[1].items()}
+    for short, long in known.suffix_map.items():  # .tgz is .tar.gz
+        table[short[1:]] = table.get(long.split(".")[1], "text")
+    table |= ENDINGS
+    packed = "|".join(re.escape(x[1:]) for x in known.encodings_map)
+    name = F.regexp_replace(F.regexp_extract(filename, r"([^/\\]*)$", 1), rf"(?<=[^.])\.({packed})$", "")
+    ext = F.regexp_extract(F.lower(name), r"^\.*[^.].*\.([^.]*)$", 1)
+    kinds = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    kind = F.nullif(F.coalesce(F.element_at(kinds, ext), F.lit("text")), F.lit(""))
+    for ending, handler in ENDINGS.items():
+        kind = F.when(F.lower(filename).endswith(f".{ending}"), handler).otherwise(kind)
     return kind
 
 
@@ -216,10 +233,15 @@ def process_document(data: bytes, filename: str, kind: str | None, extract: Call
     return row
 
 
-def read_files(spark: SparkSession, path: str, extract: Callable | None = None, ocr: Callable | None = None) -> DataFrame:
-    """Documents of all files below path; ordinals are modification times in microseconds."""
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, ordinal, content) of all files below path; ordinals are modification times in microseconds."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return extract_documents(raw.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.unix_micros("modificationTime").alias("ordinal"), F.col("content")), extract, ocr)
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.unix_micros("modificationTime").alias("ordinal"), F.col("content"))
+
+
+def read_files(spark: SparkSession, path: str, extract: Callable | None = None, ocr: Callable | None = None) -> DataFrame:
+    """Documents of all files below path."""
+    return extract_documents(read_raw(spark, path), extract, ocr)
 
 
 def extract_documents(raw: DataFrame, extract: Callable | None = None, ocr: Callable | None = None) -> DataFrame:

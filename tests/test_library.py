@@ -204,22 +204,21 @@ def test_process_raw(spark):
     assert ingest.process_raw(raw.limit(0)).documents.count() == 0
 
 
-class Folder(export.VectorWriter):
-    """Writes each batch as a file."""
-
-    def __init__(self, path):
-        self.path = path
+def test_writer_interface(spark, tmp_path):
+    class Folder(export.VectorWriter):
+        """Writes each batch as a file."""
 
-    def create(self, dimension):
-        (self.path / f"dimension-{dimension}").touch()
+        def __init__(self, path):
+            self.path = path
 
-    def upsert(self, batch):
-        import uuid
+        def create(self, dimension):
+            (self.path / f"dimension-{dimension}").touch()
 
-        (self.path / f"batch-{uuid.uuid4().hex}").write_text("\n".join(r["id"] for r in batch))
+        def upsert(self, batch):
+            import uuid
 
+            (self.path / f"batch-{uuid.uuid4().hex}").write_text("\n".join(r["id"] for r in batch))
 
-def test_writer_interface(spark, tmp_path):
     records = spark.range(250).coalesce(1).select(F.concat(F.lit("chunk_"), "id").alias("id"), F.lit(None).cast("string").alias("language"))
     done = export.export_vectors(records, "pinecone", writer=Folder(tmp_path), dimension=8).first()
     files_ = [p.read_text().split("\n") for p in tmp_path.glob("batch-*")]

@@ -138,6 +138,8 @@ def topics(docs: DataFrame, text: str, most: int = 5, iterations: int = 10):
     """(topics(topic_id, words), documents with `topic_share` arrays); the vocabulary is CountVectorizer's, stop words are English."""
     stages = [RegexTokenizer(inputCol=text, outputCol="__t", pattern=r"(?U)\b\w\w+\b", gaps=False), StopWordsRemover(inputCol="__t", outputCol="__w"), CountVectorizer(inputCol="__w", outputCol="__c", minDF=1, vocabSize=VOCABULARY)]
     prepared = Pipeline(stages=stages).fit(docs)
+    if not prepared.stages[-1].vocabulary:
+        raise ValueError("no terms")
     counted = prepared.transform(docs)
     model = LDA(k=topic_count(docs.count(), most), seed=42, maxIter=iterations, featuresCol="__c").fit(counted)
     words = prepared.stages[-1].vocabulary

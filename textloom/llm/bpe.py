@@ -240,7 +240,7 @@ _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.
 def tokenise(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], outputs: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` of docs and the `outputs` of each whole text; a null text is empty. One row per row, no shuffle.
 
-    The rank file is read on the driver and broadcast: a vocabulary, whose size does not depend on the data.
+    An empty table gives no rows; rows that repeat stay; nulls in `keep` stay. The rank file is read on the driver and broadcast: a vocabulary, whose size does not depend on the data.
     Column names in `outputs` win over equal names in docs only if those are not in `keep`; a clash raises ValueError.
     """
     if set(keep) & set(outputs):
@@ -264,6 +264,7 @@ def tokenise(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], ou
                 cols = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 cols += [x if isinstance(x := made[o](), pa.Array) else pa.array(x, _ARROW[o]) for o in outputs]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *outputs])
+        own._forget()  # the worker may serve other stages afterwards
 
     return narrow.mapInArrow(run, schema)
 

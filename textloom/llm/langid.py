@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
 Subwords are byte n-grams (ORDERS) of the text in ASCII lower case, other ASCII non-letters as spaces, hashed into BUCKETS rows of
-an embedding table. A text is the mean of its subwords' embeddings. Training sees at most `per_language` rows of each
+an embedding table. A text is the mean of its subwords' embeddings. Training sees about `per_language` rows of each
 language, as subword counts made on the executors; a fifth of them calibrates a temperature and the rejection score.
 For prediction embedding and softmax are folded into one table of BUCKETS x languages.
 """
@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import slices, table
+from textloom.llm.shared import joinable, materialise, slices, string_parts, table
 
 ORDERS, BUCKETS, DIM, BATCH_BYTES = (2, 3), 1 << 15, 16, 1 << 21
-PER_LANGUAGE, LANGUAGES, REJECT_RATE, UNKNOWN = 600, 512, 0.002, "und"
+PER_LANGUAGE, REJECT_RATE, UNKNOWN, BROADCAST_ROWS = 600, 0.002, "und", 100_000
 _MAP = np.full(256, 32, np.uint32)
 _MAP[128:] = np.arange(128, 256)
 for _a in range(26):
@@ -25,14 +25,6 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-def _spread(batch_texts: pa.StringArray):
-    """(bytes, offsets) of an Arrow string column."""
-    offsets = np.frombuffer(batch_texts.buffers()[1], np.int32)[batch_texts.offset : batch_texts.offset + len(batch_texts) + 1].astype(np.int64)
-    raw = batch_texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-    return data, offsets - offsets[0]
-
-
 def subwords(data: np.ndarray) -> list[np.ndarray]:
     """For each order the bucket of the n-gram that starts at each byte."""
     x, out = _MAP[data], []
@@ -46,7 +38,7 @@ def subwords(data: np.ndarray) -> list[np.ndarray]:
 
 def _counts(batches):
     for batch in batches:
-        data, offsets = _spread(batch.column(1))
+        data, offsets = string_parts(batch.column(1))
         ids, counts = [], []
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             c = np.bincount(np.concatenate(subwords(data[a:b])), minlength=BUCKETS) if b > a else np.zeros(BUCKETS, int)
@@ -100,7 +92,7 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
     def predict(self, texts: pa.StringArray) -> tuple[list[str], np.ndarray]:
-        data, offsets = _spread(texts)
+        data, offsets = string_parts(texts)
         z, total = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts))
         letters = np.concatenate([[0], np.cumsum(_LETTER[data])])[offsets]
         for n, grams in zip(ORDERS, subwords(data), strict=True):
@@ -122,33 +114,35 @@ class Model:
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from labelled(doc_id, text, lang): at most about per_language rows of each of the LANGUAGES most frequent, by hash of doc_id."""
+    """A model from labelled(doc_id, text, lang): about per_language rows of every language (the bound of the sample), by hash of doc_id.
+
+    Rows without a language or text are left out; rows that repeat a doc_id are drawn together. Without rows the model knows no language.
+    """
     seen = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Model([])
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))) for r in counts), F.lit(0.0))
-    drawn = seen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
-    rows = drawn.mapInArrow(_counts, "lang string, ids array<int>, counts array<int>").limit(per_language * len(counts) * 2).collect()
+    shares = seen.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(per_language) / F.count(F.lit(1))).alias("__share"))
+    shares = materialise(shares, "lang-shares")
+    drawn = seen.select("doc_id", "lang", "text").join(joinable(shares, shares.count(), BROADCAST_ROWS), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("__share") * (1 << 30)).select("lang", "text")
+    rows = drawn.mapInArrow(_counts, "lang string, ids array<int>, counts array<int>").collect()
     return Model([(r["lang"], r["ids"], r["counts"]) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs and lang_pred, score, rejected. Texts are read whole; null texts and texts without a letter are `und` with score 0, and rejected."""
+    """Columns `keep` of docs and lang_pred, score, rejected. Texts are read whole; null texts and texts without a letter are `und` with score 0, and rejected.
+
+    Every row is judged by its own text, rows that repeat too; a null doc_id or other nulls in `keep` stay; an empty table gives no rows. Names in `keep` that clash raise ValueError.
+    """
     if clash := set(keep) & {"lang_pred", "score", "rejected"}:
         raise ValueError(f"clashing names: {sorted(clash)}")
-    narrow = docs.select(*keep, docs["text"].alias("__text"))
+    narrow = docs.select(*keep) if "text" in keep else docs.select(*keep, docs["text"].alias("__text"))  # a text is sent once
+    place = keep.index("text") if "text" in keep else len(keep)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]] + ["lang_pred string, score double, rejected boolean"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[: len(keep)]] + ["lang_pred string, score double, rejected boolean"])
 
     def run(batches):
         own = sent.value
         for batch in batches:
-            texts = batch.column(len(keep))
-            if not len(texts):
-                continue
-            lengths = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1])
-            for a, b in slices(lengths, BATCH_BYTES):
+            texts = batch.column(place)
+            for a, b in slices(np.diff(string_parts(texts)[1]), BATCH_BYTES):
                 lang, score = own.predict(texts.slice(a, b - a))
                 out = [pa.array(lang, pa.string()), pa.array(score), pa.array([x == UNKNOWN or s < own.reject for x, s in zip(lang, score, strict=True)])]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + out, names=[*keep, "lang_pred", "score", "rejected"])

@@ -17,8 +17,13 @@ from textloom.llm.shared import materialise, table
 def _pruned(items, k: int):
     """Misra-Gries prune of an array<struct<n, key>>: subtract the (k+1)th largest count, keep what stays positive."""
     top = F.slice(F.sort_array(items, asc=False), 1, k + 1)
-    least = F.when(F.size(top) > k, F.element_at(top, -1)["n"]).otherwise(F.lit(0))
-    return F.filter(F.transform(top, lambda x: F.struct((x["n"] - least).alias("n"), x["key"].alias("key"))), lambda x: x["n"] > 0)
+
+    def lowered(top, least):
+        return F.filter(F.transform(top, lambda x: F.struct((x["n"] - least).alias("n"), x["key"].alias("key"))), lambda x: x["n"] > 0)
+
+    # each array of one element binds a value, so that it is computed once and not for every entry
+    pruned = lambda top: F.get(F.transform(F.array(F.when(F.size(top) > k, F.element_at(top, -1)["n"]).otherwise(F.lit(0))), lambda least: lowered(top, least)), F.lit(0))
+    return F.get(F.transform(F.array(top), pruned), F.lit(0))
 
 
 def frequent_keys(rows: DataFrame, key: str, k: int, chunk_bits: int = 16) -> DataFrame:

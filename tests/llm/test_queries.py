@@ -1,0 +1,251 @@
+"""The registered queries on small tables, against brute force that shares no code with the operators."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from textloom.llm import catalog, secrets
+from small import documents, lines_left, removals, write
+
+
+def rows_of(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+def test_fuzzy_lines(spark, tmp_path):
+    docs = documents(seed=3)
+    write(spark, tmp_path, docs)
+    got = {r["doc_id"]: r for r in rows_of(catalog.queries()["op2_fuzzy_line_dedup"](spark, str(tmp_path)))}
+    want = lines_left([(i, t) for i, t, *_ in docs])
+    assert len(got) == len(docs)
+    same = 0
+    for i, text, *_ in docs:
+        left = want[i]
+        assert got[i]["n_lines"] == (0 if text is None else text.count("\n") + 1)
+        same += (got[i]["text_sha256"], got[i]["chars_left"]) == (hashlib.sha256((left or "").encode()).hexdigest(), None if left is None else len(left))
+    late = len(removals([(i, t, want[i]) for i, t, *_ in docs]))
+    assert same >= len(docs) - 2  # candidates are found with a probability near 1
+    assert late > 40 and late - 2 <= sum(r["n_removed"] for r in got.values()) <= late
+
+
+def brute_mixing(docs, share):
+    """Raking in numpy over cells of (source, language, topic)."""
+    none = "\0none"
+    cells = {}
+    for _, text, lang, source in docs:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        topic = "long" if len(text or "") >= 4000 else "short" if len(text or "") < 800 else "prose"
+        key = (source if source is not None else none, lang if lang is not None else none, topic)
+        cells[key] = cells.get(key, 0) + n
+    keys, tokens = list(cells), np.array([cells[k] for k in cells], float)
+    weight, wants = tokens.copy(), []
+    for d, power in ((0, 0.7), (1, 0.7), (2, 0.9)):
+        sums = {v: sum(t for k, t in zip(keys, tokens, strict=True) if k[d] == v) for v in {k[d] for k in keys}}
+        total = sum(s**power for s in sums.values() if s > 0)
+        wants.append({v: s**power / total for v, s in sums.items() if s > 0})
+    for _ in range(3000):
+        for d, want in enumerate(wants):
+            for v in {k[d] for k in keys}:
+                mine = np.array([k[d] == v for k in keys])
+                if weight[mine].sum() > 0:
+                    weight[mine] *= want.get(v, 0) / weight[mine].sum()
+    ratio = np.divide(weight, tokens, out=np.zeros_like(weight), where=tokens > 0)
+    low, high = 0.0, 1e12
+    for _ in range(300):  # expected tokens rise with c
+        c = (low + high) / 2
+        low, high = (c, high) if (np.minimum(1, c * ratio) * tokens).sum() < share * tokens.sum() else (low, c)
+    return {k: min(1.0, high * r) for k, r in zip(keys, ratio, strict=True)}
+
+
+def test_mixing(spark, tmp_path):
+    docs = documents(seed=4)
+    write(spark, tmp_path, docs)
+    got = {r["doc_id"]: r for r in rows_of(catalog.queries()["op4_rake_mixing"](spark, str(tmp_path)))}
+    odds = brute_mixing(docs, 0.8)
+    assert len(got) == len(docs)
+    for i, text, lang, source in docs:
+        r = got[i]
+        assert r["tokens"] == len((text or "").split())
+        topic = "long" if len(text or "") >= 4000 else "short" if len(text or "") < 800 else "prose"
+        p = odds[(source if source is not None else "\0none", lang if lang is not None else "\0none", topic)] if r["tokens"] else 1.0
+        assert r["probability"] == pytest.approx(p, abs=2e-4)
+        draw = int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        if abs(draw - p) > 1e-3:
+            assert r["sampled"] == (draw < p or not r["tokens"])
+
+
+def test_mixing_to_given_targets(spark):
+    from textloom.llm import mixing
+
+    docs = spark.createDataFrame([(i, "w " * 10, ["en", "de"][i % 2], ["a", "b"][i // 50], "t") for i in range(100)], "doc_id long, text string, lang string, source string, topic string")
+    table = lambda rows: spark.createDataFrame(rows, "value string, target double")
+    want = {"source": table([("a", 0.8), ("b", 0.2)]), "lang": table([("en", 0.5), ("de", 0.5)]), "topic": table([("t", 1.0)])}
+    out = mixing.mix_sources(docs, 0.5, targets=want).groupBy("source").agg({"probability": "avg"}).collect()
+    assert {r[0]: round(r[1], 6) for r in out} == {"a": 0.8, "b": 0.2}
+    cells = spark.createDataFrame([("a", "x", 1), ("b", "y", 1)], "source string, lang string, tokens long")
+    with pytest.raises(ArithmeticError, match="targets"):
+        mixing.rake(cells, {"source": table([("a", 0.9), ("b", 0.1)]), "lang": table([("x", 0.1), ("y", 0.9)])}, sweeps=3)
+
+
+def plain_secrets(text):
+    """Base findings by a scan of its own: leftmost, not overlapping within a kind."""
+    out, token = [], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    low = "".join(c.lower() if c in token else c for c in text)
+    at = 0
+    while at < len(text):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not low.startswith(word, at):
+                continue
+            j = at + len(word)
+            j += text[j : j + 1] in ("'", '"') and bool(text[j : j + 1])
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] not in (":", "=") or not text[j : j + 1]:
+                continue
+            j += 1
+            while text[j : j + 1] == " ":
+                j += 1
+            j += text[j : j + 1] in ("'", '"') and bool(text[j : j + 1])
+            end = j
+            while end < len(text) and text[end] in token:
+                end += 1
+            if end == j:
+                continue
+            if end - j >= 6:
+                out.append((at, 0, end))
+            at = end - 1
+            break
+        at += 1
+    for kind, start, alphabet, least in ((1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), (2, "", "0123456789abcdef", 24)):
+        at = 0
+        while at < len(text):
+            if text.startswith(start, at) and text[at + len(start) : at + len(start) + 1] and text[at + len(start)] in alphabet:
+                end = at + len(start)
+                while end < len(text) and text[end] in alphabet:
+                    end += 1
+                if end - at >= least:
+                    out.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_secrets_base_and_planted(spark, tmp_path):
+    rng, r = np.random.default_rng(8), random.Random(8)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    docs, planted = [], {}
+    for i, t, lang, source in documents(seed=5, n=260):
+        t = t or ""
+        if i % 3 == 0:
+            t = f'{t[:50]} Token = "{hexa(40)}" {t[50:]}'
+        elif i % 3 == 1 and len(t) > 40:
+            key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.choice((32, 40, 64))))
+            cut = t.find(" ", 20) + 1
+            t, planted[i] = f"{t[:cut]}{key} {t[cut:]}", (cut, cut + len(key))
+        docs.append((i, t, lang, source))
+    docs += [(9000, 'passwd:"abc", password = abcdef secret=secret=abcdef token:x api_KEY : \'a.b/c+d', "en", "a"), (9001, "AKIA" + "A" * 15 + " AKIA" + "B" * 16 + " é AKIAAKIA" + "C" * 20, "en", "a"), (9002, "0" * 23 + " " + "f" * 24 + "g", None, None), (9003, None, None, None), (9004, "a" * 50_000, "en", "b")]
+    write(spark, tmp_path, docs)
+    got = {r["doc_id"]: r for r in rows_of(catalog.queries()["op6_secret_scan"](spark, str(tmp_path)))}
+    assert len(got) == len(docs)
+    found = 0
+    for i, text, *_ in docs:
+        base = plain_secrets(text or "")
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3)), (i, text)
+        said = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert set(said.split(",")) - {""} <= set(got[i]["spans"].split(","))
+        added = [x for x in got[i]["spans"].split(",") if x.startswith("cnn")]
+        if i in planted:
+            found += f"cnn:{planted[i][0]}:{planted[i][1]}" in added
+        else:
+            assert len(added) <= 1
+    assert len(planted) > 60 and found >= 0.9 * len(planted)
+    clean = sum("cnn" in got[i]["spans"] for i, *_ in docs if i not in planted)
+    assert clean <= 0.05 * len(docs)
+
+
+def test_secret_windows_cover_whole_spans():
+    rng = np.random.default_rng(1)
+    text = "left context here " + "".join(secrets.drawn_key(rng) for _ in range(9)) + " right side"
+    w = secrets.window(text, 18, len(text) - 11)
+    seen = {bytes(w[i : i + secrets.KERNEL]) for s in range(0, len(w), secrets.WIDTH) for i in range(s, s + secrets.PLACES)}
+    body = bytes(ord(c) | 128 for c in text[18 : len(text) - 11])
+    assert all(body[i : i + secrets.KERNEL] in seen for i in range(len(body) - secrets.KERNEL + 1))
+    net = secrets.Network([w], [secrets.window("some plain words", 5, 10)], [], [], epochs=1)
+    x, y, weight = [w, secrets.window("some plain words", 5, 10)], np.array([1.0, 0.0]), np.ones(2)
+    loss = lambda: float((np.logaddexp(0, net.logits(x)) - y * net.logits(x)).mean())
+    for name, g in net._gradients(x, y, weight).items():  # against differences
+        flat, at = net.weights[name].reshape(-1), int(np.abs(g).argmax())
+        flat[at] += 1e-5
+        up = loss()
+        flat[at] -= 2e-5
+        down = loss()
+        flat[at] += 1e-5
+        assert math.isclose((up - down) / 2e-5, g.reshape(-1)[at], rel_tol=1e-3, abs_tol=1e-9)
+
+
+def test_language_query(spark, tmp_path):
+    docs = documents(seed=6, n=400)
+    write(spark, tmp_path, docs)
+    got = {r["doc_id"]: r for r in rows_of(catalog.queries()["op9_language_id"](spark, str(tmp_path)))}
+    import zlib
+
+    right = total = 0
+    for i, text, lang, _ in docs:
+        r = got[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+        if not any(c.isalpha() for c in text or ""):
+            assert r["lang_pred"] == "und"
+        elif r["held_out"] and lang is not None and len(text) > 30:
+            total, right = total + 1, right + (r["lang_pred"] == lang)
+    assert total > 40 and right >= 0.95 * total
+
+
+def test_warc_histories_run_on(spark, tmp_path):
+    """One URL with a third of all captures, over several ranges, and repeated page ids."""
+    from textloom.llm import warc
+
+    r = random.Random(9)
+    urls = ["http://www.hot.example.com/a?b=1#x"] * 150 + [f"https://h{r.randrange(20)}.example.org/p/{r.randrange(9)}" for _ in range(250)] + [None, "bad://["] * 3
+    r.shuffle(urls)
+    pages = [(i if i % 40 else 0, u, r.choice(["", "small", "é" * 200, "y" * 300 + str(i % 7)])) for i, u in enumerate(urls)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5), str(tmp_path / "w"), records_per_file=30)
+    records = warc.read_archives(spark, str(tmp_path / "w")).drop("payload")
+    out = sorted(rows_of(warc.capture_index(records, rows_per_range=40)), key=lambda x: x["position"])
+    assert [x["position"] for x in out] == list(range(1, len(pages) + 1))
+    keys = [(x["url_key"], x["ts"], x["record_id"], x["archive"], x["offset"]) for x in out]
+    assert keys == sorted(keys)
+    seen = {}
+    for x in out:
+        seen[x["url_key"]] = seen.get(x["url_key"], 0) + 1
+        assert x["capture"] == seen[x["url_key"]]
+    assert seen["com,example,hot)/a?b=1"] == 150
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write_archives(empty, str(tmp_path / "e"))
+    assert warc.capture_index(warc.read_archives(spark, str(tmp_path / "e")).drop("payload")).count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    empty = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], empty).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for name, query in catalog.queries().items():
+        assert query(spark, str(tmp_path)).count() == (name == "op3_chat_tree"), name
+
+
+def test_attention_intervals_are_ancestors(spark):
+    from textloom.llm import chat_tree
+
+    turns = [(c, t, "user", f"t{t}-{0 if t < c % 4 else c}") for c in range(12) for t in range(4)]
+    for pack in chat_tree.format_tree(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect():
+        for i, n in enumerate(pack["nodes"]):
+            own = {p for a in chat_tree.ancestors(pack["nodes"], i) for p in range(pack["nodes"][a]["start"], pack["nodes"][a]["stop"])}
+            assert own == {p for x in n["attends"] for p in range(x["start"], x["stop"])}
+            assert all(x["stop"] < y["start"] for x, y in zip(n["attends"], n["attends"][1:], strict=False))

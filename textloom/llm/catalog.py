@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op8_threshold_top_k": topk.OP8_SQL}
+    return {"op1_minhash_near_dedup": minhash.OP1_SQL, "op3_chat_tree": chat_tree.OP3_SQL, "op5_warc": warc.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op8_threshold_top_k": topk.OP8_SQL}

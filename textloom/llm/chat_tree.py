@@ -2,7 +2,7 @@
 
 Conversations are sorted by the hashes of their turns, so those that share initial turns are neighbours and the sorted
 order is a depth-first walk of the tree. A streaming pass emits each shared turn once per pack; a node carries its span,
-its position within its own conversation and, through its ancestors, the spans that it may attend to. Packs are bounded
+its position within its own conversation and the intervals that it may attend to: its ancestors' spans and its own. Packs are bounded
 training rows: a tree larger than a pack goes on in the next one, which repeats the open path once. A first turn shared
 by a third of all conversations therefore never meets in one task.
 
@@ -26,7 +26,7 @@ _ESCAPE, _UNESCAPE = re.compile(r"[\\#<]"), re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.S)
 
 PACK_SCHEMA = (
-    "pack_text string, nodes array<struct<start:long, text_start:long, text_end:long, stop:long, position:long, parent:int, loss:boolean>>, "
+    "pack_text string, nodes array<struct<start:long, text_start:long, text_end:long, stop:long, position:long, parent:int, loss:boolean, attends:array<struct<start:long, stop:long>>>>, "
     "leaves array<struct<conv_id:long, node:int>>"
 )
 
@@ -50,6 +50,13 @@ def gathered(turns: DataFrame) -> DataFrame:
     return convs.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])))
 
 
+def joined(intervals: list[tuple[int, int]], start: int, stop: int) -> list[tuple[int, int]]:
+    """The intervals [start, stop) with one more behind them; neighbours are one."""
+    if intervals and intervals[-1][1] == start:
+        return [*intervals[:-1], (intervals[-1][0], stop)]
+    return [*intervals, (start, stop)]
+
+
 def _packs(batches, pack_chars: int, pack_leaves: int):
     text: list[str] = []
     nodes: list[tuple] = []
@@ -75,7 +82,8 @@ def _packs(batches, pack_chars: int, pack_leaves: int):
                 parent = open_nodes[-1] if open_nodes else -1
                 position = nodes[parent][4] + nodes[parent][3] - nodes[parent][0] if open_nodes else 0
                 at = size + len(HEAD) + len(escape(role, True)) + 2
-                nodes.append((size, at, size + len(made) - len(END), size + len(made), position, parent, role == "assistant"))
+                attends = joined(nodes[parent][7] if open_nodes else [], size, size + len(made))
+                nodes.append((size, at, size + len(made) - len(END), size + len(made), position, parent, role == "assistant", attends))
                 open_nodes.append(len(nodes) - 1)
                 text.append(made)
                 size += len(made)
@@ -89,7 +97,8 @@ def format_tree(turns: DataFrame, pack_chars: int = 1 << 16, pack_leaves: int =
     """Packs (PACK_SCHEMA) of all conversations of turns(conv_id, turn, role, text).
 
     nodes: spans in pack_text in depth-first order, the position id of the first code point (the others follow on), the
-    parent's index (-1 at a root) and whether the text between text_start and text_end carries loss. leaves: where each
+    parent's index (-1 at a root), whether the text between text_start and text_end carries loss, and the intervals [start,
+    stop) of pack_text that its last code point may attend to, neighbours joined. leaves: where each
     conversation ends. A conversation longer than pack_chars gets a pack that is as long as it needs. Null conv_ids make
     one conversation; repeated turns stay; extra columns are ignored; an empty table gives no packs.
     """
@@ -98,7 +107,7 @@ def format_tree(turns: DataFrame, pack_chars: int = 1 << 16, pack_leaves: int =
 
 
 def ancestors(nodes, node: int) -> list[int]:
-    """The node's path from its root: the spans that its last turn may attend to."""
+    """The node's path from its root."""
     out = []
     while node >= 0:
         out.append(node)
@@ -106,17 +115,6 @@ def ancestors(nodes, node: int) -> list[int]:
     return out[::-1]
 
 
-def attention(nodes, node: int) -> list[tuple[int, int]]:
-    """Ancestor intervals [start, stop) of a node, its own last; neighbours are joined."""
-    out: list[tuple[int, int]] = []
-    for i in ancestors(nodes, node):
-        if out and out[-1][1] == nodes[i]["start"]:
-            out[-1] = (out[-1][0], nodes[i]["stop"])
-        else:
-            out.append((nodes[i]["start"], nodes[i]["stop"]))
-    return out
-
-
 def read_back(packs: DataFrame) -> DataFrame:
     """One row per conversation, from the packs alone: each is cut out by the attention intervals of its leaf and parsed."""
 
@@ -125,7 +123,7 @@ def read_back(packs: DataFrame) -> DataFrame:
             rows = []
             for whole, nodes, leaves in zip(batch["pack_text"], batch["nodes"], batch["leaves"], strict=True):
                 for leaf in leaves:
-                    formatted = "".join(whole[a:b] for a, b in attention(nodes, leaf["node"]))
+                    formatted = "".join(whole[x["start"] : x["stop"]] for x in nodes[leaf["node"]]["attends"])
                     at, turns = 0, []
                     while m := _TURN.match(formatted, at):
                         turns.append((unescape(m[1]), unescape(m[2])))
@@ -148,3 +146,13 @@ def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", FORGED), (-7, 1, "assistant", FORGED)], "conv_id long, turn long, role string, text string")
     return read_back(format_tree(turns.unionByName(more)))
+
+
+OP3_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, who, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, who)),
+f AS (SELECT *, '### ' || regexp_replace(role, '([\\#<:])', '\\\1', 'g') || ': ' || regexp_replace(text, '([\\#<])', '\\\1', 'g') || '</turn>' || chr(10) AS made FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss, CAST(sum(length(made)) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+"""

@@ -62,7 +62,7 @@ class Linker:
             bands = bands.withColumn("mark", F.lit(0))
         self.near = near or (lambda x, y: F.lit(True))
         self.bands, self.verify, self.link_block, self.details = bands, verify, link_block, details
-        self.tested, self.roots = None, None
+        self.tested, self.roots, self.scrap = None, None, []
 
     def labelled(self) -> DataFrame:
         """(band, node, root, size) of the bands that hold more than one component."""
@@ -70,7 +70,8 @@ class Linker:
             return self.bands.withColumn("root", F.col("node"))
         rows = self.bands.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = rows.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
-        return materialise(rows.join(open_, "band"), "open-bands")
+        self.scrap.append(materialise(rows.join(open_, "band"), "open-bands"))
+        return self.scrap[-1]
 
     def test(self, pairs: DataFrame) -> None:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -79,6 +80,7 @@ class Linker:
         pairs = materialise(pairs, "pairs")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         links = materialise(self.verify(pairs).select("a", "b"), "links")
+        self.scrap += [pairs, links]
         if links.take(1):
             self._join(links)
 
@@ -91,10 +93,14 @@ class Linker:
         first = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("leader"), F.col("root").alias("led"), F.col("mark").alias("led_mark"))).alias("l")).select("band", "l.leader", "l.led", "l.led_mark")
         return rows.join(first, "band").filter("root <> led").filter(self.near(F.col("mark"), F.col("led_mark"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
-    def run(self, couples: DataFrame | None = None) -> DataFrame | None:
-        """(node, root) of all linked nodes, or None if there are no links; couples(a, b): pairs to test besides the bands'."""
-        pairs = self._leaders(self.labelled(), 0)
-        self.test(pairs if couples is None else pairs.unionByName(couples))
+    def run(self) -> DataFrame | None:
+        """(node, root) of all linked nodes, or None if there are no links. What else was written is removed."""
+        roots = self._run()
+        release(*self.scrap)
+        return roots
+
+    def _run(self) -> DataFrame | None:
+        self.test(self._leaders(self.labelled(), 0))
         for seed in range(1, LEADER_ROUNDS + 1):
             rows = self.labelled()
             few, many = rows.filter(F.col("size") <= SMALL_BAND), rows.filter(F.col("size") > SMALL_BAND)
@@ -147,5 +153,6 @@ class Linker:
             return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
         links = materialise(dealt.groupBy("band", "x", "y").applyInPandas(block, "a long, b long"), "links")
+        self.scrap += [rows, links]
         if links.take(1):
             self._join(links)

@@ -33,13 +33,15 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return shares.crossJoin(F.broadcast(shares.agg(F.sum("p").alias("all")))).select(dim, (F.col("p") / F.col("all")).alias("target"))  # one row
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, sweeps: int = 50) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, sweeps: int = 200) -> DataFrame:
     """cells (a written table of dims and tokens) with `weight`, whose sums over each dim's values meet `targets` (shares of 1).
 
-    A value without a target gets none of the weight; values that no cell has are left out and the others share theirs.
+    A value without a target gets none of the weight; values that no cell has are left out and the others share theirs. Targets
+    that the cells cannot meet together, so that weights still move after all sweeps, raise ArithmeticError. No cells stay no cells.
     """
     cells = materialise(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for dim, want in targets.items():
+        want = want.toDF(dim, "target")
         present = want.join(cells.select(dim).distinct(), dim, "left_semi")
         targets = targets | {dim: materialise(present.crossJoin(F.broadcast(present.agg(F.sum("target").alias("all")))).select(dim, (F.col("target") / F.col("all")).alias(f"want_{dim}")), f"target-{dim}")}
     for _ in range(sweeps):
@@ -52,8 +54,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         moved = now.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
         cells = now.drop("before")
         if moved is None or moved <= tolerance:
-            break
-    return cells
+            return cells
+    raise ArithmeticError(f"weights still move by {moved} after {sweeps} sweeps: the cells cannot meet all targets")
 
 
 def calibrated(cells: DataFrame, share: float) -> DataFrame:
@@ -76,7 +78,8 @@ def calibrated(cells: DataFrame, share: float) -> DataFrame:
 def mix_sources(docs: DataFrame, share: float = 0.8, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, seed: int = 17, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All columns of docs and tokens, probability, sampled.
 
-    Marginal targets are given as tables (value, target) or come from tempering the corpus' own shares with `powers`. Null
+    Marginal targets are given as tables (value, target), whose columns may have any names, or come from tempering the
+    corpus' own shares with `powers`. An empty table gives no rows, and an empty text has no tokens. Null
     sources and languages are a value of their own. A document without tokens stays: there is nothing to weigh. The draw
     depends on doc_id and seed alone, so rows that repeat a doc_id fall together within a cell. docs needs source and lang; topics come from
     the text's form unless docs has a column topic. Columns named tokens, probability or sampled raise ValueError.

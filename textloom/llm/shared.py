@@ -1,67 +1,17 @@
-"""What the operators of this subpackage share: written stage tables and array helpers."""
+"""What the operators of this subpackage share: stage tables and array helpers."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import re
-import uuid
-import weakref
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, which is allowed in local mode alone.
-LOCAL_SCRATCH = "/tmp/checkpoints/textloom"
-_folders: dict[str, str] = {}
-_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+from textloom.tables import fresh_path, materialise, release, table
 
-
-def scratch(spark: SparkSession) -> str:
-    """A folder of this application below spark.checkpoint.dir; removed when the driver exits."""
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not top:
-            if not re.match(r"local($|\[)", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            top = LOCAL_SCRATCH
-        _folders[app] = f"{top.rstrip('/')}/textloom-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_remove, spark, _folders[app])
-    return _folders[app]
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm if spark.sparkContext._jsc else None
-    if jvm is not None:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _written[out] = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Removes stage tables that nothing will read any more; what was made from them has to be written before."""
-    for df in tables:
-        if path := _written.pop(df, None):
-            _remove(df.sparkSession, path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["fresh_path", "gather", "joinable", "materialise", "partitions_for", "release", "slices", "string_parts", "table"]
 
 
 def joinable(df: DataFrame, rows: int, most: int) -> DataFrame:

@@ -3,7 +3,7 @@
 Candidates are held in blocks; a block sorts one list per dimension. A query goes down all lists at once (from the top
 where its weight is positive, from the bottom where it is negative) in growing steps, scores every vector it meets in
 full, and stops when the sum of weight times the value reached cannot tie or beat its kth score. The kth score carries
-over from block to block. Queries are sent out in chunks of bounded size.
+over from block to block. Queries are sent out chunk by chunk: a chunk's broadcast is gone before the next one is made.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import materialise, partitions_for, table
+from textloom.llm.shared import fresh_path, materialise, partitions_for, table
 
 BLOCK_ROWS, QUERIES_PER_CHUNK, FIRST_DEPTH = 8192, 4096, 32
 
@@ -75,15 +75,16 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id"
     """
     rows = materialise(usable(vectors, vec_id, embedding, scale).filter(F.col("vec_id").isNotNull()), "vectors")
     spark, n = rows.sparkSession, rows.count()
-    queries = rows.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    queries = materialise(rows.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vec").alias("vec")), "queries")
     chunks = max(1, math.ceil(queries.count() / QUERIES_PER_CHUNK))
     spread = rows.coalesce(partitions_for(rows, n, BLOCK_ROWS * 4))
-    found = None
+    folder, kinds = fresh_path(spark, "hits"), "query_id long, score long, vec_id long"
     for c in range(chunks):
         part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).collect()  # about QUERIES_PER_CHUNK rows
         sent = spark.sparkContext.broadcast([(r[0], np.array(r[1], np.int64)) for r in part])
-        one = spread.mapInArrow(lambda it, sent=sent: _search(it, sent.value, k), "query_id long, score long, vec_id long")
-        found = one if found is None else found.unionByName(one)
+        spread.mapInArrow(lambda it, sent=sent: _search(it, sent.value, k), kinds).write.parquet(f"{folder}/chunk={c}")
+        sent.destroy()
+    found = spark.read.schema(kinds).parquet(folder)
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("vec_id").alias("vec_id")))), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "hit"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))

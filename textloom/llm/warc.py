@@ -1,25 +1,29 @@
 """WARC archives: writing with revisit records, reading back, and a globally ordered capture index.
 
 Spark's text writer stores the records (each ends with the line separator CR LF CR LF that WARC asks for), so archives
-can lie in any store that Spark reaches; files are bounded by a record count. Reading parses whole files by
-Content-Length. The index sorts each archive's captures into a local run; runs meet range by range of (URL key,
-timestamp, record id) and are merged by a loser tree.
+can lie in any store that Spark reaches; files are bounded by bytes. Reading parses whole files by Content-Length. The
+index sorts captures into a run where they are read; of each run every range of (URL key, timestamp, record id, archive,
+offset) gets its part, still sorted, and a loser tree merges the parts. What precedes a range, of all captures and of its
+first URL, is added up from one row per range, so histories and positions run on from range to range.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from itertools import islice
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm.shared import fresh_path, joinable, materialise, partitions_for, table
 
-CRLF, LEAST_BYTES, BROADCAST_ROWS = "\r\n", 100, 200_000
+CRLF, LEAST_BYTES, BROADCAST_ROWS, FILE_BYTES, FILE_RECORDS = "\r\n", 100, 200_000, 1 << 27, 4096
 RECORD = "record_id long, record_type string, url string, ts string, payload_bytes long, payload_digest string, refers_to long, payload binary, archive string, offset long, length long"
 
 
@@ -30,14 +34,19 @@ def decisions(pages: DataFrame, record_id: str = "page_id", payload: str = "html
     return rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest", "first_id")
 
 
-def write_archives(pages: DataFrame, path: str, record_id: str = "page_id", url: str = "url", payload: str = "html", epoch: str = "2020-01-01 00:00:00", records_per_file: int = 4096) -> None:
+def write_archives(pages: DataFrame, path: str, record_id: str = "page_id", url: str = "url", payload: str = "html", epoch: str = "2020-01-01 00:00:00", records_per_file: int | None = None) -> None:
     """Write one response or revisit record per row below `path`, as uncompressed WARC/1.1.
 
     Of equal payloads of at least LEAST_BYTES bytes the smallest id is the response (rows that repeat it too), the others
     are revisits without a payload; smaller and null (empty) payloads are always responses. The capture time is `epoch`
     plus the id in seconds: the table holds none. URLs are percent-encoded where a header could break; a null URL is
     left out. The deduplicating digests are broadcast only if counted and few; otherwise they are joined by shuffling.
+    A file holds so many records that the longest would fill FILE_BYTES, FILE_RECORDS at most and one at least. An empty
+    table writes no records; rows that repeat a record id are records of their own.
     """
+    if records_per_file is None:
+        longest = pages.agg(F.max(F.octet_length(payload)) + 1024).first()[0] or 1
+        records_per_file = max(1, min(FILE_RECORDS, FILE_BYTES // longest))
     firsts = materialise(decisions(pages, record_id, payload), "warc-firsts")
     firsts = joinable(firsts, firsts.count(), BROADCAST_ROWS)
     text = F.coalesce(F.col(payload), F.lit(""))
@@ -63,9 +72,9 @@ def write_archives(pages: DataFrame, path: str, record_id: str = "page_id", url:
     rows.select(lines.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_archive(data: bytes | memoryview):
+def parse_archive(data: bytes):
     """Yield (headers, payload, offset, length) of each record; raises ValueError on a broken archive."""
-    data, at = bytes(data), 0
+    at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         head = data[at:end].decode("utf-8").split(CRLF)
@@ -93,13 +102,16 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                out, archive = [], name.as_py().rsplit("/", 1)[-1]
-                for h, payload, offset, length in parse_archive(content.as_buffer()):
-                    digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if h["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"{archive}, byte {offset}: the payload does not match its digest")
-                    out.append((_urn(h["WARC-Record-ID"]), h["WARC-Type"], h.get("WARC-Target-URI"), re.sub(r"\D", "", h["WARC-Date"]), int(h["X-Payload-Length"]) if h["WARC-Type"] == "revisit" else len(payload), digest, _urn(h.get("WARC-Refers-To")), payload if with_payload else None, archive, offset, length))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
+                archive = name.as_py().rsplit("/", 1)[-1]
+                records = parse_archive(content.as_py())
+                while some := list(islice(records, 512)):
+                    out = []
+                    for h, payload, offset, length in some:
+                        digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
+                        if h["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
+                            raise ValueError(f"{archive}, byte {offset}: the payload does not match its digest")
+                        out.append((_urn(h["WARC-Record-ID"]), h["WARC-Type"], h.get("WARC-Target-URI"), re.sub(r"\D", "", h["WARC-Date"]), int(h["X-Payload-Length"]) if h["WARC-Type"] == "revisit" else len(payload), digest, _urn(h.get("WARC-Refers-To")), payload if with_payload else None, archive, offset, length))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
     return files.mapInArrow(run, RECORD)
 
@@ -150,65 +162,77 @@ class LoserTree:
             self.winner = i
 
 
-INDEX = "url_key string, ts string, record_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long, capture long"
+INDEX = "url_key string, ts string, record_id long, record_type string, url string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long"
+
+
+def _runs(keys: list[tuple], sources: list[int]):
+    """Cuts rows into their sorted runs: where the source changes or a key is smaller than the one before."""
+    cuts = [0, *(i for i in range(1, len(keys)) if sources[i] != sources[i - 1] or keys[i] < keys[i - 1]), len(keys)]
+    return [iter(range(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+
+
+def _merged(batches):
+    """The rows of one range in order, with the range's number, the place in it, and the place among the captures of the URL key in it."""
+    table = pa.Table.from_batches(list(batches))  # a range has a bounded number of rows
+    if not len(table):
+        return
+    column = lambda name: table[name].to_pylist()
+    keys = [(u, t, -1 if i is None else i, a, o) for u, t, i, a, o in zip(*map(column, ("url_key", "ts", "record_id", "archive", "offset")), strict=True)]
+    order, nth, last = list(LoserTree(_runs(keys, column("run")), keys.__getitem__)), [], None
+    for i in order:
+        nth.append(nth[-1] + 1 if keys[i][0] == last else 1)
+        last = keys[i][0]
+    out = table.drop_columns(["run"]).take(pa.array(order))
+    part = pa.array([TaskContext.get().partitionId()] * len(order), pa.int32())
+    yield from out.append_column("part", part).append_column("row", pa.array(range(1, len(order) + 1), pa.int64())).append_column("nth", pa.array(nth, pa.int64())).to_batches(8192)
 
 
 def capture_index(records: DataFrame, rows_per_range: int = 100_000) -> DataFrame:
-    """Captures (INDEX) ordered by URL key, timestamp and record id across partitions; `capture` counts within a URL key of a partition.
+    """Captures (INDEX) with `position` in the order of (URL key, timestamp, record id, archive, offset) and `capture`, the number within the URL's history; both count from 1 through all ranges.
 
-    Runs are sorted where they are made; a range holds a bounded share of the rows, and one URL with very many captures is
-    split by time, so its count starts anew in the next range. The records are counted first: give a written table.
+    Runs are sorted where they are read; a range holds a bounded share of the rows, and one URL with very many captures is
+    split by time. The records are counted first: give a written table. A null URL has the key `-`; null record ids come
+    first; records that repeat stay; an empty table gives no rows.
     """
-    names = [f.split()[0] for f in INDEX.split(", ")][:-1]
-    key_of = lambda r: (r[0], r[1], -1 if r[2] is None else r[2])
+    names = [f.split()[0] for f in INDEX.split(", ")]
 
     @F.pandas_udf("string")
     def keyed(urls: pd.Series) -> pd.Series:
         return urls.map(url_key)
 
-    runs = records.withColumn("url_key", keyed("url")).withColumn("run", F.spark_partition_id()).select(*names, "run")
+    order = ["url_key", "ts", F.coalesce("record_id", F.lit(-1)), "archive", "offset"]
+    runs = records.withColumn("url_key", keyed("url")).withColumn("run", F.spark_partition_id()).select(*names, "run").sortWithinPartitions(*order)
     n = partitions_for(records, records.count(), rows_per_range)
-    sorted_runs = runs.sortWithinPartitions("url_key", "ts", "record_id")
-
-    def merge(batches):
-        by_run: dict[int, list] = {}
-        for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(len(names) + 1)), strict=True):
-                by_run.setdefault(row[-1], []).append(row)
-        for rows in by_run.values():  # a run's blocks stay in order, but its ranges may come in several blocks
-            rows.sort(key=key_of)
-        out, last, nth = [], None, 0
-        for row in LoserTree([by_run[k] for k in sorted(by_run)], key_of):
-            nth = nth + 1 if row[0] == last else 1
-            last = row[0]
-            out.append((*row[:-1], nth))
-            if len(out) == 8192:
-                yield _arrow(out)
-                out = []
-        if out:
-            yield _arrow(out)
-
-    return sorted_runs.repartitionByRange(n, "url_key", "ts", "record_id").mapInArrow(merge, INDEX)
-
-
-def _arrow(rows: list) -> pa.RecordBatch:
-    kinds = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in INDEX.split(", ")])
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+    merged = materialise(runs.repartitionByRange(n, *order).mapInArrow(_merged, f"{INDEX}, part int, row long, nth long"), "merged")
+    ends = merged.groupBy("part").agg(F.max("row").alias("rows"), F.min("url_key").alias("low"), F.max("url_key").alias("high"))  # one row per range
+    ends = materialise(ends, "range-ends")
+    edges = F.broadcast(ends.select("part", F.explode(F.array_distinct(F.array("low", "high"))).alias("url_key")))  # two per range at most
+    counts = merged.join(edges, ["part", "url_key"]).groupBy("part", "url_key").agg(F.max("nth").alias("n"))
+    earlier = lambda by: by.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    open_ = counts.select("part", "url_key", F.coalesce(F.sum("n").over(earlier(W.partitionBy("url_key"))), F.lit(0)).alias("before"))
+    starts = ends.select("part", F.coalesce(F.sum("rows").over(earlier(W.partitionBy())), F.lit(0)).alias("start"))
+    out = merged.join(F.broadcast(starts), "part").join(F.broadcast(open_), ["part", "url_key"], "left")
+    return out.select(*names, (F.col("start") + F.col("row")).alias("position"), (F.coalesce("before", F.lit(0)) + F.col("nth")).alias("capture"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    index = capture_index(materialise(read_archives(spark, path, with_payload=False).drop("payload"), "captures"))
-    return index.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "archive", "offset", "capture")
+    captures = materialise(read_archives(spark, path, with_payload=False).drop("payload"), "captures")
+    return capture_index(captures).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "position", "capture")
 
 
-#: The columns that the contract names; the others (file names, offsets) depend on the layout of the run.
-OP5_SQL = """
-WITH t AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-u AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM t)
+#: URL keys of http and https URLs without user, port or fragment-like host parts, as all pages have them.
+OP5_SQL = r"""
+WITH t AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  regexp_extract(url, '^https?://(www\.)?([^/?#]*)([^?#]*)([?][^#]*)?', ['w', 'host', 'path', 'query']) AS u,
+  strftime(TIMESTAMP '2020-01-01 00:00:00' + to_seconds(page_id % 1000000000), '%Y%m%d%H%M%S') AS ts FROM pages),
+k AS (SELECT *, CASE WHEN u.host IS NULL OR u.host = '' THEN '-' ELSE array_to_string(list_reverse(string_split(lower(u.host), '.')), ',') || ')' || lower((CASE WHEN u.path = '' THEN '/' ELSE u.path END) || u.query) END AS url_key,
+  min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM t)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
-FROM u
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to, url_key, ts,
+       row_number() OVER (ORDER BY url_key, ts, page_id) AS position,
+       row_number() OVER (PARTITION BY url_key ORDER BY ts, page_id) AS capture
+FROM k
 """

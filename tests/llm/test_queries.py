@@ -87,8 +87,8 @@ def test_mixing_to_given_targets(spark):
     out = mixing.mix_sources(docs, 0.5, targets=want).groupBy("source").agg({"probability": "avg"}).collect()
     assert {r[0]: round(r[1], 6) for r in out} == {"a": 0.8, "b": 0.2}
     cells = spark.createDataFrame([("a", "x", 1), ("b", "y", 1)], "source string, lang string, tokens long")
-    with pytest.raises(ArithmeticError, match="targets"):
-        mixing.rake(cells, {"source": table([("a", 0.9), ("b", 0.1)]), "lang": table([("x", 0.1), ("y", 0.9)])}, sweeps=3)
+    with pytest.raises(ArithmeticError, match="target"):
+        mixing.rake(cells, {"source": table([("a", 0.9), ("b", 0.1)]), "lang": table([("x", 0.1), ("y", 0.9)])}, strict=True)
 
 
 def plain_secrets(text):

@@ -7,12 +7,14 @@ min(1, c * weight / tokens of its cell), where c is calibrated so that the expec
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.shared import joinable, materialise, table
 
-DIMS, BROADCAST_ROWS, NONE = ("source", "lang", "topic"), 100_000, "\0none"
+DIMS, BROADCAST_ROWS, NONE, MISSED = ("source", "lang", "topic"), 100_000, "\0none", 0.001
 
 
 def tokens_of(text):
@@ -33,11 +35,12 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return shares.crossJoin(F.broadcast(shares.agg(F.sum("p").alias("all")))).select(dim, (F.col("p") / F.col("all")).alias("target"))  # one row
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, sweeps: int = 200) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, sweeps: int = 50, strict: bool = False) -> DataFrame:
     """cells (a written table of dims and tokens) with `weight`, whose sums over each dim's values meet `targets` (shares of 1).
 
-    A value without a target gets none of the weight; values that no cell has are left out and the others share theirs. Targets
-    that the cells cannot meet together, so that weights still move after all sweeps, raise ArithmeticError. No cells stay no cells.
+    A value without a target gets none of the weight; values that no cell has are left out and the others share theirs. If the
+    cells cannot meet all targets together, so that a sum is off by more than MISSED at the end, a warning says so, or with
+    `strict` ArithmeticError is raised. No cells stay no cells.
     """
     cells = materialise(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for dim, want in targets.items():
@@ -54,8 +57,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         moved = now.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
         cells = now.drop("before")
         if moved is None or moved <= tolerance:
-            return cells
-    raise ArithmeticError(f"weights still move by {moved} after {sweeps} sweeps: the cells cannot meet all targets")
+            break
+    gap = 0.0
+    for dim, want in targets.items():
+        sums = cells.groupBy(dim).agg(F.sum("weight").alias("sum")).join(want, dim, "left")
+        gap = max(gap, sums.agg(F.max(F.abs(F.col("sum") - F.coalesce(f"want_{dim}", F.lit(0.0))))).first()[0] or 0.0)
+    if gap > MISSED:
+        if strict:
+            raise ArithmeticError(f"a target is missed by {gap:.4f}: the cells cannot meet all of them")
+        warnings.warn(f"a target is missed by {gap:.4f}", stacklevel=2)
+    return cells
 
 
 def calibrated(cells: DataFrame, share: float) -> DataFrame:
@@ -79,7 +90,7 @@ def mix_sources(docs: DataFrame, share: float = 0.8, powers: dict[str, float] |
     """All columns of docs and tokens, probability, sampled.
 
     Marginal targets are given as tables (value, target), whose columns may have any names, or come from tempering the
-    corpus' own shares with `powers`. An empty table gives no rows, and an empty text has no tokens. Null
+    corpus' own shares with `powers`; given ones have to be met. An empty table gives no rows, and an empty text has no tokens. Null
     sources and languages are a value of their own. A document without tokens stays: there is nothing to weigh. The draw
     depends on doc_id and seed alone, so rows that repeat a doc_id fall together within a cell. docs needs source and lang; topics come from
     the text's form unless docs has a column topic. Columns named tokens, probability or sampled raise ValueError.
@@ -91,7 +102,7 @@ def mix_sources(docs: DataFrame, share: float = 0.8, powers: dict[str, float] |
     rows = docs.withColumns({"tokens": tokens_of(F.col(text)), **{f"__{d}": k for d, k in key.items()}})
     cells = materialise(rows.groupBy(*(F.col(f"__{d}").alias(d) for d in DIMS)).agg(F.sum("tokens").alias("tokens")), "cells")
     want = {d: (targets or {}).get(d) or tempered(cells, d, powers[d]) for d in DIMS}
-    odds = materialise(calibrated(rake(cells, want), share).select(*(F.col(d).alias(f"__{d}") for d in DIMS), "probability"), "odds")
+    odds = materialise(calibrated(rake(cells, want, strict=bool(targets)), share).select(*(F.col(d).alias(f"__{d}") for d in DIMS), "probability"), "odds")
     joined = rows.join(joinable(odds, odds.count(), BROADCAST_ROWS), [f"__{d}" for d in DIMS])
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(doc_id).cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
     probability = F.when(F.col("tokens") == 0, 1.0).otherwise(F.col("probability"))

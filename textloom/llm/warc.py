@@ -173,9 +173,10 @@ def _runs(keys: list[tuple], sources: list[int]):
 
 def _merged(batches):
     """The rows of one range in order, with the range's number, the place in it, and the place among the captures of the URL key in it."""
-    table = pa.Table.from_batches(list(batches))  # a range has a bounded number of rows
-    if not len(table):
+    held = [b for b in batches if len(b)]  # a range has a bounded number of rows
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     column = lambda name: table[name].to_pylist()
     keys = [(u, t, -1 if i is None else i, a, o) for u, t, i, a, o in zip(*map(column, ("url_key", "ts", "record_id", "archive", "offset")), strict=True)]
     order, nth, last = list(LoserTree(_runs(keys, column("run")), keys.__getitem__)), [], None
@@ -188,7 +189,7 @@ def _merged(batches):
 
 
 def capture_index(records: DataFrame, rows_per_range: int = 100_000) -> DataFrame:
-    """Captures (INDEX) with `position` in the order of (URL key, timestamp, record id, archive, offset) and `capture`, the number within the URL's history; both count from 1 through all ranges.
+    """Captures (INDEX) in order, with `position` in the order of (URL key, timestamp, record id, archive, offset) and `capture`, the number within the URL's history; both count from 1 through all ranges.
 
     Runs are sorted where they are read; a range holds a bounded share of the rows, and one URL with very many captures is
     split by time. The records are counted first: give a written table. A null URL has the key `-`; null record ids come
@@ -212,7 +213,7 @@ def capture_index(records: DataFrame, rows_per_range: int = 100_000) -> DataFram
     open_ = counts.select("part", "url_key", F.coalesce(F.sum("n").over(earlier(W.partitionBy("url_key"))), F.lit(0)).alias("before"))
     starts = ends.select("part", F.coalesce(F.sum("rows").over(earlier(W.partitionBy())), F.lit(0)).alias("start"))
     out = merged.join(F.broadcast(starts), "part").join(F.broadcast(open_), ["part", "url_key"], "left")
-    return out.select(*names, (F.col("start") + F.col("row")).alias("position"), (F.coalesce("before", F.lit(0)) + F.col("nth")).alias("capture"))
+    return out.select(*names, (F.col("start") + F.col("row")).alias("position"), (F.coalesce("before", F.lit(0)) + F.col("nth")).alias("capture")).orderBy("position")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm.shared import gather, slices, table
+from textloom.llm.shared import gather, slices, table, tidy
 
 LONG, BATCH_BYTES, CACHE_PIECES = 256, 1 << 21, 500_000
 _NONE = np.int32(2**31 - 1)
@@ -266,7 +266,7 @@ def tokenise(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], ou
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *outputs])
         own._forget()  # the worker may serve other stages afterwards
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(lambda it: tidy(run(it)), schema)
 
 
 def vocabulary() -> tuple[str, str]:

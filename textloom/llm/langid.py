@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import joinable, materialise, slices, string_parts, table
+from textloom.llm.shared import joinable, materialise, slices, string_parts, table, tidy
 
 ORDERS, BUCKETS, DIM, BATCH_BYTES = (2, 3), 1 << 15, 16, 1 << 21
 PER_LANGUAGE, REJECT_RATE, UNKNOWN, BROADCAST_ROWS = 600, 0.002, "und", 100_000
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 out = [pa.array(lang, pa.string()), pa.array(score), pa.array([x == UNKNOWN or s < own.reject for x, s in zip(lang, score, strict=True)])]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + out, names=[*keep, "lang_pred", "score", "rejected"])
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(lambda it: tidy(run(it)), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

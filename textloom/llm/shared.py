@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.tables import fresh_path, materialise, release, table
 
-__all__ = ["fresh_path", "gather", "joinable", "materialise", "partitions_for", "release", "slices", "string_parts", "table"]
+__all__ = ["fresh_path", "gather", "joinable", "materialise", "partitions_for", "release", "slices", "string_parts", "table", "tidy"]
 
 
 def joinable(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -19,6 +20,14 @@ def joinable(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def tidy(batches):
+    """Passes batches on and then gives free memory back, as a Python worker lives on and serves other stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def string_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets from 0) of an Arrow string or binary column with offsets of 32 or 64 bits."""
     if not len(texts):

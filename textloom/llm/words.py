@@ -17,7 +17,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 2**64)
-WINDOW = 1 << 22
+WINDOW = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 

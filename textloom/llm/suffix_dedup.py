@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.shared import materialise, partitions_for, release, slices, string_parts, table, tidy
-from textloom.llm.suffix_order import TRIGGER, longest_piece, repeated
+from textloom.llm.suffix_order import ONE_IN, TRIGGER, longest_piece, repeated
 
 WINDOW, ANCHOR = 200, 32
 #: Bytes that a task hashes at once, bytes of a block, different segments of an anchor in one block, bytes of segments in a partition.
-PIECE, BLOCK, MOST, PARTITION = 1 << 20, 1 << 20, 4096, 16 << 20
+PIECE, BLOCK, MOST, PARTITION = 1 << 17, 1 << 19, 4096, 16 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -107,7 +107,12 @@ def _anchors(batches, window: int, anchor: int):
 
 def _cut(batches, window: int):
     """Texts of wanted segments: (key, seg, n, weight, text)."""
-    last = None
+    last, made, size = None, [], 0
+    kinds = {"key": pa.int64(), "seg": pa.int64(), "n": pa.int64(), "weight": pa.int64(), "text": pa.binary()}
+
+    def packed():
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
     for batch in batches:
         wanted = batch.column(3)
         for i in range(len(batch)):
@@ -116,8 +121,14 @@ def _cut(batches, window: int):
                 continue
             last = name
             raw = batch.column(2)[i].as_buffer()
-            made = [(w["key"], w["seg"], w["n"], w["weight"], bytes(raw[w["at"] : w["at"] + w["n"] + window - 1])) for w in wanted[i].as_py()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "seg", "n", "weight", "text"])
+            for w in wanted[i].as_py():
+                made.append((w["key"], w["seg"], w["n"], w["weight"], bytes(raw[w["at"] : w["at"] + w["n"] + window - 1])))
+                size += len(made[-1][4])
+                if size > 4 * BLOCK:
+                    yield packed()
+                    made, size = [], 0
+    if made:
+        yield packed()
 
 
 def _judged(batches, window: int):
@@ -131,22 +142,25 @@ def _judged(batches, window: int):
         n, weights = np.array(n), np.array(weights)
         starts = np.r_[0, np.cumsum([len(t) for t in texts])[:-1]]
         lens = np.array([len(t) for t in texts])
-        long = longest_piece(np.frombuffer(b"".join(texts), np.uint8), starts, lens) > window - TRIGGER
-        slow = np.isin(np.array(keys), np.array(keys)[long])  # all segments of an anchor are cut alike
+        data, names = np.frombuffer(b"".join(texts), np.uint8), np.array(keys)
+        level = np.zeros(len(texts), np.int64)
+        for k, one_in in enumerate(ONE_IN[:-1]):  # all segments of an anchor are cut alike
+            long = longest_piece(data, starts, lens, one_in) > window - TRIGGER
+            level[(level == k) & np.isin(names, names[long])] = k + 1
         rows = []
-        for by_bytes in (False, True):
-            mine = np.flatnonzero(slow == by_bytes)
+        for k, one_in in enumerate(ONE_IN):
+            mine = np.flatnonzero(level == k)
             if not len(mine):
                 continue
-            found = repeated([texts[i] for i in mine], n[mine], weights[mine], window, by_bytes)
+            found = repeated([texts[i] for i in mine], n[mine], weights[mine], window, one_in)
             ends = np.cumsum(n[mine])
             edge = np.flatnonzero(np.diff(np.r_[False, found, False].astype(np.int8)))
             for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                k = int(np.searchsorted(ends, a, "right"))
+                i = int(np.searchsorted(ends, a, "right"))
                 while a < b:  # a run may go on in the next segment
-                    base, until = int(ends[k] - n[mine[k]]), min(b, int(ends[k]))
-                    rows.append((keys[mine[k]], segs[mine[k]], a - base, until - base))
-                    a, k = until, k + 1
+                    base, until = int(ends[i] - n[mine[i]]), min(b, int(ends[i]))
+                    rows.append((keys[mine[i]], segs[mine[i]], a - base, until - base))
+                    a, i = until, i + 1
         held.clear()
         if rows:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "seg", "first", "behind"])

@@ -5,7 +5,7 @@ nearest one before it that stands in a smaller group, and suffixes that are poin
 more often. In the end a group holds the suffixes with one longest Lyndon prefix. Then suffixes are put in place from the smallest
 on: each puts those before it, as far as they are greater, on the next place of their group. There is no renaming and no recursion.
 
-Texts are not ordered byte by byte but by pieces of some twenty bytes: a piece ends where the four bytes that follow hash to
+Texts are not ordered byte by byte but by pieces of some thirty bytes: a piece ends where the four bytes that follow hash to
 certain values, so it depends on nothing before it, and pieces together with these four bytes are never a beginning of one another. The order
 of pieces is thus the order of the texts, and where a window starts inside a piece, the rest of the piece is compared besides.
 """
@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes that decide on the end of a piece, and one in how many places is an end.
-TRIGGER, ONE_IN = 4, 16
+#: Bytes that decide on the end of a piece, and one in how many places is an end: the first for which pieces are short enough; 1 stands for single bytes.
+TRIGGER, ONE_IN = 4, (32, 8, 1)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,18 +99,20 @@ def suffix_order(symbols: list[int]) -> list[int]:
         k += 1
 
 
-def ends_of_pieces(data: np.ndarray) -> np.ndarray:
-    """Whether a piece may end before each byte: decided by this byte and the next three alone, never by four zeros."""
+def ends_of_pieces(data: np.ndarray, one_in: int) -> np.ndarray:
+    """Whether a piece may end before each byte: decided by this byte and the next three alone, never by four zeros unless pieces are single bytes."""
+    if one_in == 1:
+        return np.ones(len(data), bool)
     h = np.zeros(len(data), np.uint64)
     padded = np.r_[data, np.zeros(TRIGGER, np.uint8)].astype(np.uint64)
     for i in range(TRIGGER):
         h = h * np.uint64(257) + padded[i : i + len(data)]
-    return ((h * FACTOR) >> np.uint64(40)) % np.uint64(ONE_IN) == 1
+    return ((h * FACTOR) >> np.uint64(40)) % np.uint64(one_in) == 1
 
 
-def longest_piece(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+def longest_piece(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, one_in: int) -> np.ndarray:
     """For each of the texts data[start : start + len], the bytes of its longest piece."""
-    cuts = np.unique(np.r_[np.flatnonzero(ends_of_pieces(data)), starts, starts + lens])
+    cuts = np.unique(np.r_[np.flatnonzero(ends_of_pieces(data, one_in)), starts, starts + lens])
     gaps = np.diff(cuts)
     inside = np.searchsorted(cuts, starts)
     out = np.zeros(len(starts), np.int64)
@@ -120,23 +122,23 @@ def longest_piece(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.
     return out
 
 
-def repeated(texts: list[bytes], n_starts: np.ndarray, weights: np.ndarray, window: int, by_bytes: bool) -> np.ndarray:
+def repeated(texts: list[bytes], n_starts: np.ndarray, weights: np.ndarray, window: int, one_in: int) -> np.ndarray:
     """For the first n_starts places of each text, one after the other: whether the window there occurs at another such place or its text counts as more than one.
 
-    Text i holds at least n_starts[i] + window - 1 bytes. by_bytes: pieces are single bytes, for texts with pieces of over window - TRIGGER bytes.
+    Text i holds at least n_starts[i] + window - 1 bytes. Pieces, cut at one in one_in places, must have at most window - TRIGGER bytes.
     """
     lens = np.array([len(t) for t in texts], np.int64)
     gap = b"\0" * TRIGGER
     raw = gap.join(texts) + gap
     data = np.frombuffer(raw, np.uint8)
     begin = np.r_[0, np.cumsum(lens + TRIGGER)[:-1]]
-    rule = np.ones(len(data), bool) if by_bytes else ends_of_pieces(data)
+    rule = ends_of_pieces(data, one_in)
     rule[begin] = True
     inside = np.zeros(len(data) + 1, np.int8)
     np.add.at(inside, begin, 1)
     np.add.at(inside, begin + lens, -1)
     cuts = np.flatnonzero(rule & (np.cumsum(inside[:-1]) > 0))
-    more = 0 if by_bytes else TRIGGER
+    more = 0 if one_in == 1 else TRIGGER
     stops = np.r_[cuts[1:], len(data)]
     last = np.r_[np.isin(cuts[1:], begin), True]
     stops = np.where(last, stops, stops + more)

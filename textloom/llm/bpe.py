@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.shared import gather, slices, table, tidy
 
-LONG, BATCH_BYTES, CACHE_PIECES = 256, 1 << 21, 500_000
+LONG, BATCH_BYTES, CACHE_PIECES = 256, 1 << 19, 200_000
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: For this pattern a text may be cut before any single space and around any single line feed between non-spaces

@@ -228,9 +228,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
     kinds = "doc_id long, th long, key long, seg long, at long, n long"
     all_segments = materialise(texts.mapInArrow(lambda it: tidy(_anchors(it, window, anchor)), kinds), "segments")
-    often = all_segments.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    # a table of its own, so that the join can split an anchor with many segments
+    often = materialise(all_segments.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "often")
     met = materialise(all_segments.join(often, "key"), "met")
-    release(all_segments)
+    release(all_segments, often)
     distinct = materialise(met.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "th", "at", "n")).alias("one")), "distinct")
     n = distinct.count()
     hot = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most).select("key", F.lit(True).alias("hot"))

@@ -1,15 +1,21 @@
+import base64
 import io
+import json
+import os
+import random
+import re
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import chunking
+from textloom.functions import chunking, sql
 from textloom.functions.cleaning import CleanOptions, clean_stats, clean_text, fix_line_breaks, remove_headers_footers, repair_unicode
-from textloom.operators import export, structure
+from textloom.operators import blocks, export, structure
 from textloom.plans import catalog, ingest
-from textloom.sources import files
+from textloom.sources import files, pdf
 
 
 def one(spark, text, expr):
@@ -73,6 +79,72 @@ def test_semantic_and_structure(spark):
     assert spans(spark, "p1\n\n\n\np2", "Structure-based") == [(0, 2, "p1"), (4, 6, "p2")]
 
 
+def chunks_by_hand(text, strategy, size, overlap):
+    """(start, end, chunk) straight from the rules, place by place."""
+    if strategy == "Length-based":
+        out, start = [], 0
+        while start < len(text):
+            end = start + size
+            if end < len(text):
+                breaks = [q for q in range(end - 50, end + 49) if text[q : q + 2] == "\n\n"]
+                dots = [q + 1 for q in range(end - 30, end + 30) if text[q : q + 1] == "."]
+                end = (breaks or dots or [end])[0]
+            if end - overlap <= start:
+                return [(None, None, None)]
+            out += [(start, end, text[start:end].strip())] if text[start:end].strip() else []
+            start = end - overlap
+        return out
+    if strategy == "Semantic":
+        parts, out, i = [x.strip() for x in re.split(r"(?<=[.!?])\s+", text) if x.strip()], [], 0
+        mine = []
+        while i < len(parts):
+            if mine and sum(len(parts[k]) for k in [*mine, i]) > size:
+                out.append(mine)
+                mine = mine[-2:] if len(mine) > 2 else mine[-1:]
+            mine = [*mine, i]
+            i += 1
+        return [(text.find(parts[m[0]]), text.find(parts[m[-1]]) + len(parts[m[-1]]), " ".join(parts[k] for k in m)) for m in [*out, mine] if m]
+    out, at = [], 0
+    for x in text.split("\n\n"):
+        if x.strip():
+            out.append((at, at + len(x), x.strip()))
+            at += len(x) + 2
+    return out
+
+
+@pytest.mark.parametrize(("strategy", "size", "overlap"), [("Length-based", 100, 0), ("Length-based", 100, 50), ("Length-based", 130, 20), ("Length-based", 50, 0), ("Semantic", 40, 0), ("Semantic", 300, 0), ("Structure-based", 100, 0)])
+def test_chunks_of_random_texts(spark, monkeypatch, strategy, size, overlap):
+    rng = random.Random(size + overlap)
+    letters = "aé😀  ." + "\n" * 2 + "bcdefghijklmnop" * rng.randint(1, 9) + "!?"
+    texts = ["".join(rng.choice(letters) + rng.choice(("", "", "\n\n", ". ")) * (rng.random() < 0.03) for _ in range(rng.choice((0, 5, 90, 101, 700, 3000)))).strip() for _ in range(60)]
+    texts = ["x" + t if t.startswith("#") else t for t in [*texts, "y" * 20_000, "one. " * 3000, "\n\n" * 300 + "end"]]
+    monkeypatch.setattr(chunking, "BATCH_BYTES", 5000)
+    rows = chunking.chunk(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), strategy, size, overlap).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["id"], r["chunk_ix"] or 0)):
+        got.setdefault(r["id"], []).append((r["start"], r["end"], r["text"]))
+    assert got == {i: want for i, t in enumerate(texts) if (want := chunks_by_hand(t, strategy, size, overlap))}
+
+
+def test_table_functions_of_sql(spark):
+    sql.register(spark)
+    docs = spark.createDataFrame([(i, f"One {i}. Two. " * (i % 7), "clash", i) for i in range(1500)] + [(1500, None, "", 0), (1501, "a" * 50 + "\n\n" + "b" * 100, "", 0)], "id int, body string, strategy string, level int").repartition(3)
+    docs.createOrReplaceTempView("sql_docs")
+    for strategy, size, overlap in (("Semantic", 30, 0), ("Length-based", 100, 50), ("Structure-based", 100, 10)):
+        got = spark.sql(f"SELECT * FROM chunk_text(TABLE(sql_docs), '{strategy}', {size}, overlap => {overlap}, text_column => 'body')")
+        want = chunking.chunk(docs, strategy, size, overlap, "body", errors=True)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    for call, why in (("TABLE(sql_docs), 'none', text_column => 'body'", "strategy"), ("TABLE(sql_docs)", "no column"), ("TABLE(sql_docs), 'Length-based', 40, text_column => 'body'", "size")):
+        with pytest.raises(Exception, match=why):
+            spark.sql(f"SELECT * FROM chunk_text({call})").collect()
+    raw = spark.createDataFrame([("a.TXT", bytearray(b"x"), 1), ("p.pdf", bytearray(pdf.page_of("in a pdf")), 2), ("t.csv", bytearray(b"1"), 3), (None, None, 4)], "filename string, content binary, n int")
+    got = spark.sql("SELECT * FROM document_text(TABLE({raw}))", raw=raw).collect()
+    assert sorted((r["n"], r["type"], r["text"], r["error"] is None) for r in got) == [(1, "text", "x", True), (2, "pdf", "in a pdf", True), (3, None, None, False), (4, "text", "", True)]
+    names = ["X.MD", "noend", "b.txt.gz", "b.tgz", ".csv", "dir.csv/x", "a.unknown", ".md", "a.", "q\\w.HTM", "a.webp"]
+    kinds = spark.createDataFrame([(n,) for n in names], "f string").select("f", files.type_of(F.col("f")).alias("t")).collect()
+    assert {r["f"]: r["t"] for r in kinds} == {n: files.kind_of(n) for n in names}
+
+
 def _zip(parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -102,6 +174,61 @@ def test_files(spark):
     assert text == "x" * 99 + "\no0\n" + "y" * 100 and meta["pages"] == 3
 
 
+def old_pdf(objects, trailer=""):
+    """A file with a cross-reference table."""
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for n, x in enumerate(objects, 1):
+        places.append(len(out))
+        out += f"{n} 0 obj ".encode() + x + b" endobj\n"
+    start = len(out)
+    out += f"xref\n0 {len(places) + 1}\n0000000000 65535 f \n".encode() + b"".join(b"%010d 00000 n \n" % p for p in places)
+    return bytes(out) + f"trailer <</Root 1 0 R/Size {len(places) + 1}{trailer}>>\nstartxref\n{start}\n%%EOF".encode()
+
+
+def stream(body, more=b""):
+    return b"<</Length %d%s>> stream\n%s\nendstream" % (len(body), more, body)
+
+
+def test_pdf_pages(spark):
+    content = b"BT /F1 12 Tf 72 700 Td [(Hel) 20 (lo) -300 (wor\\154d)] TJ 0 -14 TD (caf\\351 \\(ok\\)) Tj T* <0102> Tj ET q 1 0 0 1 0 -50 cm /X Do Q BI /W 1 ID \xff\x00( EI BT /F1 9 Tf 1 0 0 1 72 500 Tm (end) Tj ET"
+    fonts = b"/Resources<</Font<</F1 6 0 R>>/XObject<</X 7 0 R>>>>"
+    objects = [
+        b"<</Type/Catalog/Pages 2 0 R>>",
+        b"<</Type/Pages/Kids[3 0 R 8 0 R]/Count 2" + fonts + b">>",
+        b"<</Type/Page/Contents[4 0 R 5 0 R]>>",
+        stream(zlib.compress(content[:60]), b"/Filter/FlateDecode"),
+        stream(base64.a85encode(content[60:]) + b"~>", b"/Filter[/ASCII85Decode]"),
+        b"<</Type/Font/Subtype/Type1/FirstChar 32/Widths[250]/Encoding<</Differences[1/eacute/f_i.x/uni00DF 2/fi]>>>>",
+        stream(b"BT /F1 12 Tf 72 700 Td (in a form) Tj ET", b"/Subtype/Form"),
+        b"<</Type/Page>>",
+    ]
+    whole = old_pdf(objects, "/Info<</Title(A \\050b\\051)/Author<feff00e9>>>")
+    want = (["Hello world\ncafé (ok)\néfi\nin a form\nend", ""], {"/Title": "A (b)", "/Author": "é"})
+    assert pdf.extract(whole) == want
+    assert pdf.extract(whole.replace(b"startxref\n", b"startxref\n9")) == want  # found again by scanning
+    made = pdf.page_of("Größe 😀\n\n two  words ", "T")
+    assert pdf.extract(made) == (["Größe 😀\n two  words "], {"/Title": "T"}) == pdf.extract(made.replace(b"startxref", b""))
+    with pytest.raises(ValueError, match="encrypted"):
+        pdf.extract(old_pdf(objects, "/Encrypt<</V 1>>"))
+    raw = spark.createDataFrame([("a.pdf", 0, bytearray(whole)), ("b.pdf", 1, bytearray(old_pdf(objects, "/Encrypt 9 0 R"))), ("c.PDF", 2, bytearray(b"%PDF-1.4 cut"))], "filename string, ordinal long, content binary")
+    got = {r["filename"]: r for r in files.extract_documents(raw, ocr=lambda data, page: [(0, f"scan {page}", 0.9)]).collect()}
+    assert got["a.pdf"]["content"] == "\n".join([want[0][0], "scan 0", "", "scan 1"]) and got["a.pdf"]["metadata"]["pages"] == 4 and got["a.pdf"]["metadata"]["ocr_applied"]
+    assert "encrypted" in got["b.pdf"]["error"] and got["c.PDF"]["error"]
+
+
+def test_png_predictors():
+    rows = [bytes([1, 5, 9, 200]), bytes([3, 3, 250, 7]), bytes([0, 1, 2, 3]), bytes([9, 9, 9, 9]), bytes([4, 8, 15, 16])]
+    packed, last = b"", bytes(4)
+    for kind, row in enumerate(rows):
+        packed += bytes([kind])
+        for k, x in enumerate(row):
+            a, b, c = (row[k - 1], last[k], last[k - 1]) if k else (0, last[k], 0)
+            nearest = min((a, b, c), key=lambda y: abs(a + b - c - y))
+            packed += bytes([(x - [0, a, b, (a + b) // 2, nearest][kind]) % 256])
+        last = row
+    assert pdf.predicted(packed, 4, 1, 8) == b"".join(rows)
+
+
 def test_graph(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [0.0, 1.0])], "id long, v array<double>")
     edges = structure.similarity_edges(v, "id", "v")
@@ -164,6 +291,51 @@ def test_cluster_hierarchy_covers_the_whole_table(spark, tmp_path):
         assert structure.average_linkage(v).tolist() == [want[i] for i in range(n)]
 
 
+def clustered(rng, n, d=8, centres=40, noise=0.35):
+    """Vectors around some centres, with copies and a zero vector."""
+    c = rng.normal(size=(centres, d))
+    v = c[rng.integers(centres, size=n)] * rng.uniform(0.5, 2, (n, 1)) + noise * rng.normal(size=(n, d))
+    v[: n // 10] = v[n // 10]
+    v[-1] = 0
+    return v
+
+
+def test_whole_hierarchy_in_rounds_equals_one_block(spark):
+    v = clustered(np.random.default_rng(5), 3000)
+    rows = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)] + [(None, [1.0] * 8), (7, None)], "node long, e array<double>").repartition(5)
+    got = {r["node"]: r["cluster_id"] for r in structure.cluster_hierarchy(rows, "node", "e", block=200).collect()}
+    want = structure.average_linkage(v)
+    assert got == {i * 3: f"cluster_{c}" for i, c in enumerate(want)}
+    assert 1 < len(set(want)) < 1500
+    assert structure.cluster_hierarchy(rows.limit(0), "node", "e").collect() == []
+
+
+def test_blocks_that_cannot_match_are_skipped(spark):
+    rng = np.random.default_rng(6)
+    c = np.eye(16)[rng.integers(16, size=2000)] + 0.02 * rng.normal(size=(2000, 16))
+    c = c * rng.choice([0.9, 1.0, 1.1], (2000, 1))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "id long, v array<double>")
+    dots = c @ c.T
+    for above in (0.7, 1.15, -1.0):
+        dealt, parts, pivots = blocks.placed(rows, 100)
+        met, n = blocks.pairs_of_blocks(parts, pivots, above).count(), parts.count()
+        assert parts.agg(F.sum("rows")).first()[0] == 2000 == dealt.count()
+        assert met < n * (n + 1) / 2 / 4 if above > 0 else met == n * (n + 1) / 2
+        if above > 0:
+            got = {(r[0], r[1]) for r in structure.similarity_edges(rows, "id", "v", above, 100).collect()}
+            assert got == {(i, j) for i, j in zip(*np.nonzero(dots > above), strict=True) if i < j}
+
+
+def test_edges_of_shapeless_vectors(spark):
+    v = np.random.default_rng(8).normal(size=(400, 5)) / 2
+    v[0] = 0
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(None, [0.0] * 5)], "id long, v array<double>")
+    got = {(r[0], r[1]): r[2] for r in structure.similarity_edges(rows, "id", "v", 0.3, 64).collect()}
+    dots = v @ v.T
+    assert got.keys() == {(i, j) for i, j in zip(*np.nonzero(dots > 0.3), strict=True) if i < j}
+    assert all(abs(dots[k] - x) < 1e-9 for k, x in got.items())
+
+
 def test_topics_query_fits_fully_with_all_terms(spark, tmp_path, monkeypatch):
     seen = {}
     for name in ("LDA", "CountVectorizer"):
@@ -204,26 +376,44 @@ def test_process_raw(spark):
     assert ingest.process_raw(raw.limit(0)).documents.count() == 0
 
 
-def test_writer_interface(spark, tmp_path):
-    class Folder(export.VectorWriter):
-        """Writes each batch as a file."""
-
-        def __init__(self, path):
-            self.path = path
+def test_store_sees_all_or_nothing(spark, tmp_path):
+    from stores import FolderStore
 
-        def create(self, dimension):
-            (self.path / f"dimension-{dimension}").touch()
+    chunks = spark.range(250).coalesce(1).select(F.concat(F.lit("chunk_"), "id").alias("id"), F.array(F.lit(0.5)).alias("vector"), F.col("id").alias("start"), F.lit(None).cast("string").alias("language"), F.array(F.lit("a")).alias("tags"), F.lit(1.5).alias("score"), F.lit(True).alias("ok"))
+    store = FolderStore(tmp_path)
+    done = export.export_vectors(chunks, "pinecone", writer=store, dimension=8).first()
+    assert (done["status"], done["chunks_uploaded"]) == ("success", 250)
+    assert sorted(map(len, store.batches())) == [50, 100, 100] and {r["id"] for b in store.batches() for r in b} == {f"chunk_{i}" for i in range(250)}
+    assert json.loads((tmp_path / "schema.json").read_text()) == [8, {"start": "int", "language": "text", "tags": "text[]", "score": "number", "ok": "boolean"}]
+    done = export.export_vectors(chunks.repartition(3), "chroma", writer=FolderStore(tmp_path, fails=99)).first()
+    assert done["status"] == "error" and "connection broke" in done["message"]
+    assert len(store.batches()) == 3  # tasks that still ran may have left something staged, unseen
+    assert export.export_vectors(chunks.limit(0), "weaviate", writer=store).first()["chunks_uploaded"] == 0
 
-        def upsert(self, batch):
-            import uuid
 
-            (self.path / f"batch-{uuid.uuid4().hex}").write_text("\n".join(r["id"] for r in batch))
+def test_repeated_tasks_store_nothing_twice(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
 
-    records = spark.range(250).coalesce(1).select(F.concat(F.lit("chunk_"), "id").alias("id"), F.lit(None).cast("string").alias("language"))
-    done = export.export_vectors(records, "pinecone", writer=Folder(tmp_path), dimension=8).first()
-    files_ = [p.read_text().split("\n") for p in tmp_path.glob("batch-*")]
-    assert (done["status"], done["chunks_uploaded"]) == ("success", 250) and (tmp_path / "dimension-8").exists()
-    assert sorted(map(len, files_)) == [50, 100, 100] and len({x for f in files_ for x in f}) == 250
+    here = Path(__file__).resolve().parent
+    code = f"""
+import sys
+sys.path[:0] = [{str(here)!r}, {str(here.parent)!r}]
+from pyspark.sql import SparkSession, functions as F
+from stores import FolderStore
+from textloom.operators import export
+spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").getOrCreate()
+rows = spark.range(600).repartition(3).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("text"))
+print("DONE", export.export_vectors(rows, "weaviate", writer=FolderStore({str(tmp_path)!r}, fails=2)).first()["chunks_uploaded"])
+"""
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(here), str(here.parent)])}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, timeout=300)
+    assert "DONE 600" in done.stdout, done.stderr[-2000:]
+    from stores import FolderStore
+
+    ids = [r["id"] for b in FolderStore(tmp_path).batches() for r in b]
+    assert len(ids) == 600 == len(set(ids)) and FolderStore(tmp_path).batches("staged") == []
 
 
 def test_edges_as_brute_force(spark):

@@ -1,14 +1,19 @@
-"""Chunking by length, sentence or structure: one Arrow pass over each text, whose cost grows with its length, then one row per chunk.
+"""Chunking by length, sentence or structure: an Arrow pass over batches of texts, then one row per chunk.
 
-A fold over a text's positions has no linear form in SQL expressions, which would copy the text or what was found so far at
-every step. Offsets count code points.
+By length, all texts of a batch advance together: their paragraph breaks and periods are found once, as sorted arrays over the
+whole batch, and each round looks up the next end of every text that is not yet through. Sentences are packed by looking up
+where their summed lengths pass the size. Offsets count code points.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -17,73 +22,152 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 PARAGRAPH_REACH, PERIOD_REACH = 50, 30
 HEADING = re.compile(r"^#{1,6}\s+.+$", re.M)
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
-
-
-def length_spans(text: str, size: int, overlap: int):
-    """(text, start, end, level) of a left fold over chunk starts; a chunk that would not advance raises ValueError."""
-    start, n = 0, len(text)
-    while start < n:
+#: Bytes of text that are taken at once; a longer text stands alone.
+BATCH_BYTES = 4 << 20
+
+
+def _leftmost(breaks: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each window low <= place < high the first of the sorted breaks inside, or -1."""
+    if not len(breaks):
+        return np.full(len(low), -1)
+    found = breaks[np.minimum(np.searchsorted(breaks, low), len(breaks) - 1)]
+    return np.where((found >= low) & (found < high), found, -1)
+
+
+def length_spans(texts: list[str], size: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of all chunks, sorted by text and start, white ones included; end is -1 where a chunk would not advance."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    # size + PARAGRAPH_REACH places behind each text keep the windows of one off the next
+    base = np.cumsum(lengths + size + PARAGRAPH_REACH) - lengths - size - PARAGRAPH_REACH
+    paragraphs, periods = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for t, b in zip(texts, base.tolist(), strict=True):
+        points = np.frombuffer(t.encode("utf-32-le"), "<u4")
+        feeds = points == 10
+        paragraphs.append(np.flatnonzero(feeds[1:] & feeds[:-1]) + b)
+        periods.append(np.flatnonzero(points == 46) + b)
+    paragraphs, periods = np.concatenate(paragraphs), np.concatenate(periods)
+    open_, start, rounds = np.flatnonzero(lengths > 0), np.zeros(int((lengths > 0).sum()), np.int64), []
+    while len(open_):
         end = start + size
-        if end < n:
-            near = text.find("\n\n", end - PARAGRAPH_REACH, end + PARAGRAPH_REACH)
-            dot = text.find(".", end - PERIOD_REACH, end + PERIOD_REACH) if near < 0 else -1
-            end = near if near >= 0 else dot + 1 if dot >= 0 else end
-        if piece := text[start:end].strip():
-            yield piece, start, end, None
-        if end - overlap <= start:
-            raise ValueError(f"no progress at {start}: a break right behind it and an overlap of {overlap}")
-        start = end - overlap
+        at = base[open_] + end
+        paragraph = _leftmost(paragraphs, at - PARAGRAPH_REACH, at + PARAGRAPH_REACH - 1)  # both line feeds inside
+        period = _leftmost(periods, at - PERIOD_REACH, at + PERIOD_REACH)
+        moved = np.where(paragraph >= 0, paragraph, np.where(period >= 0, period + 1, at)) - base[open_]
+        end = np.where(end < lengths[open_], moved, end)
+        rounds.append((open_, start, end))
+        stuck = end - overlap <= start
+        rounds.append((open_[stuck], start[stuck], np.full(int(stuck.sum()), -1)))
+        on = ~stuck & (end - overlap < lengths[open_])
+        open_, start = open_[on], (end - overlap)[on]
+    row, start, end = (np.concatenate(x) if rounds else np.zeros(0, np.int64) for x in (zip(*rounds, strict=True) if rounds else ((), (), ())))
+    order = np.argsort(row, kind="stable")
+    return row[order], start[order], end[order]
+
+
+def _by_length(texts: list[str], size: int, overlap: int):
+    for row, start, end in zip(*(x.tolist() for x in length_spans(texts, size, overlap)), strict=True):
+        if end < 0:
+            yield row, None, f"no progress at {start}: a break right behind it and an overlap of {overlap}"
+        elif piece := texts[row][start:end].strip():
+            yield row, (piece, start, end, None), None
 
 
 def sentences(text: str) -> list[str]:
     return [s for x in SENTENCE_END.split(text) if (s := x.strip())]
 
 
-class _Finder:
-    """First places of sentences in a text; those already looked for are remembered."""
-
-    def __init__(self, text: str):
-        self.text, self.known = text, {}
-
-    def __call__(self, part: str) -> int:
-        if part not in self.known:
-            self.known[part] = self.text.find(part)
-        return self.known[part]
-
-
-def semantic_spans(text: str, size: int, overlap: int):
-    """Sentences packed up to `size`; each chunk starts with the last two (of at most two: the last) of the one before. overlap is not used."""
-    find, held, total = _Finder(text), [], 0
-    done = lambda: (" ".join(held), find(held[0]), find(held[-1]) + len(held[-1]), None)
-    for s in sentences(text):
-        if held and total + len(s) > size:
-            yield done()
-            held = held[-2:] if len(held) > 2 else held[-1:]
-            total = sum(map(len, held))
-        held.append(s)
-        total += len(s)
-    if held:
-        yield done()
-
-
-def structure_spans(text: str, size: int, overlap: int):
-    """Sections under `#` headings if the text starts with `#`, else paragraphs; offsets as found (-1 for rebuilt sections). size and overlap are not used."""
-    if text.startswith("#"):
-        for head, body in zip(["", *HEADING.findall(text)], HEADING.split(text), strict=True):
-            if body.strip():
-                whole = f"{head}\n{body}".strip()
-                at = text.find(whole)
-                yield whole, at, at + len(whole), 0
-        return
-    at = 0
-    for x in text.split("\n\n"):
-        if piece := x.strip():
-            yield piece, at, at + len(x), 0
-            at += len(x) + 2
-
-
-STRATEGIES = {"Length-based": ("length_based", length_spans), "Semantic": ("semantic", semantic_spans), "Structure-based": ("structure_based", structure_spans)}
+def packs(lengths: list[int], size: int) -> list[tuple[int, int]]:
+    """(from, to) of the sentences of each chunk: as many as have at most `size` characters; the last two of a chunk, or the last of two or one, begin the next, which then takes another whatever its length."""
+    before, n, out = [0, *accumulate(lengths)], len(lengths), []
+    first, least = 0, 1
+    while n:
+        to = min(n, max(least, bisect_right(before, before[first] + size) - 1))
+        out.append((first, to))
+        if to == n:
+            break
+        first, least = (to - 2 if to - first > 2 else to - 1), to + 1
+    return out
+
+
+def _by_sentence(texts: list[str], size: int, overlap: int):
+    for row, text in enumerate(texts):
+        parts, found = sentences(text), {}
+
+        def at(s: str, text=text, found=found) -> int:
+            return found[s] if s in found else found.setdefault(s, text.find(s))
+
+        for a, b in packs([len(p) for p in parts], size):
+            yield row, (" ".join(parts[a:b]), at(parts[a]), at(parts[b - 1]) + len(parts[b - 1]), None), None
+
+
+def _by_structure(texts: list[str], size: int, overlap: int):
+    for row, text in enumerate(texts):
+        if text.startswith("#"):
+            heads = [(0, 0), *(m.span() for m in HEADING.finditer(text))]
+            for (a, b), until in zip(heads, [*(x for x, _ in heads[1:]), len(text)], strict=True):
+                if text[b:until].strip():
+                    whole = f"{text[a:b]}\n{text[b:until]}".strip()
+                    at = text.find(whole)  # -1 for most, as a line feed has come between
+                    yield row, (whole, at, at + len(whole), 0), None
+        else:
+            kept = [x for x in text.split("\n\n") if x.strip()]
+            for x, behind in zip(kept, accumulate(len(x) + 2 for x in kept), strict=True):
+                yield row, (x.strip(), behind - len(x) - 2, behind - 2, 0), None
+
+
+#: How each strategy is called in its chunks, and what yields (text's number, (chunk, start, end, level), error) for a list of texts.
+STRATEGIES = {"Length-based": ("length_based", _by_length), "Semantic": ("semantic", _by_sentence), "Structure-based": ("structure_based", _by_structure)}
 _MADE = [("chunk_ix", pa.int32()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strategy", pa.string()), ("level", pa.int32()), ("error", pa.string())]
+MADE_NAMES = [n for n, _ in _MADE]
+
+
+def _parts(texts: pa.Array):
+    """Consecutive (from, to) of at most BATCH_BYTES of text, or one text."""
+    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BATCH_BYTES, "right")))
+        yield a, b
+        a = b
+
+
+def chunked(texts: list[str | None], strategy: str, size: int, overlap: int) -> tuple[list[int], list[tuple]]:
+    """(number of the text, values of _MADE) of all chunks; numbered within each text. A text with an error has one row with nulls and the error instead."""
+    name, spans = STRATEGIES[strategy]
+    rows, made = [], []
+    for row, span, error in spans([t or "" for t in texts], size, overlap):
+        if error:
+            while rows and rows[-1] == row:
+                rows.pop()
+                made.pop()
+            made.append((None, None, None, None, None, None, error))
+        else:
+            made.append((made[-1][0] + 1 if rows and rows[-1] == row else 0, *span[:3], name, span[3], None))
+        rows.append(row)
+    return rows, made
+
+
+def chunk_batches(batches, strategy: str, size: int, overlap: int):
+    """Arrow batches whose first column is the text, to batches of chunks: the other columns, then those of _MADE."""
+    for batch in batches:
+        for a, b in _parts(batch.column(0)):
+            part = batch.slice(a, b - a)
+            rows, made = chunked(part.column(0).to_pylist(), strategy, size, overlap)
+            if made:
+                columns = [pa.array(x, kind) for x, (_, kind) in zip(zip(*made, strict=True), _MADE, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in part.columns[1:]), *columns], names=[*batch.schema.names[1:], *(n for n, _ in _MADE)])
+
+
+def chunk_schema(fields: list[StructField]) -> StructType:
+    kinds = {pa.int32(): IntegerType(), pa.int64(): LongType(), pa.string(): StringType()}
+    return StructType([*fields, *(StructField(n, kinds[k]) for n, k in _MADE)])
+
+
+def checked(strategy: str, size: int, overlap: int) -> None:
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown chunking strategy: {strategy}")
+    if strategy == "Length-based" and (size < PARAGRAPH_REACH or size - PARAGRAPH_REACH - overlap < 0):
+        raise ValueError("size must be at least 50 and exceed the overlap by at least 50")
 
 
 def chunk(df: DataFrame, strategy: str = "Length-based", size: int = 500, overlap: int = 10, text: str = "text", overlap_mode: str = "raw", errors: bool = False) -> DataFrame:
@@ -92,32 +176,9 @@ def chunk(df: DataFrame, strategy: str = "Length-based", size: int = 500, overla
     A text that cannot be chunked gives one row with nulls; with `errors` a column `error` says why. Null and empty texts give no
     rows. By length, sizes under 50 or steps that could not advance anywhere are refused. Columns of df with the names of new ones are left out.
     """
-    if strategy not in STRATEGIES:
-        raise ValueError(f"unknown chunking strategy: {strategy}")
     overlap = int(size * overlap / 100) if overlap_mode == "percent" else overlap
-    if strategy == "Length-based" and (size < PARAGRAPH_REACH or size - PARAGRAPH_REACH - overlap < 0):
-        raise ValueError("size must be at least 50 and exceed the overlap by at least 50")
-    name, spans = STRATEGIES[strategy]
-    made_names = [n for n, _ in _MADE]
-    others = [c for c in df.columns if c != text and c not in made_names]
-
-    def run(batches):
-        for batch in batches:
-            for a in range(0, len(batch), 1024):
-                rows, made = [], []
-                for i, t in enumerate(batch.column(0).slice(a, 1024).to_pylist(), a):
-                    try:
-                        mine = [(k, *x[:3], name, x[3], None) for k, x in enumerate(spans(t or "", size, overlap))]
-                    except ValueError as e:
-                        mine = [(None, None, None, None, None, None, str(e))]
-                    made += mine
-                    rows += [i] * len(mine)
-                if made:
-                    columns = [pa.array(x, kind) for x, (_, kind) in zip(zip(*made, strict=True), _MADE, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[1:]), *columns], names=[*others, *made_names])
-
+    checked(strategy, size, overlap)
+    others = [c for c in df.columns if c != text and c not in MADE_NAMES]
     kept = df.select(F.col(text).alias("__text"), *others)
-    kinds = {pa.int32(): IntegerType(), pa.int64(): LongType(), pa.string(): StringType()}
-    schema = StructType([*kept.schema.fields[1:], *(StructField(n, kinds[k]) for n, k in _MADE)])
-    out = kept.mapInArrow(run, schema)
+    out = kept.mapInArrow(lambda it: chunk_batches(it, strategy, size, overlap), chunk_schema(kept.schema.fields[1:]))
     return out if errors else out.drop("error")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import time
+import uuid
+from dataclasses import dataclass
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
-from textloom.tables import materialise
+from textloom.tables import materialise, release
 
 #: Rows of a batch, dimension of a new index, what each store is called, file extension and MIME type per format.
 BATCH, DIMENSION = 100, 768
@@ -93,34 +97,103 @@ def vector_records(chunks: DataFrame, order: list[str]) -> DataFrame:
     return numbered(chunks, order).withColumns({"id": F.concat(F.lit("chunk_"), F.col("row_id").cast("string")), "batch": F.floor(F.col("row_id") / BATCH).cast("long")})
 
 
-class VectorWriter:
-    """What a vector store's client has to do. Writers are sent to the executors, so connections belong into open()."""
+class VectorStore:
+    """What a vector store's client has to do; clients are sent to the executors, so connections belong into open().
 
-    def create(self, dimension: int) -> None:
-        """Makes the index, class or collection if it is missing; called once, on the driver."""
+    Records are staged under a key by the tasks and show only once they are published. A task that is repeated stages under another key, and
+    only the keys of the tasks that counted are published, so nothing is stored twice or by half. Tasks that still run while a job is given
+    up may leave something staged, which nobody sees.
+    """
+
+    def create(self, dimension: int, properties: dict[str, str]) -> None:
+        """Makes the index, class or collection with its typed properties if it is missing; called once, on the driver."""
 
     def open(self) -> None:
-        """Called in each task before its first batch."""
+        """Called in each task before its first batch, and on the driver before publish() or discard()."""
+
+    def stage(self, key: str, batch: list[dict]) -> None:
+        """Takes at most BATCH records under a key, unseen by readers."""
+        raise NotImplementedError
+
+    def publish(self, keys: list[str]) -> None:
+        """Makes all that is staged under the keys visible, at once; a record replaces one of the same id. May be called again with the same keys."""
+        raise NotImplementedError
 
-    def upsert(self, batch: list[dict]) -> None:
-        """At most BATCH records; a record replaces one of the same id. May see a batch again if a task is repeated."""
+    def discard(self, prefix: str) -> None:
+        """Forgets all that is staged under keys that start so."""
         raise NotImplementedError
 
 
-def write_batches(records: DataFrame, writer: VectorWriter, dimension: int = DIMENSION, batch: int = BATCH) -> int:
-    """Sends records to a store by batches of `batch` from the executors; returns their number."""
-    writer.create(dimension)
-    sent = records.sparkSession.sparkContext.accumulator(0)
+#: Names of property types in a store that has a typed schema.
+PROPERTY_TYPES = {"string": "text", "boolean": "boolean", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "number", "double": "number", "timestamp": "date", "date": "date"}
+
+
+def properties(schema: StructType) -> dict[str, str]:
+    """Property types of a record's columns, without its id and vector; arrays end in `[]`, decimals are numbers, other types are stored as text."""
+    out = {}
+    for f in schema:
+        kind = f.dataType.simpleString()
+        base = kind.removeprefix("array<").removesuffix(">")
+        named = "number" if base.startswith("decimal") else PROPERTY_TYPES.get(base, "text")
+        out[f.name] = named + "[]" * kind.startswith("array<")
+    return {k: v for k, v in out.items() if k not in ("id", "vector")}
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    key: str
+    records: int
+
 
-    def run(rows) -> None:
-        rows = iter(rows)
-        writer.open()
-        while some := [r.asDict(recursive=True) for r in islice(rows, batch)]:
-            writer.upsert(some)
-            sent.add(len(some))
+def _sink(store: VectorStore, name: str, batch: int) -> type[DataSource]:
+    """A data source of Spark that writes to the store, staged by task and published by the driver's commit."""
 
-    records.foreachPartition(run)
-    return sent.value
+    class Writer(DataSourceWriter):
+        def write(self, rows) -> Staged:
+            from pyspark import TaskContext
+
+            key = f"{name}-{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
+            store.open()
+            n, rows = 0, iter(rows)
+            while some := [r.asDict(recursive=True) for r in islice(rows, batch)]:
+                store.stage(key, some)
+                n += len(some)
+            return Staged(key, n)
+
+        def commit(self, messages) -> None:
+            store.open()
+            store.publish([m.key for m in messages if m is not None and m.records])
+            store.discard(f"{name}-")  # what repeated tasks have left
+
+        def abort(self, messages) -> None:
+            store.open()
+            store.discard(f"{name}-")
+
+    class Sink(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def writer(self, schema, overwrite) -> DataSourceWriter:
+            return Writer()
+
+    return Sink
+
+
+def write_batches(records: DataFrame, store: VectorStore, dimension: int = DIMENSION, batch: int = BATCH) -> int:
+    """Sends records to a store by batches of `batch` from the executors, all or none; returns their number.
+
+    Records are evaluated once, into a stage table, so that ids that are made up on the way are the same if a task is repeated.
+    """
+    spark = records.sparkSession
+    records = materialise(records, "records")
+    store.create(dimension, properties(records.schema))
+    name = f"store_{uuid.uuid4().hex}"
+    spark.dataSource.register(_sink(store, name, batch))
+    records.write.format(name).mode("append").save()
+    n = records.count()
+    release(records)
+    return n
 
 
 def _prepared(records: DataFrame, store: str) -> DataFrame:
@@ -146,7 +219,7 @@ def _folder(spark: SparkSession, path: str):
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
-def export_vectors(records: DataFrame, store: str, path: str | None = None, writer: VectorWriter | None = None, dimension: int = DIMENSION) -> DataFrame:
+def export_vectors(records: DataFrame, store: str, path: str | None = None, writer: VectorStore | None = None, dimension: int = DIMENSION) -> DataFrame:
     """Sends records(id, vector, text, filename, type, language, start, end) to a store, by `writer` or into a Parquet stand-in below `path`; one result row.
 
     pinecone and chroma replace records of equal ids, weaviate appends under fresh ids; chroma stores unknown languages as

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.tables import materialise
+from textloom.operators.blocks import BLOCK, products
+from textloom.operators.export import numbered
+from textloom.tables import materialise, release
 
 #: Similarity above which documents are related, cosine distance up to which clusters merge, words of a topic.
 EDGE_ABOVE, MERGE_UP_TO, TOPIC_WORDS, CENTRAL = 0.5, 0.5, 9, 3
-CLUSTER_CAP = 20_000
 #: All terms: the largest number that CountVectorizer takes.
 VOCABULARY = 2**31 - 1
 
@@ -28,29 +28,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarity_edges(vectors: DataFrame, node: str, vector: str, above: float = EDGE_ABOVE, block: int = 4096) -> DataFrame:
+def similarity_edges(vectors: DataFrame, node: str, vector: str, above: float = EDGE_ABOVE, block: int = BLOCK) -> DataFrame:
     """(source, target, similarity) of all pairs source < target whose dot product exceeds `above`.
 
-    Rows are dealt to groups of about `block`, as many as their counted number asks for. Two groups meet in one task, which
-    multiplies them as matrices, so a task's memory stays bounded and neither side is broadcast. Vectors have one length.
+    Two blocks of vectors meet in one task, which multiplies them as matrices, if a bound on their dot products exceeds the
+    threshold (see blocks.py); a task's memory stays bounded and neither side is broadcast. Vectors have one length.
     """
     rows = vectors.select(F.col(node).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    groups = max(1, math.ceil(vectors.count() / block))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    cell = F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda o: F.struct(F.least("g", o).alias("x"), F.greatest("g", o).alias("y"))))
-    dealt = rows.select("id", "v", "g", cell.alias("c")).select("id", "v", "g", "c.x", "c.y")
 
-    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = key
-        left, right = pdf[pdf["g"] == x], pdf[pdf["g"] == y]
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        if not len(a) or not len(b):
-            return pd.DataFrame({"source": [], "target": [], "similarity": []})
-        dots = np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T
-        i, j = np.nonzero((dots > above) & ((a[:, None] < b[None, :]) if x == y else (a[:, None] != b[None, :])))
-        return pd.DataFrame({"source": np.minimum(a[i], b[j]), "target": np.maximum(a[i], b[j]), "similarity": dots[i, j]})
+    def edges(ids, i, j, dots):
+        a, b = ids[i], ids[j]
+        apart = a != b
+        return np.minimum(a, b)[apart], np.maximum(a, b)[apart], dots[apart]
 
-    return dealt.groupBy("x", "y").applyInPandas(product, "source long, target long, similarity double")
+    return products(rows, above, block, edges, "source long, target long, similarity double")
 
 
 def degree_centrality(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
@@ -64,14 +55,17 @@ def central_documents(centrality: DataFrame, node: str, k: int = CENTRAL) -> Dat
     return centrality.orderBy(F.desc("centrality"), node).limit(k)
 
 
-def average_linkage(vectors: np.ndarray, most: float = MERGE_UP_TO) -> np.ndarray:
-    """Cluster numbers by average-linkage merging on cosine distance while the smallest is at most `most`; numbered by first member."""
+def average_linkage(vectors: np.ndarray, most: float = MERGE_UP_TO, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Cluster numbers by average-linkage merging on cosine distance while the smallest is at most `most`; numbered by first member.
+
+    With sizes, a row is the mean of the unit vectors of a cluster of that size.
+    """
     n = len(vectors)
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    unit = vectors if sizes is not None else vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
     d = unit @ unit.T
     np.subtract(1.0, d, out=d)
     np.fill_diagonal(d, np.inf)
-    size, owner, done, chain, start = np.ones(n), np.arange(n), np.zeros(n, bool), [], 0
+    size, owner, done, chain, start = np.ones(n) if sizes is None else np.array(sizes, float), np.arange(n), np.zeros(n, bool), [], 0
     while True:  # chains of nearest neighbours give the merges of the smallest distance first in n^2 steps
         if not chain:
             while start < n and done[start]:
@@ -100,18 +94,83 @@ def average_linkage(vectors: np.ndarray, most: float = MERGE_UP_TO) -> np.ndarra
     return np.unique(owner, return_inverse=True)[1]
 
 
-def cluster_hierarchy(vectors: DataFrame, node: str, vector: str, block: Column | None = None) -> DataFrame:
-    """(node, cluster_id) by average linkage, inside each block of at most CLUSTER_CAP documents (the method needs all distances of a block)."""
-    rows = vectors.select(F.col(node).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (block if block is not None else F.lit("")).cast("string").alias("block"))
+def _nearest(clusters: DataFrame, at_least: float, block: int) -> DataFrame:
+    """(id, other, similarity) of clusters(id, n, s) that have another one with a mean inner product of at least `at_least`; the smallest id of equals."""
+
+    def best(ids, i, j, dots):
+        one, two, both = np.r_[ids[i], ids[j]], np.r_[ids[j], ids[i]], np.r_[dots, dots]
+        order = np.lexsort((two, -both, one))
+        first = order[np.r_[True, one[order][1:] != one[order][:-1]]] if len(order) else order
+        return one[first], two[first], both[first]
+
+    means = clusters.select("id", F.transform("s", lambda x: x / F.col("n")).alias("v"))
+    each = products(means, at_least, block, best, "id long, other long, similarity double", strict=False)
+    top = F.max(F.struct("similarity", (-F.col("other")).alias("minus")))
+    return each.groupBy("id").agg(top.alias("top")).select("id", (-F.col("top.minus")).alias("other"), F.col("top.similarity").alias("similarity"))
+
+
+def _last_merges(clusters: DataFrame, most: float) -> DataFrame:
+    """(child, parent) of the few clusters(id, n, s) that are left, all at once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > CLUSTER_CAP:
-            raise ValueError(f"a block of {len(pdf)} documents; at most {CLUSTER_CAP} can be clustered at once: give a finer block")
         pdf = pdf.sort_values("id")
-        head = f"{pdf['block'].iloc[0]}_" if pdf["block"].iloc[0] else ""
-        return pd.DataFrame({"id": pdf["id"], "cluster_id": [f"cluster_{head}{c}" for c in average_linkage(np.stack(pdf["v"].to_list()))]})
+        ids, n = pdf["id"].to_numpy(), pdf["n"].to_numpy()
+        number = average_linkage(np.stack(pdf["s"].to_list()) / n[:, None], most, n)
+        heads = ids[np.unique(number, return_index=True)[1]]
+        return pd.DataFrame({"child": ids, "parent": heads[number]})[lambda x: x["child"] != x["parent"]]
 
-    return rows.groupBy("block").applyInPandas(run, "id long, cluster_id string").withColumnRenamed("id", node)
+    return clusters.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "child long, parent long")
+
+
+def merges(vectors: DataFrame, most: float = MERGE_UP_TO, block: int = BLOCK) -> DataFrame:
+    """(child, parent) of ids that end in one cluster; the parent is the cluster's smallest id. vectors: (id, v array<double>).
+
+    The mean distance of two clusters is 1 minus the inner product of their sums of unit vectors over their sizes, so a cluster is one
+    row (id, n, s). A round merges all pairs of clusters that are each other's nearest; with average linkage these are merges of
+    the whole hierarchy, in whatever order they come. A cluster without another in reach never has one again and leaves. Rounds end when no cluster is
+    left; up to `block` of them are finished in one task.
+    """
+    unit = lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-300)))
+    # equal vectors are one cluster from the start
+    equal = materialise(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("n")), "equal")
+    made = [vectors.join(equal.withColumnRenamed("id", "parent"), "v").select(F.col("id").alias("child"), "parent").filter("child <> parent")]
+    left = materialise(equal.select("id", "n", F.transform(unit(F.col("v")), lambda x: x * F.col("n")).alias("s")), "clusters")
+    while (count := left.count()) > block:
+        near = materialise(_nearest(left, 1 - most, block), "nearest")
+        back = near.select(F.col("id").alias("b"), F.col("other").alias("a"))
+        mutual = materialise(near.join(back, (F.col("id") == F.col("a")) & (F.col("other") == F.col("b"))).filter("id < other").select(F.col("other").alias("child"), F.col("id").alias("parent")), "mutual")
+        made.append(mutual)
+        one = left.join(near.select("id"), "id").join(mutual, F.col("id") == F.col("child"), "left")
+        total = F.transform(F.sequence(F.lit(0), F.size(F.first("s")) - 1), lambda i: F.aggregate(F.collect_list("s"), F.lit(0.0), lambda t, x: t + F.get(x, i)))  # two rows at most
+        after = materialise(one.groupBy(F.coalesce("parent", "id").alias("id")).agg(F.sum("n").alias("n"), total.alias("s")), "clusters")
+        release(left)
+        left = after
+    if count > 1:
+        made.append(_last_merges(left, most))
+    links = made[0]
+    for m in made[1:]:
+        links = links.unionByName(m)
+    links = materialise(links, "links")
+    while True:  # a parent may have become a child in a later round; every pass halves the way
+        up = links.select(F.col("child").alias("c"), F.col("parent").alias("p"))
+        after = materialise(links.join(up, F.col("parent") == F.col("c"), "left").select("child", F.coalesce("p", "parent").alias("parent"), F.col("p").isNotNull().alias("moved")), "links")
+        moved = not after.filter("moved").isEmpty()
+        release(links)
+        links = after.drop("moved")
+        if not moved:
+            return links
+
+
+def cluster_hierarchy(vectors: DataFrame, node: str, vector: str, most: float = MERGE_UP_TO, block: int = BLOCK) -> DataFrame:
+    """(node, cluster_id) by average linkage over all vectors, while the mean cosine distance is at most `most`; clusters are numbered by their smallest node.
+
+    Null nodes and vectors take no part; vectors have one length, nodes are integers and differ.
+    """
+    rows = vectors.select(F.col(node).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    heads = rows.select("id").join(merges(rows, most, block), F.col("id") == F.col("child"), "left").select("id", F.coalesce("parent", "id").alias("head"))
+    heads = materialise(heads, "heads")
+    numbers = numbered(heads.filter("id = head").select("head"), ["head"], "number")
+    return heads.join(numbers, "head").select(F.col("id").alias(node), F.concat(F.lit("cluster_"), F.col("number").cast("string")).alias("cluster_id"))
 
 
 def embed(docs: DataFrame, text: str, out: str = "embedding", size: int = 768) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import chunking, cleaning
+from textloom.functions import chunking, cleaning, sql
 from textloom.functions.cleaning import CleanOptions
 from textloom.operators import export, structure
-from textloom.sources import files
+from textloom.sources import files, pdf
 from textloom.tables import spread
 from textloom.tables import table as _table
 
@@ -54,6 +55,17 @@ def _pages(spark, d: str) -> DataFrame:
     return files.extract_documents(raw).select(F.col("ordinal").alias("page_id"), "content", "metadata")
 
 
+def _pdfs(spark, d: str) -> DataFrame:
+    """Documents as PDF files of one page, read back."""
+
+    @F.pandas_udf("binary")
+    def made(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([pdf.page_of(t, f"doc {i}") for i, t in zip(ids, texts, strict=True)])
+
+    raw = _docs(spark, d).select(F.concat("doc_id", F.lit(".PDF")).alias("filename"), F.col("doc_id").alias("ordinal"), made("doc_id", F.coalesce("text", F.lit(""))).alias("content"))
+    return files.extract_documents(raw).select(F.col("ordinal").alias("doc_id"), "content", F.col("metadata.pages").cast("long").alias("pages"), F.col("metadata.pdf_metadata")["/Title"].alias("title"))
+
+
 #: Endings that type_dispatch puts behind the names of pages, and the handlers that they get.
 _ENDINGS = {"": None, ".txt": "text", ".MD": "markdown", ".htm": "html", ".docx": "docx", ".XLSX": "xlsx", ".pptx": "pptx", ".pdf": "pdf", ".csv": "", ".exe": "", ".bin": "", ".webp": "", ".tsv": "", ".bmp": "", ".c": "text", ".unknown": "text", ".txt.gz": "text", ".tgz": "", ".json": "", ".mp3": ""}
 
@@ -71,6 +83,12 @@ def _with_metadata(spark, d: str) -> DataFrame:
     return chunking.chunk(docs)
 
 
+def _called(spark, d: str) -> DataFrame:
+    """chunk_text() as SQL calls it."""
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, CAST(chunk_ix AS BIGINT) AS chunk_ix, text, start, end FROM chunk_text(TABLE({docs}), 'Semantic', chunk_size => 500)", docs=_docs(spark, d))
+
+
 def _edges(spark, d: str, above: float = 0.3) -> DataFrame:
     return structure.similarity_edges(_table(spark, d, "embeddings"), "vec_id", "embedding", above)
 
@@ -114,6 +132,7 @@ def queries() -> dict:
         "chunk_structure_paragraphs": lambda s, d: _chunks(_spaced(s, d), "Structure-based"),
         "chunk_structure_headers": _headed,
         "chunk_semantic": lambda s, d: _chunks(_docs(s, d), "Semantic"),
+        "sql_chunk_text": _called,
         "clean_urls": lambda s, d: _table(s, d, "pages").select("page_id", F.regexp_replace(F.concat(F.lit("see "), "url", F.lit(" now")), cleaning.URL, "").alias("cleaned")),
         "clean_emails": _mapped(lambda t: F.regexp_replace(t, cleaning.EMAIL, "")),
         "clean_phones": _mapped(lambda t: F.regexp_replace(t, cleaning.PHONE, "")),
@@ -127,6 +146,7 @@ def queries() -> dict:
         "clean_stats": _stats,
         "type_dispatch": _typed,
         "html_text": lambda s, d: _pages(s, d).select("page_id", "content"),
+        "pdf_text": _pdfs,
         "html_meta": lambda s, d: _pages(s, d).select("page_id", F.size("metadata.meta_tags").alias("n_tags"), "metadata.size", "metadata.size_bytes"),
         "preview": _preview,
         "export_csv_projection": lambda s, d: export.csv_projection(_with_metadata(s, d)),
@@ -174,7 +194,7 @@ cl AS (SELECT *, CASE WHEN stop THEN text ELSE trim(regexp_replace(regexp_replac
     edges = f"e AS (SELECT a.vec_id AS source, b.vec_id AS target, {dots} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {dots} > 0.3)"
     centrality = f"WITH {edges}, d AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id) SELECT vec_id, round(coalesce(d.n, 0) / ((SELECT count(*) FROM embeddings) - 1), {ROUND}) AS centrality FROM embeddings LEFT JOIN d ON id = vec_id"
     votes = {k: " + ".join(f"CAST(list_contains(w, '{x}') AS INT)" for x in v) for k, v in files.STOP_WORDS.items()}
-    return {
+    out = {
         "clean_then_chunk_summary": f"WITH RECURSIVE {lines}, t AS (SELECT doc_id, cleaned AS text FROM cl), {_LENGTH.format(end=_end('s0'), next=_end('(e - 10)'))} SELECT lang, source, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, CAST(sum(length(c.text)) AS BIGINT) AS n_chars FROM c JOIN documents USING (doc_id) WHERE c.text <> '' GROUP BY lang, source",
         "chunk_length": _length_sql(docs, chunks),
         "chunk_length_paragraphs": _length_sql(spread, chunks),
@@ -197,6 +217,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn) - 1 AS chun
         "type_dispatch": f"""WITH e AS (SELECT page_id, regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) AS own, ([{", ".join(repr(x) for x in _ENDINGS)}])[page_id % {len(_ENDINGS)} + 1] AS ending FROM pages)
 SELECT page_id, own || ending AS filename, CASE WHEN own = '' AND ending NOT IN ({", ".join(repr(k) for k in _ENDINGS if k.strip(".").lower() in files.ENDINGS)}) THEN 'text' {" ".join(f"WHEN ending = {k!r} THEN {'NULL' if v == '' else repr(v)}" for k, v in _ENDINGS.items() if v is not None)} WHEN own LIKE '%.html' THEN 'html' ELSE 'text' END AS type FROM e""",
         "html_meta": "SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, '<meta[^>]*>'), lambda m: regexp_matches(m, '(name|property)=') AND regexp_matches(m, 'content=.?[^\"\'' >]'))) AS INTEGER) AS n_tags, CASE WHEN len(regexp_extract_all(html, '<meta[^>]*>')) = 0 THEN CAST(octet_length(encode(html)) AS BIGINT) ELSE CAST(length(regexp_extract(regexp_extract_all(html, '<meta[^>]*>')[-1], 'content=.?([^\"\'' >]*)', 1)) AS BIGINT) END AS size, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM pages",
+        "pdf_text": "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)) AS content, CAST(1 AS BIGINT) AS pages, 'doc ' || doc_id AS title FROM documents",
         "preview": "SELECT 'doc' || doc_id AS filename, 'text' AS type, printf('%.1f KB', octet_length(encode(text)) / 1024) AS size, 'unknown' AS language FROM documents",
         "export_csv_projection": _length_sql(docs, "SELECT text, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", 'length_based' AS strategy, 'doc' || doc_id || '.txt' AS filename, 'text' AS type FROM c WHERE text <> ''"),
         "export_markdown": _length_sql(docs, "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS chunk_ix, '## Chunk from doc' || doc_id || '.txt' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) AS block FROM c WHERE text <> ''"),
@@ -219,3 +240,4 @@ SELECT doc_id, CAST(ix AS BIGINT) AS chunk_ix, array_to_string(ss[a:b], ' ') AS
         "topic_argmax": "WITH s AS (SELECT label, t AS topic_id, avg(round(CAST(embedding[t + 1] AS DOUBLE), 4)) AS p FROM embeddings, range(64) r(t) WHERE t < len(embedding) GROUP BY label, t) SELECT label, CAST(topic_id AS BIGINT) AS topic_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p DESC, topic_id) AS k FROM s) WHERE k = 1",
         "language_detect": f"WITH w AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM documents), v AS (SELECT doc_id, {', '.join(f'{x} AS {k}' for k, x in votes.items())} FROM w) SELECT doc_id, CASE WHEN greatest({', '.join(votes)}) = 0 THEN 'unknown' {' '.join(f'WHEN {k} = greatest({chr(44).join(votes)}) THEN {chr(39)}{k}{chr(39)}' for k in votes)} END AS language FROM v",
     }
+    return out | {"sql_chunk_text": out["chunk_semantic"]}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import chunking, cleaning
 from textloom.functions.cleaning import CleanOptions
 from textloom.operators.export import last_wins
-from textloom.sources import files
+from textloom.sources import files, pdf
 from textloom.tables import materialise
 
 
@@ -24,12 +24,12 @@ class Processed:
     errors: DataFrame
 
 
-def process_files(spark: SparkSession, path: str, options: CleanOptions = CleanOptions(), strategy: str = "Length-based", size: int = 500, overlap: int = 10, extract: Callable | None = None, ocr: Callable | None = None) -> Processed:
+def process_files(spark: SparkSession, path: str, options: CleanOptions = CleanOptions(), strategy: str = "Length-based", size: int = 500, overlap: int = 10, extract: Callable | None = pdf.extract, ocr: Callable | None = None) -> Processed:
     """All files below path, in the order of their modification times."""
     return process_raw(files.read_raw(spark, path), options, strategy, size, overlap, extract, ocr)
 
 
-def process_raw(raw: DataFrame, options: CleanOptions = CleanOptions(), strategy: str = "Length-based", size: int = 500, overlap: int = 10, extract: Callable | None = None, ocr: Callable | None = None) -> Processed:
+def process_raw(raw: DataFrame, options: CleanOptions = CleanOptions(), strategy: str = "Length-based", size: int = 500, overlap: int = 10, extract: Callable | None = pdf.extract, ocr: Callable | None = None) -> Processed:
     """raw(filename, ordinal, content BINARY) through all steps.
 
     A file that cannot be read, has no text (its reduction cannot be told) or cannot be chunked is a row of `errors` and

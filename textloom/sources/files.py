@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources import pdf
+
 METADATA = "struct<filename:string,type:string,size:bigint,size_bytes:bigint,language:string,sheets:array<string>,slides:int,pages:int,pdf_metadata:map<string,string>,ocr_applied:boolean,meta_tags:map<string,string>>"
 DOCUMENT = f"filename string, ordinal bigint, content string, html_content string, metadata {METADATA}, error string"
 #: The MIME types that have a handler, and endings that stand for one whatever the MIME table says.
@@ -52,6 +54,16 @@ def type_of(filename: Column) -> Column:
     return kind
 
 
+def kind_of(filename: str) -> str | None:
+    """type_of() of one name."""
+    known = mimetypes.MimeTypes(filenames=())
+    for ending, handler in ENDINGS.items():
+        if filename.lower().endswith(f".{ending}"):
+            return handler
+    mime = known.guess_type(re.split(r"[/\\]", filename)[-1])[0]
+    return "text" if mime is None else HANDLERS.get(mime)
+
+
 def detect_language(text: Column) -> Column:
     """The language whose stop words occur most as distinct words; ties go to the first in STOP_WORDS, none is `unknown`."""
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
@@ -239,12 +251,12 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.unix_micros("modificationTime").alias("ordinal"), F.col("content"))
 
 
-def read_files(spark: SparkSession, path: str, extract: Callable | None = None, ocr: Callable | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, extract: Callable | None = pdf.extract, ocr: Callable | None = None) -> DataFrame:
     """Documents of all files below path."""
     return extract_documents(read_raw(spark, path), extract, ocr)
 
 
-def extract_documents(raw: DataFrame, extract: Callable | None = None, ocr: Callable | None = None) -> DataFrame:
+def extract_documents(raw: DataFrame, extract: Callable | None = pdf.extract, ocr: Callable | None = None) -> DataFrame:
     """raw(filename, ordinal, content BINARY) as DOCUMENT rows. Languages are detected for office and PDF files only."""
     typed = raw.select("filename", F.col("ordinal").cast("long").alias("ordinal"), "content", type_of(F.col("filename")).alias("kind"))
     fields = [f.split(":")[0] for f in "filename type size size_bytes language sheets slides pages pdf_metadata ocr_applied meta_tags".split()]

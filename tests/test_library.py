@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import chunking, sql
+from textloom.functions import chunking, sentences, sql
 from textloom.functions.cleaning import CleanOptions, clean_stats, clean_text, fix_line_breaks, remove_headers_footers, repair_unicode
 from textloom.operators import blocks, export, structure
 from textloom.plans import catalog, ingest
@@ -145,6 +145,26 @@ def test_table_functions_of_sql(spark):
     assert {r["f"]: r["t"] for r in kinds} == {n: files.kind_of(n) for n in names}
 
 
+def test_sentences_are_learned(spark):
+    rng = random.Random(2)
+    nouns = ["house", "river", "stone", "garden", "window", "letter", "summer", "winter", "market", "village"]
+    lines = []
+    for i in range(400):
+        a, b = rng.sample(nouns, 2)
+        lines.append(rng.choice([f"The {a} was near the {b}.", f"Dr. Miller saw the {a} at 3.5 km.", f"In the {a}, Prof. Smith met Mr. Jones.", f"This {b} is old, z. B. the {a}.", f"We met J. Brown approx. 3 times by the {b}.", f"No {a}! The {b}?"]))
+    docs = spark.createDataFrame([(i, " ".join(lines[i : i + 8])) for i in range(0, 400, 8)] + [(1, None), (2, "")], "id int, text string")
+    model = sentences.learn(docs)
+    assert {"dr", "prof", "mr", "approx"} <= model.abbreviations and not set(nouns) & model.abbreviations
+    assert {"this", "we"} <= model.starters and "miller" not in model.starters
+    text = "Dr. Miller met Mr. Jones (approx. 5 m away). The house, z. B. by J. R. Smith, cost 3.5 m. We saw it! \"It ended.\" Then... nothing. In 1999. the end"
+    want = ["Dr. Miller met Mr. Jones (approx. 5 m away).", "The house, z. B. by J. R. Smith, cost 3.5 m.", "We saw it!", '"It ended."', "Then... nothing.", "In 1999. the end"]
+    assert model.split(text)[:3] == want[:3] and model.split(text)[-2:] == want[-2:]
+    assert sentences.SentenceModel().split("One. Two! A. Smith ") == ["One.", "Two!", "A. Smith"] and model.split(" \n") == []
+    chunks = chunking.chunk(spark.createDataFrame([(1, text)], "id int, text string"), "Semantic", 40, model=model).orderBy("chunk_ix").collect()
+    assert chunks[0]["text"] == want[0] and chunks[0]["end"] == len(want[0])
+    assert sentences.learn(docs.limit(0)) == sentences.SentenceModel()
+
+
 def _zip(parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

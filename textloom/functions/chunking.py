@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from textloom.functions.sentences import SentenceModel
+
 #: How far around a chunk's end breaks are searched, and what a heading and the end of a sentence are.
 PARAGRAPH_REACH, PERIOD_REACH = 50, 30
 HEADING = re.compile(r"^#{1,6}\s+.+$", re.M)
@@ -89,9 +91,9 @@ def packs(lengths: list[int], size: int) -> list[tuple[int, int]]:
     return out
 
 
-def _by_sentence(texts: list[str], size: int, overlap: int):
+def _by_sentence(texts: list[str], size: int, overlap: int, model: SentenceModel | None = None):
     for row, text in enumerate(texts):
-        parts, found = sentences(text), {}
+        parts, found = model.split(text) if model else sentences(text), {}
 
         def at(s: str, text=text, found=found) -> int:
             return found[s] if s in found else found.setdefault(s, text.find(s))
@@ -131,11 +133,11 @@ def _parts(texts: pa.Array):
         a = b
 
 
-def chunked(texts: list[str | None], strategy: str, size: int, overlap: int) -> tuple[list[int], list[tuple]]:
+def chunked(texts: list[str | None], strategy: str, size: int, overlap: int, model: SentenceModel | None = None) -> tuple[list[int], list[tuple]]:
     """(number of the text, values of _MADE) of all chunks; numbered within each text. A text with an error has one row with nulls and the error instead."""
     name, spans = STRATEGIES[strategy]
-    rows, made = [], []
-    for row, span, error in spans([t or "" for t in texts], size, overlap):
+    rows, made, more = [], [], (model,) if strategy == "Semantic" else ()
+    for row, span, error in spans([t or "" for t in texts], size, overlap, *more):
         if error:
             while rows and rows[-1] == row:
                 rows.pop()
@@ -147,12 +149,12 @@ def chunked(texts: list[str | None], strategy: str, size: int, overlap: int) ->
     return rows, made
 
 
-def chunk_batches(batches, strategy: str, size: int, overlap: int):
+def chunk_batches(batches, strategy: str, size: int, overlap: int, model: SentenceModel | None = None):
     """Arrow batches whose first column is the text, to batches of chunks: the other columns, then those of _MADE."""
     for batch in batches:
         for a, b in _parts(batch.column(0)):
             part = batch.slice(a, b - a)
-            rows, made = chunked(part.column(0).to_pylist(), strategy, size, overlap)
+            rows, made = chunked(part.column(0).to_pylist(), strategy, size, overlap, model)
             if made:
                 columns = [pa.array(x, kind) for x, (_, kind) in zip(zip(*made, strict=True), _MADE, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in part.columns[1:]), *columns], names=[*batch.schema.names[1:], *(n for n, _ in _MADE)])
@@ -170,9 +172,10 @@ def checked(strategy: str, size: int, overlap: int) -> None:
         raise ValueError("size must be at least 50 and exceed the overlap by at least 50")
 
 
-def chunk(df: DataFrame, strategy: str = "Length-based", size: int = 500, overlap: int = 10, text: str = "text", overlap_mode: str = "raw", errors: bool = False) -> DataFrame:
+def chunk(df: DataFrame, strategy: str = "Length-based", size: int = 500, overlap: int = 10, text: str = "text", overlap_mode: str = "raw", errors: bool = False, model: SentenceModel | None = None) -> DataFrame:
     """One row per chunk: the other columns of df, chunk_ix, chunk text, start, end, strategy, level. overlap_mode 'percent' takes overlap as a share of size.
 
+    Sentences end after `.`, `!` or `?` and white space, or where a model from sentences.learn() says so.
     A text that cannot be chunked gives one row with nulls; with `errors` a column `error` says why. Null and empty texts give no
     rows. By length, sizes under 50 or steps that could not advance anywhere are refused. Columns of df with the names of new ones are left out.
     """
@@ -180,5 +183,5 @@ def chunk(df: DataFrame, strategy: str = "Length-based", size: int = 500, overla
     checked(strategy, size, overlap)
     others = [c for c in df.columns if c != text and c not in MADE_NAMES]
     kept = df.select(F.col(text).alias("__text"), *others)
-    out = kept.mapInArrow(lambda it: chunk_batches(it, strategy, size, overlap), chunk_schema(kept.schema.fields[1:]))
+    out = kept.mapInArrow(lambda it: chunk_batches(it, strategy, size, overlap, model), chunk_schema(kept.schema.fields[1:]))
     return out if errors else out.drop("error")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import chunking, cleaning, sql
+from textloom.functions import chunking, cleaning, sentences, sql
 from textloom.functions.cleaning import CleanOptions
 from textloom.operators import export, structure
 from textloom.sources import files, pdf
@@ -89,6 +89,12 @@ def _called(spark, d: str) -> DataFrame:
     return spark.sql("SELECT doc_id, CAST(chunk_ix AS BIGINT) AS chunk_ix, text, start, end FROM chunk_text(TABLE({docs}), 'Semantic', chunk_size => 500)", docs=_docs(spark, d))
 
 
+def _learned(spark, d: str) -> DataFrame:
+    """Chunks of sentences that end where a model of these documents says so."""
+    docs = _docs(spark, d)
+    return chunking.chunk(docs, "Semantic", model=sentences.learn(docs)).select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "text", "start", "end")
+
+
 def _edges(spark, d: str, above: float = 0.3) -> DataFrame:
     return structure.similarity_edges(_table(spark, d, "embeddings"), "vec_id", "embedding", above)
 
@@ -133,6 +139,8 @@ def queries() -> dict:
         "chunk_structure_headers": _headed,
         "chunk_semantic": lambda s, d: _chunks(_docs(s, d), "Semantic"),
         "sql_chunk_text": _called,
+        "chunk_learned_sentences": _learned,
+        "abbreviation_scores": lambda s, d: sentences.abbreviation_scores(sentences.words(_docs(s, d), "text")).withColumn("score", F.round("score", ROUND) + F.lit(0.0)),
         "clean_urls": lambda s, d: _table(s, d, "pages").select("page_id", F.regexp_replace(F.concat(F.lit("see "), "url", F.lit(" now")), cleaning.URL, "").alias("cleaned")),
         "clean_emails": _mapped(lambda t: F.regexp_replace(t, cleaning.EMAIL, "")),
         "clean_phones": _mapped(lambda t: F.regexp_replace(t, cleaning.PHONE, "")),
@@ -218,6 +226,13 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn) - 1 AS chun
 SELECT page_id, own || ending AS filename, CASE WHEN own = '' AND ending NOT IN ({", ".join(repr(k) for k in _ENDINGS if k.strip(".").lower() in files.ENDINGS)}) THEN 'text' {" ".join(f"WHEN ending = {k!r} THEN {'NULL' if v == '' else repr(v)}" for k, v in _ENDINGS.items() if v is not None)} WHEN own LIKE '%.html' THEN 'html' ELSE 'text' END AS type FROM e""",
         "html_meta": "SELECT page_id, CAST(len(list_filter(regexp_extract_all(html, '<meta[^>]*>'), lambda m: regexp_matches(m, '(name|property)=') AND regexp_matches(m, 'content=.?[^\"\'' >]'))) AS INTEGER) AS n_tags, CASE WHEN len(regexp_extract_all(html, '<meta[^>]*>')) = 0 THEN CAST(octet_length(encode(html)) AS BIGINT) ELSE CAST(length(regexp_extract(regexp_extract_all(html, '<meta[^>]*>')[-1], 'content=.?([^\"\'' >]*)', 1)) AS BIGINT) END AS size, CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes FROM pages",
         "pdf_text": "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)) AS content, CAST(1 AS BIGINT) AS pages, 'doc ' || doc_id AS title FROM documents",
+        "abbreviation_scores": r"""WITH w AS (SELECT unnest(regexp_extract_all(text, '\S+')) AS w FROM documents),
+b AS (SELECT lower(regexp_replace(regexp_replace(w, '^[(\[{"''«„“‚‘]+', ''), '[)\]}"''»“”’,;:!?]+$', '')) AS b FROM w),
+f AS (SELECT CASE WHEN regexp_full_match(b, '[0-9][0-9.,]*\.') THEN '#.' WHEN regexp_full_match(b, '[0-9][0-9.,]*') THEN '#' ELSE b END AS f FROM b),
+t AS (SELECT regexp_replace(f, '\.$', '') AS type, CAST(count(*) FILTER (f LIKE '%.') AS BIGINT) AS n_dot, CAST(count(*) FILTER (f NOT LIKE '%.') AS BIGINT) AS n_plain FROM f WHERE regexp_matches(f, '[\p{L}\p{N}#]') GROUP BY 1),
+a AS (SELECT sum(n_dot) / sum(n_dot + n_plain) AS p FROM t),
+s AS (SELECT *, length(type) - length(replace(type, '.', '')) AS dots FROM t, a WHERE n_dot > 0)
+SELECT type, n_dot, n_plain, round(-2 * (n_dot * ln(p / 0.99) + n_plain * ln((1 - p) / (1 - 0.99))) * exp(-(length(type) - dots)) * (dots + 1) * pow(greatest(length(type) - dots, 1), -n_plain), 6) + 0.0 AS score FROM s""",
         "preview": "SELECT 'doc' || doc_id AS filename, 'text' AS type, printf('%.1f KB', octet_length(encode(text)) / 1024) AS size, 'unknown' AS language FROM documents",
         "export_csv_projection": _length_sql(docs, "SELECT text, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", 'length_based' AS strategy, 'doc' || doc_id || '.txt' AS filename, 'text' AS type FROM c WHERE text <> ''"),
         "export_markdown": _length_sql(docs, "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS chunk_ix, '## Chunk from doc' || doc_id || '.txt' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) AS block FROM c WHERE text <> ''"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import chunking, sentences, sql
 from textloom.functions.cleaning import CleanOptions, clean_stats, clean_text, fix_line_breaks, remove_headers_footers, repair_unicode
-from textloom.operators import blocks, export, structure
+from textloom.operators import blocks, export, structure, terms
 from textloom.plans import catalog, ingest
 from textloom.sources import files, pdf
 
@@ -356,13 +356,94 @@ def test_edges_of_shapeless_vectors(spark):
     assert all(abs(dots[k] - x) < 1e-9 for k, x in got.items())
 
 
-def test_topics_query_fits_fully_with_all_terms(spark, tmp_path, monkeypatch):
-    seen = {}
-    for name in ("LDA", "CountVectorizer"):
-        monkeypatch.setattr(structure, name, lambda made=getattr(structure, name), name=name, **k: seen.setdefault(name, made(**k)))
-    spark.createDataFrame([(1, "red apple tree"), (2, "blue river water"), (3, "red river")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert catalog.queries()["topics_lda"](spark, str(tmp_path)).count() == 2
-    assert seen["LDA"].getMaxIter() == 10 and seen["CountVectorizer"].getVocabSize() == 2**31 - 1
+def test_topics_query_takes_all_terms(spark, tmp_path):
+    spark.createDataFrame([(1, "red apple tree"), (2, "blue river water"), (3, "red river"), (4, None), (5, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalog.queries()["topics_lda"](spark, str(tmp_path)).collect()
+    assert [r["topic_id"] for r in sorted(rows)] == [0, 1, 2, 3] and all(set(r["words"]) == {"red", "apple", "tree", "blue", "river", "water"} for r in rows)
+    with pytest.raises(ValueError, match="no terms"):
+        structure.topics(spark.createDataFrame([(1, "")], "id int, text string"), "text")
+
+
+def topic_corpus(rng, n, words=60, topics=4):
+    """Texts of two topics each, whose words overlap in part."""
+    by_topic = rng.dirichlet(np.full(words, 0.08), topics)
+    out = []
+    for _ in range(n):
+        share = rng.dirichlet(np.full(topics, 0.3))
+        out.append(" ".join(f"word{w}" for w in rng.choice(words, size=80, p=share @ by_topic)))
+    return out
+
+
+def held_out(texts, by_topic, index):
+    """Log-likelihood a word of the second halves of texts, by shares that fit the first halves."""
+    total = n = 0
+    for t in texts:
+        ids = [index[w] for w in t.split() if w in index]
+        seen, rest = ids[::2], ids[1::2]
+        share = np.full(len(by_topic), 1 / len(by_topic))
+        for _ in range(100):
+            p = share[:, None] * by_topic[:, seen]
+            share = (p / p.sum(0)).sum(1) + 0.25
+            share /= share.sum()
+        total, n = total + np.log(share @ by_topic[:, rest]).sum(), n + len(rest)
+    return total / n
+
+
+@pytest.mark.parametrize("batch", [5000, 60])
+def test_topics_fit_as_well_as_another_implementation(spark, monkeypatch, batch):
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    monkeypatch.setattr(terms, "BATCH_DOCUMENTS", batch)
+    texts = topic_corpus(np.random.default_rng(4), 360)
+    docs = spark.createDataFrame(list(enumerate(texts[:300])), "id int, text string")
+    counts, vocabulary = terms.counted(docs, "id", "text")
+    model = terms.fit_topics(counts, vocabulary, 4, 20)
+    rows = model.weights.join(model.words, "term").select("word", "vec").collect()
+    index = {r["word"]: i for i, r in enumerate(rows)}
+    mine = np.array([r["vec"] for r in rows]).T
+    vectors = CountVectorizer(inputCol="w", outputCol="f").fit(split := docs.select(F.split("text", " ").alias("w")))
+    theirs = LDA(k=4, seed=1, maxIter=20, optimizer="em", featuresCol="f").fit(vectors.transform(split)).topicsMatrix().toArray().T
+    there = {w: i for i, w in enumerate(vectors.vocabulary)}
+    a, b = (held_out(texts[300:], x / x.sum(1, keepdims=True), i) for x, i in ((mine, index), (theirs, there)))
+    assert a > b - 0.05, (a, b)
+    shares = {r["doc"]: r["topic_share"] for r in model.shares(counts).collect()}
+    assert len(shares) == 300 and all(abs(sum(x) - 1) < 1e-9 for x in shares.values())
+    assert [len(r["words"]) for r in model.described(9).collect()] == [9] * 4
+
+
+def test_digamma():
+    assert np.allclose(terms.digamma(np.array([0.1, 1.0, 2.5, 10.0])), [-10.4237549404, -0.5772156649, 0.7031566406, 2.2517525890], atol=1e-9)
+
+
+def test_embedding_equals_a_whole_decomposition(spark):
+    texts = topic_corpus(np.random.default_rng(7), 120, words=40)
+    docs = spark.createDataFrame([*enumerate(texts), (500, ""), (501, None)], "id int, text string").repartition(4)
+    model = terms.fit_embedding(docs, "id", "text", size=5, sweeps=10)
+    got = {r["id"]: np.array(r["embedding"]) for r in model.transform(docs, "id", "text").collect()}
+    words = sorted({w for t in texts for w in t.split()})
+    n = np.array([[t.split().count(w) for w in words] for t in texts], float)
+    a = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0) * (np.log((1 + len(texts)) / (1 + (n > 0).sum(0))) + 1)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    v = np.linalg.svd(a)[2][:5].T
+    want = a @ v
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    mine = np.stack([got[i] for i in range(len(texts))])
+    assert np.abs(mine @ mine.T - want @ want.T).max() < 1e-3
+    assert not got[500].any() and not got[501].any() and len(got[501]) == 5
+    new = spark.createDataFrame([(7, texts[3]), (8, "nothing known")], "id int, text string")
+    later = {r["id"]: np.array(r["embedding"]) for r in model.transform(new, "id", "text").collect()}
+    assert np.allclose(later[7], got[3]) and not later[8].any()
+
+
+def test_embedding_relates_texts_without_common_words(spark):
+    rng = random.Random(3)
+    topics = [["engine", "wheel", "brake", "road", "driver", "fuel", "gear", "tyre"], ["flour", "oven", "sugar", "dough", "butter", "bread", "cake", "yeast"]]
+    texts = [" ".join(rng.sample(topics[i % 2], 3)) for i in range(200)] + ["engine wheel brake", "fuel gear tyre", "flour oven sugar"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    e = {r["id"]: np.array(r["embedding"]) for r in terms.fit_embedding(docs, "id", "text", size=2).transform(docs, "id", "text").collect()}
+    assert e[200] @ e[201] > 0.9 > 0.3 > e[200] @ e[202]
+    assert terms.fit_embedding(docs.limit(0), "id", "text").size == 0
 
 
 def test_types_follow_the_mime_table(spark):

@@ -7,8 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, HashingTF, Normalizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,12 +15,11 @@ from pyspark.sql import functions as F
 
 from textloom.operators.blocks import BLOCK, products
 from textloom.operators.export import numbered
+from textloom.operators.terms import counted, fit_embedding, fit_topics, term_counts
 from textloom.tables import materialise, release
 
 #: Similarity above which documents are related, cosine distance up to which clusters merge, words of a topic.
 EDGE_ABOVE, MERGE_UP_TO, TOPIC_WORDS, CENTRAL = 0.5, 0.5, 9, 3
-#: All terms: the largest number that CountVectorizer takes.
-VOCABULARY = 2**31 - 1
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -180,31 +178,23 @@ def embed(docs: DataFrame, text: str, out: str = "embedding", size: int = 768) -
     return model.transform(docs).withColumn(out, vector_to_array("__n", "float32")).drop("__t", "__f", "__n")
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words of at least two letters or digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-
-
-def term_counts(docs: DataFrame, node: str, text: str) -> DataFrame:
-    return docs.select(node, F.explode(tokens(F.col(text))).alias("term")).groupBy(node, "term").agg(F.count(F.lit(1)).alias("n"))
-
-
 def topic_count(documents: int, most: int = 5) -> int:
     return min(most, max(2, documents - 1))
 
 
-def topics(docs: DataFrame, text: str, most: int = 5, iterations: int = 10):
-    """(topics(topic_id, words), documents with `topic_share` arrays); the vocabulary is CountVectorizer's, stop words are English."""
-    stages = [RegexTokenizer(inputCol=text, outputCol="__t", pattern=r"(?U)\b\w\w+\b", gaps=False), StopWordsRemover(inputCol="__t", outputCol="__w"), CountVectorizer(inputCol="__w", outputCol="__c", minDF=1, vocabSize=VOCABULARY)]
-    prepared = Pipeline(stages=stages).fit(docs)
-    if not prepared.stages[-1].vocabulary:
-        raise ValueError("no terms")
-    counted = prepared.transform(docs)
-    model = LDA(k=topic_count(docs.count(), most), seed=42, maxIter=iterations, featuresCol="__c").fit(counted)
-    words = prepared.stages[-1].vocabulary
-    rows = [(int(r["topic"]), [words[i] for i in r["termIndices"]]) for r in model.describeTopics(TOPIC_WORDS).collect()]  # topic_count rows
-    described = docs.sparkSession.createDataFrame(rows, "topic_id int, words array<string>")
-    return described, model.transform(counted).withColumn("topic_share", vector_to_array("topicDistribution")).drop("__t", "__w", "__c", "topicDistribution")
+def topics(docs: DataFrame, text: str, most: int = 5, iterations: int = 10, node: str | None = None):
+    """(topics(topic_id, words), documents with `topic_share` arrays) over all terms; stop words are English.
+
+    `node` tells the rows of docs apart; without it they are numbered, in a stage table. Documents without a term have equal shares.
+    """
+    key = node or "__row"
+    docs = docs if node else materialise(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    counts, terms = counted(docs, key, text)
+    model = fit_topics(counts, terms, topic_count(docs.count(), most), iterations)
+    shares = materialise(model.shares(counts), "shares")
+    even = F.array_repeat(F.lit(1.0 / model.k), model.k)
+    shared = docs.join(shares, docs[key] == shares["doc"], "left").withColumn("topic_share", F.coalesce("topic_share", even)).drop("doc", *[key] * (node is None))
+    return materialise(model.described(TOPIC_WORDS), "topics"), shared
 
 
 def main_topic(shares: DataFrame, cluster: str, share: str) -> DataFrame:
@@ -229,9 +219,12 @@ def structure_documents(docs: DataFrame, min_similarity: float = 0.5, max_topics
     Every result is written before the status is known, so what fails while it is computed is an error too. min_similarity changes nothing unless honour_similarity is set. If topics can't be fitted, each document's name is one.
     """
     try:
-        docs = docs if "embedding" in docs.columns else embed(docs, "content")
+        if docs.schema["content"].dataType.simpleString() != "string":
+            raise ValueError("content has to be text")
+        docs = docs if "embedding" in docs.columns else fit_embedding(docs, "ix", "content").transform(docs, "ix", "content")
+        docs = materialise(docs, "docs")
         try:
-            named, shares = topics(docs, "content", max_topics)
+            named, shares = topics(docs, "content", max_topics, node="ix")
         except Exception:
             named, shares = docs.select(F.col("ix").cast("int").alias("topic_id"), F.array("filename").alias("words")), None
         clusters = cluster_hierarchy(docs, "ix", "embedding")

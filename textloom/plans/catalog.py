@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import chunking, cleaning, sentences, sql
 from textloom.functions.cleaning import CleanOptions
-from textloom.operators import export, structure
+from textloom.operators import export, structure, terms
 from textloom.sources import files, pdf
 from textloom.tables import spread
 from textloom.tables import table as _table
@@ -112,6 +112,11 @@ def _lda(spark, d: str) -> DataFrame:
     return structure.topics(_docs(spark, d), "text")[0]
 
 
+def _embedded(spark, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return terms.fit_embedding(docs, "doc_id", "text").transform(docs, "doc_id", "text").select("doc_id", "embedding")
+
+
 def _stats(spark, d: str) -> DataFrame:
     return _cleaned(spark, d).select("doc_id", *(v.alias(k) for k, v in cleaning.clean_stats(F.col("text"), F.col("cleaned")).items()))
 
@@ -169,6 +174,7 @@ def queries() -> dict:
         "cluster_hierarchy": _hierarchy,
         "term_counts": lambda s, d: structure.term_counts(_docs(s, d), "doc_id", "text"),
         "topics_lda": _lda,
+        "document_embeddings": _embedded,
         "topic_argmax": _topic_argmax,
         "language_detect": lambda s, d: _docs(s, d).select("doc_id", files.detect_language(F.col("text")).alias("language")),
     }

@@ -63,7 +63,7 @@ def parse(data: bytes, at: int):
                 parts.append(m[2])
         return b"".join(parts), at
     if t[:1] == b"<" and len(t) > 1:
-        digits = re.sub(rb"[^0-9A-Fa-f]", b"", t)
+        digits = t[1:-1].translate(None, b"\0\t\n\f\r ")
         return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()), at
     if t[:1] == b"/":
         return re.sub(r"#([0-9A-Fa-f]{2})", lambda x: chr(int(x[1], 16)), t.decode("latin-1")), at
@@ -221,11 +221,18 @@ class Pdf:
             yield from self._pages(self.get(kid), here, seen | {kid})
 
 
+class Characters(dict):
+    """Characters by code; codes that are not known have none."""
+
+    def __missing__(self, code: int) -> str:
+        return ""
+
+
 class Font:
     """Codes of a font to characters and widths (in em)."""
 
     def __init__(self, pdf: Pdf, info: dict):
-        self.bytes, self.chars, self.widths, self.default = 1, {}, {}, 0.5
+        self.bytes, self.chars, self.widths, self.default = 1, Characters(), {}, 0.5
         get = pdf.get
         if info.get("/Subtype") == "/Type0":
             self.bytes = 2
@@ -242,7 +249,7 @@ class Font:
             encoding = get(info.get("/Encoding"))
             base = get(encoding.get("/BaseEncoding")) if isinstance(encoding, dict) else encoding
             table = {"/MacRomanEncoding": "mac_roman"}.get(base, "cp1252")
-            self.chars = {i: c for i in range(32, 256) if (c := bytes([i]).decode(table, "ignore"))}
+            self.chars.update({i: c for i in range(32, 256) if (c := bytes([i]).decode(table, "ignore"))})
             code = 0
             for x in get(encoding.get("/Differences", [])) if isinstance(encoding, dict) else []:
                 if isinstance(x := get(x), int):
@@ -273,9 +280,18 @@ class Font:
             if isinstance(v, Word):
                 held = []
 
-    def read(self, s: bytes) -> list[tuple[str, float]]:
-        codes = [int.from_bytes(s[i : i + self.bytes], "big") for i in range(0, len(s), self.bytes)]
-        return [(self.chars.get(c, ""), self.widths.get(c, self.default)) for c in codes]
+    def read(self, s: bytes) -> tuple[str, float, int]:
+        """The characters of a string, its width and its number of codes."""
+        try:
+            codes = s.decode("latin-1" if self.bytes == 1 else "utf-16-be")
+            codes = codes if codes.isascii() or max(codes) < "\ud800" else None
+        except UnicodeDecodeError:
+            codes = None
+        if codes is None:  # codes that stand for no character of their own
+            numbers = [int.from_bytes(s[i : i + self.bytes], "big") for i in range(0, len(s), self.bytes)]
+            return "".join(self.chars[c] for c in numbers), sum(self.widths.get(c, self.default) for c in numbers), len(numbers)
+        width = sum(self.widths.get(ord(c), self.default) for c in codes) if self.widths else len(codes) * self.default
+        return codes.translate(self.chars), width, len(codes)
 
 
 def glyph(name: str) -> str:
@@ -307,18 +323,18 @@ class Page:
         return "\n".join("".join(x) for x in [*self.lines, self.line] if any(x))
 
     def _show(self, s: bytes, font: Font | None, state: dict, matrix: tuple, ctm: tuple) -> tuple:
-        chars = font.read(s) if font else []
-        if not chars:
+        chars, width, codes = font.read(s) if font else ("", 0.0, 0)
+        if not codes:
             return matrix
         place = times(matrix, ctm)
         size = state["size"] * (place[2] ** 2 + place[3] ** 2) ** 0.5 or 1.0
         if self.end is not None and abs(place[5] - self.end[1]) > 0.3 * size:
             self.lines.append(self.line)
             self.line = []
-        elif self.end is not None and place[4] - self.end[0] > 0.2 * size and chars[0][0] != " " and not (self.line and self.line[-1].endswith(" ")):
+        elif self.end is not None and place[4] - self.end[0] > 0.2 * size and not chars.startswith(" ") and not (self.line and self.line[-1].endswith(" ")):
             self.line.append(" ")
-        self.line.append("".join(c for c, _ in chars))
-        on = sum(w for _, w in chars) * state["size"] + len(chars) * state["Tc"] + (state["Tw"] * s.count(b" ") if font.bytes == 1 else 0.0)
+        self.line.append(chars)
+        on = width * state["size"] + codes * state["Tc"] + (state["Tw"] * s.count(b" ") if font.bytes == 1 else 0.0)
         matrix = times((1, 0, 0, 1, on * state["Tz"], 0), matrix)
         self.end = times(matrix, ctm)[4:]
         return matrix
@@ -401,8 +417,8 @@ def extract(data: bytes) -> tuple[list[str], dict]:
 def page_of(text: str, title: str = "") -> bytes:
     """A PDF of one page with the lines of a text: compressed streams, an object stream, a cross-reference stream and a font with a ToUnicode map."""
     chars = {c: i for i, c in enumerate(sorted(set(text) - {"\n"}), 1)}
-    code = lambda s: "".join(f"{chars[c]:04x}" for c in s)
-    body = "BT /F 10 Tf 12 TL 40 800 Td " + " ".join(f"<{code(x)}> Tj T*" for x in text.split("\n")) + " ET"
+    table = {ord(c): f"{i:04x}" for c, i in chars.items()} | {10: "> Tj T* <"}
+    body = f"BT /F 10 Tf 12 TL 40 800 Td <{text.translate(table)}> Tj T* ET"
     pairs = [f"<{i:04x}> <{c.encode('utf-16-be').hex()}>" for c, i in chars.items()]
     cmap = "1 begincodespacerange <0000> <ffff> endcodespacerange " + " ".join(f"{len(p)} beginbfchar {' '.join(p)} endbfchar" for k in range(0, len(pairs), 100) if (p := pairs[k : k + 100]))
     inner = {1: "<</Type/Catalog/Pages 2 0 R>>", 2: "<</Type/Pages/Kids[3 0 R]/Count 1>>", 3: "<</Type/Page/Parent 2 0 R/Contents 7 0 R/Resources<</Font<</F 4 0 R>>>>>>", 4: "<</Type/Font/Subtype/Type0/BaseFont/A/Encoding/Identity-H/DescendantFonts[5 0 R]/ToUnicode 8 0 R>>", 5: "<</Type/Font/Subtype/CIDFontType2/BaseFont/A/DW 500>>", 6: f"<</Title<feff{title.encode('utf-16-be').hex()}>>>"}
@@ -414,7 +430,7 @@ def page_of(text: str, title: str = "") -> bytes:
     streams = {7: (body, ""), 8: (cmap, ""), 9: (first + " ".join(inner.values()), f"/Type/ObjStm/N {len(inner)}/First {len(first)}")}
     out, places = bytearray(b"%PDF-1.7\n"), {}
     for n, (x, more) in streams.items():
-        packed = zlib.compress(x.encode("latin-1"))
+        packed = zlib.compress(x.encode("latin-1"), 1)
         places[n] = len(out)
         out += f"{n} 0 obj <</Length {len(packed)}/Filter/FlateDecode{more}>> stream\n".encode() + packed + b"\nendstream endobj\n"
     rows = [(0, 0, 0), *((2, 9, n - 1) for n in inner), *((1, places[n], 0) for n in streams), (1, len(out), 0)]

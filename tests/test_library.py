@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import chunking, sentences, sql
+from textloom.functions import chunking, mojibake, sentences, sql
 from textloom.functions.cleaning import CleanOptions, clean_stats, clean_text, fix_line_breaks, remove_headers_footers, repair_unicode
 from textloom.operators import blocks, export, structure, terms
 from textloom.plans import catalog, ingest
@@ -457,6 +457,29 @@ def test_unicode_repair(spark, text, want):
     assert one(spark, text, repair_unicode) == want
 
 
+def read_wrongly(text, encoding):
+    return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in text.encode())
+
+
+@pytest.mark.parametrize("encoding", mojibake.ENCODINGS)
+def test_damaged_stretches_among_good_words(encoding):
+    for word in ("été", "Mädchen aß Käse", "l’école — “où”", "Привет мир", "naïve œuvre", "señor ¿qué?", "ÉCOLE", "10 € für 日本語"):
+        bad = read_wrongly(word, encoding)
+        assert mojibake.repaired(f"Größe déjà vu « là » {bad} und Käse") == f"Größe déjà vu « là » {word} und Käse"
+        if encoding == "cp1252":  # twice
+            assert mojibake.repaired(read_wrongly(bad, encoding)) == word
+    assert mojibake.repaired(f"{read_wrongly('été', 'cp1252')} et {read_wrongly('Привет', 'cp1251')}") == "été et Привет"
+
+
+def test_good_texts_stay_as_they_are(spark):
+    good = ["Рёв льва и ёж", "déjà vu », Ã", "Ãcole", "Â» ok", "¿Qué? ¡Sí!", "«Él» l’été", "naïve – “œuvre”", "π≈3, √2 ≤ 3", "SÃO PAULO", "ΑΒΓ αβγ", "“É” ‘à’", "100 €, 5 £ ±2", "Èéç Íñí", "日本語", "", "plain"]
+    assert [mojibake.repaired(t) for t in good] == good
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    assert docs.filter(~F.col("text").eqNullSafe(repair_unicode(F.col("text")))).count() == 0
+    bad = spark.createDataFrame([(read_wrongly("é", e),) for e in mojibake.ENCODINGS], "t string")
+    assert bad.filter(F.col("t").rlike(mojibake.suspicious())).count() == 4
+
+
 def test_json_array(spark, tmp_path):
     import json
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from textloom.functions import mojibake
+
 #: Character classes that mean in Java what `\w`, `\d`, `\s` and line ends mean for Unicode strings.
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
@@ -24,8 +25,6 @@ PHONE = r"\+?\d{1,4}?[-.\s]?\(?\d{1,3}?\)?[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{
 SPECIAL = rf"[^\p{{L}}\p{{N}}_{SPACES}.,!?-]"
 
 
-#: The first byte of a longer UTF-8 character and one that goes on, both read as Windows-1252.
-MOJIBAKE = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178]")
 #: Characters outside of the ranges that NFC leaves as they are.
 NOT_PLAIN = r"[^\x00-\x{02FF}\x{0400}-\x{0482}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{3040}-\x{3098}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
 
@@ -60,15 +59,8 @@ def strip(text: Column) -> Column:
 
 
 def normal_unicode(text: str) -> str:
-    """UTF-8 that was read as Windows-1252, if all of the text shows it, set right; then composed characters (NFC)."""
-    for _ in range(3):  # it may have been read so more than once
-        if not MOJIBAKE.search(text):
-            break
-        try:
-            text = text.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            break
-    return unicodedata.normalize("NFC", text)
+    """Stretches of UTF-8 that were read in another encoding, set right; then composed characters (NFC)."""
+    return unicodedata.normalize("NFC", mojibake.repaired(text))
 
 
 @F.arrow_udf(StringType())
@@ -80,7 +72,7 @@ def repair_unicode(text: Column) -> Column:
     """Wrongly decoded text, composed characters, line ends, curly quotes, ligatures and control characters; text in good order stays as it is.
 
     Only texts with characters that the first two steps could change are sent to Python."""
-    text = F.coalesce(_normal_unicode(F.when(text.rlike(MOJIBAKE.pattern) | text.rlike(NOT_PLAIN), text)), text)
+    text = F.coalesce(_normal_unicode(F.when(text.rlike(mojibake.suspicious()) | text.rlike(NOT_PLAIN), text)), text)
     text = F.regexp_replace(text, r"\r\n?|[\x85\x{2028}\x{2029}]", "\n")
     text = F.translate(text, "‘’‚‛“”„‟", "''''\"\"\"\"")
     for one, many in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):

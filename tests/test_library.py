@@ -278,6 +278,26 @@ def test_exports(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()["text"] == 't"q'
 
 
+def test_one_file_in_order(spark, tmp_path):
+    import csv
+
+    texts = {i: rng_text for i, rng_text in enumerate(["plain", 'quo"ted', "line\nfeed, comma", " spaces ", "é😀", "", "\\back", "x" * 3000] * 40)}
+    rows = [(i, t, i, i + len(t), "length_based", (f"f{i % 3}.txt", "text")) for i, t in texts.items()]
+    df = spark.createDataFrame(rows, "ix int, text string, start int, end int, strategy string, metadata struct<filename:string,type:string>").repartition(7)
+    made = {fmt: export.write_file(df, ["ix"], str(tmp_path / "chunks"), fmt) for fmt in export.FORMATS}
+    assert all(m["rows"] == 320 and m["bytes"] == os.path.getsize(m["name"]) for m in made.values()) and made["JSON"]["mime"] == "application/json"
+    read = {fmt: open(m["name"], encoding="utf-8", newline="").read() for fmt, m in made.items()}
+    want = [{"ix": i, "text": t, "start": s, "end": e, "strategy": k, "metadata": {"filename": f, "type": y}} for i, t, s, e, k, (f, y) in rows]
+    assert json.loads(read["JSON"]) == want == [json.loads(x) for x in read["JSONL"].split("\n")[:-1]]
+    assert list(csv.reader(io.StringIO(read["CSV"], newline=""))) == [export.CSV_COLUMNS, *([t, str(s), str(e), k, f, y] for _, t, s, e, k, (f, y) in rows)]
+    assert read["Markdown"] == "".join(f"## Chunk from {f}\n\n{t}\n\n---\n\n" for _, t, _, _, _, (f, _) in rows)
+    assert export.write_file(df.limit(0), ["ix"], str(tmp_path / "none"), "CSV") is None and sorted(os.listdir(tmp_path)) == ["chunks.csv", "chunks.json", "chunks.jsonl", "chunks.md"]
+    assert export.write_file(df, ["ix"], f"{tmp_path}/", "Markdown")["name"] == str(tmp_path / "rag_chunks.md")
+    for fmt, path in (("XML", "x"), ("CSV", "hdfs://a/b")):
+        with pytest.raises(ValueError):
+            export.write_file(df, ["ix"], path, fmt)
+
+
 def test_entry_without_session_and_llm(tmp_path):
     import shutil
     import subprocess

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 from dataclasses import dataclass
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +20,9 @@ from pyspark.sql.types import StructType
 
 from textloom.tables import materialise, release
 
-#: Rows of a batch, dimension of a new index, what each store is called, file extension and MIME type per format.
+#: Rows of a batch, dimension of a new index, name of an exported file, what each store is called, file extension and MIME type per format.
 BATCH, DIMENSION = 100, 768
+EXPORT_NAME = "rag_chunks"
 STORES = ("pinecone", "weaviate", "chroma")
 FORMATS = {"JSON": ("json", "application/json"), "JSONL": ("jsonl", "application/x-jsonlines"), "CSV": ("csv", "text/csv"), "Markdown": ("md", "text/markdown")}
 CSV_COLUMNS = ["text", "start", "end", "strategy", "filename", "type"]
@@ -71,6 +77,75 @@ def write_chunks(chunks: DataFrame, path: str, fmt: str) -> bool:
     return True
 
 
+#: What begins a file of each format, what ends a row, and what takes the place of the last row's end.
+_FRAMES = {"JSON": ("[\n", ",\n", "\n]"), "JSONL": ("", "\n", "\n"), "CSV": (",".join(CSV_COLUMNS) + "\n", "\n", "\n"), "Markdown": ("", "\n", "\n")}
+
+
+def _rows_of(chunks: DataFrame, fmt: str) -> Column:
+    whole = F.struct(*chunks.columns)
+    if fmt == "JSON":
+        return F.concat(F.lit("  "), F.replace(F.to_json(whole, {"ignoreNullFields": "true", "pretty": "true"}), F.lit("\n"), F.lit("\n  ")))
+    if fmt == "JSONL":
+        return F.to_json(whole, {"ignoreNullFields": "true"})
+    if fmt == "Markdown":
+        return markdown_block(F.col("metadata.filename"), F.col("text"))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+    value = lambda c: F.when(c.cast("string").rlike(r'[",\r\n]|^\s|\s$'), quoted(c)).otherwise(F.coalesce(c.cast("string"), F.lit("")))
+    return F.concat_ws(",", *(value(F.col(c)) for c in ("text", "start", "end", "strategy", "metadata.filename", "metadata.type")))
+
+
+def write_file(chunks: DataFrame, order: list[str], path: str, fmt: str) -> dict | None:
+    """One file of a format, in the order of the columns `order`; its name with the format's ending, MIME type, bytes and rows, or None if there are no chunks.
+
+    Rows are sorted range by range and stored with their place among the bytes of their range; the ranges' sizes, one number each, tell where
+    each row stands in the file, and the tasks write there side by side. A repeated task writes the same bytes to the same place, and the file gets its name when it is
+    whole. `path` is in a folder that the driver and all executors mount; a folder (with `/` at its end) gets a file called EXPORT_NAME.
+    """
+    if fmt not in FORMATS:
+        raise ValueError(f"unknown format: {fmt}")
+    if "://" in path:
+        raise ValueError("one file is written in a mounted folder: give a path without a scheme")
+    head, end, last = (x.encode() for x in _FRAMES[fmt])
+    rows = chunks.repartitionByRange(*order).sortWithinPartitions(*order).select(_rows_of(chunks, fmt).cast("binary").alias("value"))
+
+    def place(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sizes = pa.compute.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64) + len(end)
+            ends = at + np.cumsum(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), part)), pa.array(ends - sizes), pa.array(ends), batch.column(0)], names=["part", "at", "until", "value"])
+            at = int(ends[-1]) if len(ends) else at
+
+    placed = materialise(rows.mapInArrow(place, "part long, at long, until long, value binary"), "file")
+    parts = sorted(placed.groupBy("part").agg(F.max("until"), F.count(F.lit(1))).collect())  # a row for each range
+    if not parts:
+        return None
+    starts, total = {}, len(head)
+    for part, size, _ in parts:
+        starts[part] = total
+        total += size
+    name = f"{path}{EXPORT_NAME if path.endswith('/') else ''}.{FORMATS[fmt][0]}"
+    partial = f"{name}.{uuid.uuid4().hex}.partial"
+    with open(partial, "wb") as f:
+        f.write(head)
+        f.truncate(total)
+
+    def put(batches):
+        with open(partial, "r+b", buffering=0) as f:
+            for batch in batches:
+                for part, at, value in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                    os.pwrite(f.fileno(), value + end, starts[part] + at)
+                yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+            os.fsync(f.fileno())
+
+    n = placed.mapInArrow(put, "n long").agg(F.sum("n")).first()[0]
+    with open(partial, "r+b") as f:
+        os.pwrite(f.fileno(), last, total - len(end))
+    os.replace(partial, name)
+    release(placed)
+    return {"name": name, "mime": FORMATS[fmt][1], "bytes": total, "rows": n}
+
+
 def preview(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("metadata.filename").alias("filename"), F.col("metadata.type").alias("type"), F.format_string("%.1f KB", F.bround(F.col("metadata.size") / 1024, 1)).alias("size"), F.coalesce("metadata.language", F.lit("unknown")).alias("language"))
 
@@ -150,8 +225,6 @@ def _sink(store: VectorStore, name: str, batch: int) -> type[DataSource]:
 
     class Writer(DataSourceWriter):
         def write(self, rows) -> Staged:
-            from pyspark import TaskContext
-
             key = f"{name}-{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
             store.open()
             n, rows = 0, iter(rows)

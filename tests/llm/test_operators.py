@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from small import lines_left
+
 from textloom.llm import bpe, chat_tree, components, exact_dedup, langid, line_dedup, minhash, mixing, secrets, topk, warc
 
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "pi", "rho"]
@@ -310,3 +312,18 @@ def test_bpe(spark):
     with pytest.raises(ValueError, match="clash"):
         bpe.tokenise(df.withColumnRenamed("doc_id", "ids"), path, pattern, ["ids"], ["ids"])
     assert pa.array([1]) is not None
+
+
+def test_many_lines_with_one_passage(spark):
+    """More lines than a band gives pairs of: they meet in blocks, and near copies among them are found."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    passage = [word() for _ in range(9)]
+    texts = [" ".join([*passage, *(word() for _ in range(9))]) for _ in range(150)]
+    for i in range(0, 150, 5):  # a copy with another last word, and one of a copy
+        texts.append(" ".join([*texts[i].split()[:-1], word()]))
+        texts.append(" ".join([*texts[-1].split()[:-2], word(), texts[-1].split()[-1]]))
+    rows = list(enumerate(texts))
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shingled=True)
+    left = lines_left(rows)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == left and sum(not t for t in left.values()) >= 60

@@ -72,7 +72,9 @@ def repair_unicode(text: Column) -> Column:
     """Wrongly decoded text, composed characters, line ends, curly quotes, ligatures and control characters; text in good order stays as it is.
 
     Only texts with characters that the first two steps could change are sent to Python."""
-    text = F.coalesce(_normal_unicode(F.when(text.rlike(mojibake.suspicious()) | text.rlike(NOT_PLAIN), text)), text)
+    beyond = F.regexp_replace(text, r"[\x00-\x7f]+", " ")  # what is asked for needs no ASCII, so the patterns see a small part of most texts
+    odd = let(beyond, lambda b: b.rlike(mojibake.suspicious()) | b.rlike(NOT_PLAIN))
+    text = F.coalesce(_normal_unicode(F.when(odd, text)), text)
     text = F.regexp_replace(text, r"\r\n?|[\x85\x{2028}\x{2029}]", "\n")
     text = F.translate(text, "‘’‚‛“”„‟", "''''\"\"\"\"")
     for one, many in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import uuid
 import weakref
@@ -56,6 +57,12 @@ def release(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished rounds: it does so when the driver's JVM finds that nothing refers to them, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

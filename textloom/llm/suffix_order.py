@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes that decide on the end of a piece, and one in how many places is an end: the first for which pieces are short enough; 1 stands for single bytes.
+#: Bytes that decide on the end of a piece, and one in how many places is an end: the first (of powers of two) for which pieces are short enough; 1 stands for single bytes.
 TRIGGER, ONE_IN = 4, (32, 8, 1)
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+FACTOR = np.uint32(0x9E3779B1)
 
 
 def suffix_order(symbols: list[int]) -> list[int]:
@@ -103,23 +103,18 @@ def ends_of_pieces(data: np.ndarray, one_in: int) -> np.ndarray:
     """Whether a piece may end before each byte: decided by this byte and the next three alone, never by four zeros unless pieces are single bytes."""
     if one_in == 1:
         return np.ones(len(data), bool)
-    h = np.zeros(len(data), np.uint64)
-    padded = np.r_[data, np.zeros(TRIGGER, np.uint8)].astype(np.uint64)
+    h = np.zeros(len(data), np.uint32)
+    padded = np.r_[data, np.zeros(TRIGGER, np.uint8)].astype(np.uint32)
     for i in range(TRIGGER):
-        h = h * np.uint64(257) + padded[i : i + len(data)]
-    return ((h * FACTOR) >> np.uint64(40)) % np.uint64(one_in) == 1
+        h = h * np.uint32(257) + padded[i : i + len(data)]
+    return ((h * FACTOR) >> np.uint32(16)) & np.uint32(one_in - 1) == 1
 
 
 def longest_piece(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, one_in: int) -> np.ndarray:
-    """For each of the texts data[start : start + len], the bytes of its longest piece."""
+    """For each of the texts data[start : start + len], which lie one after the other, the bytes of its longest piece."""
     cuts = np.unique(np.r_[np.flatnonzero(ends_of_pieces(data, one_in)), starts, starts + lens])
     gaps = np.diff(cuts)
-    inside = np.searchsorted(cuts, starts)
-    out = np.zeros(len(starts), np.int64)
-    until = np.searchsorted(cuts, starts + lens)
-    for i, (a, b) in enumerate(zip(inside.tolist(), until.tolist(), strict=True)):
-        out[i] = gaps[a:b].max() if b > a else 0
-    return out
+    return np.maximum.reduceat(gaps, np.searchsorted(cuts, starts)) if len(starts) else np.zeros(0, np.int64)
 
 
 def repeated(texts: list[bytes], n_starts: np.ndarray, weights: np.ndarray, window: int, one_in: int) -> np.ndarray:
@@ -147,7 +142,7 @@ def repeated(texts: list[bytes], n_starts: np.ndarray, weights: np.ndarray, wind
     order = np.array(suffix_order([names[p] for p in pieces]), np.int64)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    common = _common(np.r_[data, np.zeros(window, np.uint8)], cuts[order], window)
+    common = _common(np.r_[data, np.zeros(window + 8, np.uint8)], cuts[order], window)
 
     of = np.repeat(np.arange(len(texts)), n_starts)
     places = np.repeat(begin, n_starts) + np.arange(len(of)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
@@ -156,10 +151,9 @@ def repeated(texts: list[bytes], n_starts: np.ndarray, weights: np.ndarray, wind
     out = np.zeros(len(of), bool)
     by_rest = np.argsort(rest, kind="stable")
     bounds = np.searchsorted(rest[by_rest], np.arange(window + 1))
-    left = np.zeros(len(cuts), np.uint64)
+    left, before = np.zeros(len(cuts), np.uint64), np.r_[np.zeros(window, np.uint64), data.astype(np.uint64) + np.uint64(1)]
     for n in range(1, window):
-        reach = cuts >= n
-        left[reach] = left[reach] * np.uint64(0x100000001B3) + data[cuts[reach] - n] + np.uint64(1)
+        left = left * np.uint64(0x100000001B3) + before[cuts + (window - n)]
         sel = by_rest[bounds[n] : bounds[n + 1]]
         if bounds[n] == len(by_rest):
             break
@@ -183,11 +177,18 @@ def repeated(texts: list[bytes], n_starts: np.ndarray, weights: np.ndarray, wind
 
 
 def _common(data: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
-    """Bytes, up to `most`, that the text from each place shares with the one from the place before it in the list; 0 for the first."""
+    """Bytes, up to `most`, that the text from each place shares with the one from the place before it in the list; 0 for the first.
+
+    Eight bytes at a time, only of those that have been equal so far; data goes on for most + 8 bytes behind the last place.
+    """
+    eights = np.ndarray((len(data) - 7,), np.dtype("<u8"), data, 0, (1,))
     out = np.zeros(len(places), np.int64)
-    span = np.arange(most)
-    for a in range(1, len(places), 4096):
-        b = min(len(places), a + 4096)
-        differ = data[places[a:b, None] + span] != data[places[a - 1 : b - 1, None] + span]
-        out[a:b] = np.where(differ.any(1), differ.argmax(1), most)
-    return out
+    now = np.arange(1, len(places))
+    for k in range(0, most, 8):
+        apart = eights[places[now] + k] ^ eights[places[now - 1] + k]
+        equal = apart == 0
+        low = apart[~equal]
+        out[now[~equal]] = k + (np.bitwise_count((low & -low) - np.uint64(1)) >> 3)  # zero bits below the lowest one
+        now = now[equal]
+    out[now] = most
+    return np.minimum(out, most)

@@ -6,6 +6,8 @@ import random
 import re
 import zipfile
 import zlib
+from datetime import datetime, timedelta
+from html import escape
 
 import numpy as np
 import pytest
@@ -194,6 +196,19 @@ def test_files(spark):
     assert text == "x" * 99 + "\no0\n" + "y" * 100 and meta["pages"] == 3
 
 
+@pytest.mark.parametrize("late", [False, True])
+def test_dates_of_sheets(late):
+    formats = ["General", "yyyy\\-mm\\-dd", '0.0 "days"', "[h]:mm", "[Red]0.00", "h:mm AM/PM"]
+    styles = "<s><numFmts>" + "".join(f"<numFmt numFmtId='{164 + i}' formatCode='{escape(f)}'/>" for i, f in enumerate(formats)) + "</numFmts><cellStyleXfs><xf numFmtId='14'/></cellStyleXfs><cellXfs>" + "".join(f"<xf numFmtId='{n}'/>" for n in (0, 14, 22, *range(164, 170))) + "</cellXfs></s>"
+    cells = [("1", 0), ("45306", 1), ("45306.5", 2), ("2.50", 3), ("45306.25", 4), ("3", 5), ("1.5", 6), ("2.0", 7), ("0.25", 8), ("1E3", 0), ("59", 1)]
+    row = "".join(f"<c s='{s}'><v>{v}</v></c>" for v, s in cells) + "<c t='e'><v>#N/A</v></c><c t='d'><v>2024-01-15</v></c><c t='b'><v>1</v></c>"
+    data = _zip({"xl/workbook.xml": f'<w xmlns:r="http://r"><workbookPr date1904="{int(late)}"/><sheets><sheet name="S" r:id="i1"/></sheets></w>', "xl/_rels/workbook.xml.rels": '<R xmlns="x"><Relationship Id="i1" Target="s1.xml"/></R>', "xl/styles.xml": styles, "xl/s1.xml": f"<s><row>{row}</row></s>"})
+    shift = 1462 if late else 0
+    day = lambda n: str((datetime(1899, 12, 30) + timedelta(days=n + shift)).date())
+    want = ["1", f"{day(45306)} 00:00:00", f"{day(45306)} 12:00:00", "2.5", f"{day(45306)} 06:00:00", "3", "1 day, 12:00:00", "2.0", "06:00:00", "1000.0", f"{day(59 + (not late))} 00:00:00", "#N/A", "2024-01-15 00:00:00", "True"]
+    assert files.read_xlsx(bytes(data))[0].split("\n")[-1].split(" | ") == want
+
+
 def old_pdf(objects, trailer=""):
     """A file with a cross-reference table."""
     out, places = bytearray(b"%PDF-1.4\n"), []

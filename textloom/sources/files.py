@@ -8,6 +8,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable
+from datetime import datetime, timedelta
 from html import escape
 from html.parser import HTMLParser
 
@@ -30,6 +31,8 @@ HANDLERS = {
     "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
 }
 ENDINGS = {"md": "markdown", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx"}
+#: Built-in number formats of dates and times.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 OCR_BELOW, OCR_CONFIDENCE = 100, 0.5
 #: Function words that vote for a language, most frequent first.
 STOP_WORDS = {"en": ["the", "of", "and", "to", "in", "that", "is", "was"], "fr": ["de", "la", "le", "et", "les", "des", "une", "est"], "de": ["der", "die", "und", "das", "ist", "nicht", "ein", "zu"], "es": ["el", "los", "que", "y", "en", "por", "una", "del"]}
@@ -164,28 +167,64 @@ def read_xlsx(data: bytes) -> tuple[str, dict]:
     out, names = [], []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = ["".join(t.text or "" for t in s.iter() if _tag(t) == "t") for s in _part(z, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
-        related = _related(z, "xl", "workbook.xml")
-        for sheet in (s for s in _part(z, "xl/workbook.xml").iter() if _tag(s) == "sheet"):
+        related, book = _related(z, "xl", "workbook.xml"), _part(z, "xl/workbook.xml")
+        dates = _date_styles(_part(z, "xl/styles.xml")) if "xl/styles.xml" in z.namelist() else {}
+        late = any(_tag(e) == "workbookPr" and e.get("date1904") in ("1", "true") for e in book.iter())
+        epoch = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
+        for sheet in (s for s in book.iter() if _tag(s) == "sheet"):
             names.append(sheet.get("name"))
             out.append(f"\n### Worksheet: {names[-1]} ###\n")
             target = related[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
             for row in (r for r in _part(z, target).iter() if _tag(r) == "row"):
-                cells = [v for c in row if _tag(c) == "c" and (v := _cell(c, shared)) is not None]
+                cells = [v for c in row if _tag(c) == "c" and (v := _cell(c, shared, dates, epoch)) is not None]
                 if cells:
                     out.append(" | ".join(cells))
     return "\n".join(out), {"sheets": names}
 
 
-def _cell(c, shared: list[str]) -> str | None:
+def _date_styles(styles) -> dict[int, bool]:
+    """Cell styles whose numbers are dates or times, and whether they are durations."""
+    codes = {int(e.get("numFmtId")): e.get("formatCode", "") for e in styles.iter() if _tag(e) == "numFmt"}
+    out = {}
+    for i, xf in enumerate(x for e in styles.iter() if _tag(e) == "cellXfs" for x in e if _tag(x) == "xf"):
+        n = int(xf.get("numFmtId", 0))
+        code = re.sub(r'"[^"]*"|\\.|_.|\*.', "", codes.get(n, "")).split(";")[0].lower()
+        length = re.search(r"\[(h+|m+|s+)\]", code) is not None or n == 46
+        if n in DATE_FORMATS or length or re.search("[dmyhs]", re.sub(r"\[[^\]]*\]|general", "", code)):
+            out[i] = length
+    return out
+
+
+def _moment(value: float, epoch: datetime, length: bool) -> str:
+    """A serial number of days as a date with its time, a time of day below 1, or a duration."""
+    day, part = divmod(value, 1)
+    part = timedelta(milliseconds=round(part * 86_400_000))
+    if length:
+        return str(timedelta(days=day) + part)
+    if 0 <= value < 1 and not part.days:
+        return str((datetime.min + part).time())
+    day += 0 < value < 60 and epoch.year == 1899  # the day that 1900 did not have
+    return str(epoch + timedelta(days=day) + part)
+
+
+def _cell(c, shared: list[str], dates: dict[int, bool], epoch: datetime) -> str | None:
     kids = {_tag(k): k for k in c}
     if "f" in kids and kids["f"].text:
         return f"={kids['f'].text}"
     if "is" in kids:
         return "".join(t.text or "" for t in kids["is"].iter() if _tag(t) == "t")
-    raw = kids["v"].text if "v" in kids else None
+    raw, kind = kids["v"].text if "v" in kids else None, c.get("t", "n")
     if raw is None:
         return None
-    return shared[int(raw)] if c.get("t") == "s" else {"1": "True", "0": "False"}[raw] if c.get("t") == "b" else raw
+    if kind == "s":
+        return shared[int(raw)]
+    if kind == "b":
+        return {"1": "True", "0": "False"}[raw]
+    if kind == "d":
+        return str(datetime.fromisoformat(raw))
+    if kind == "n" and int(c.get("s", 0)) in dates:
+        return _moment(float(raw), epoch, dates[int(c.get("s", 0))])
+    return str(float(raw)) if kind == "n" and re.search("[.eE]", raw) else raw
 
 
 def read_pptx(data: bytes) -> tuple[str, dict]:

@@ -147,6 +147,22 @@ def test_table_functions_of_sql(spark):
     assert {r["f"]: r["t"] for r in kinds} == {n: files.kind_of(n) for n in names}
 
 
+def test_exact_places(spark):
+    texts = {1: "A b. A b. Long one here. A b.", 2: "# T\nbody one\n### Sub  \n\n text two \n## Empty\n", 3: "#tag first\n\n# H\nx", 4: "p1\n\n\n\n  p2 \n\np1"}
+    docs = spark.createDataFrame(list(texts.items()), "id int, text string")
+    for strategy in ("Semantic", "Structure-based"):
+        rows = chunking.chunk(docs, strategy, 12, exact=True).orderBy("id", "chunk_ix").collect()
+        for r in rows:
+            assert "".join(texts[r["id"]][r["start"] : r["end"]].split()) == "".join(r["text"].split())
+        if strategy == "Structure-based":
+            assert [(r["id"], r["start"], r["level"]) for r in rows] == [(1, 0, 0), (2, 0, 1), (2, 13, 3), (3, 0, 0), (3, 12, 1), (4, 0, 0), (4, 8, 0), (4, 13, 0)]
+        else:
+            assert [(r["start"], r["end"]) for r in rows if r["id"] == 1] == [(0, 9), (5, 24), (10, 29)]
+    chunks = spark.createDataFrame([("f", i, f"t{i}") for i in range(5)], "filename string, start int, text string")
+    ids = lambda df: {r["text"]: r["id"] for r in export.vector_records(df, ["start"], ["filename", "start", "text"]).collect()}
+    assert ids(chunks.filter("start > 2")).items() <= (whole := ids(chunks)).items() and len(set(whole.values())) == 5
+
+
 def test_sentences_are_learned(spark):
     rng = random.Random(2)
     nouns = ["house", "river", "stone", "garden", "window", "letter", "summer", "winter", "market", "village"]

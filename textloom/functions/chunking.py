@@ -66,7 +66,7 @@ def length_spans(texts: list[str], size: int, overlap: int) -> tuple[np.ndarray,
     return row[order], start[order], end[order]
 
 
-def _by_length(texts: list[str], size: int, overlap: int):
+def _by_length(texts: list[str], size: int, overlap: int, model: SentenceModel | None, exact: bool):
     for row, start, end in zip(*(x.tolist() for x in length_spans(texts, size, overlap)), strict=True):
         if end < 0:
             yield row, None, f"no progress at {start}: a break right behind it and an overlap of {overlap}"
@@ -74,8 +74,17 @@ def _by_length(texts: list[str], size: int, overlap: int):
             yield row, (piece, start, end, None), None
 
 
-def sentences(text: str) -> list[str]:
-    return [s for x in SENTENCE_END.split(text) if (s := x.strip())]
+def sentence_spans(text: str, model: SentenceModel | None = None) -> list[tuple[int, int]]:
+    """(start, end) of each sentence without white space around it."""
+    ends = model.ends_in(text) if model else (m.span() for m in SENTENCE_END.finditer(text))
+    out, begin = [], 0
+    for a, b in (*ends, (len(text), len(text))):
+        part = text[begin:a]
+        if s := part.strip():
+            start = begin + len(part) - len(part.lstrip())
+            out.append((start, start + len(s)))
+        begin = b
+    return out
 
 
 def packs(lengths: list[int], size: int) -> list[tuple[int, int]]:
@@ -91,28 +100,40 @@ def packs(lengths: list[int], size: int) -> list[tuple[int, int]]:
     return out
 
 
-def _by_sentence(texts: list[str], size: int, overlap: int, model: SentenceModel | None = None):
+def _by_sentence(texts: list[str], size: int, overlap: int, model: SentenceModel | None, exact: bool):
     for row, text in enumerate(texts):
-        parts, found = model.split(text) if model else sentences(text), {}
+        spans, found = sentence_spans(text, model), {}
+        parts = [text[a:b] for a, b in spans]
 
-        def at(s: str, text=text, found=found) -> int:
-            return found[s] if s in found else found.setdefault(s, text.find(s))
+        def at(i: int, spans=spans, parts=parts, text=text, found=found) -> int:
+            """A sentence's place, or where its text stands first."""
+            return spans[i][0] if exact else found[parts[i]] if parts[i] in found else found.setdefault(parts[i], text.find(parts[i]))
 
         for a, b in packs([len(p) for p in parts], size):
-            yield row, (" ".join(parts[a:b]), at(parts[a]), at(parts[b - 1]) + len(parts[b - 1]), None), None
+            yield row, (" ".join(parts[a:b]), at(a), at(b - 1) + len(parts[b - 1]), None), None
 
 
-def _by_structure(texts: list[str], size: int, overlap: int):
+def _by_structure(texts: list[str], size: int, overlap: int, model: SentenceModel | None, exact: bool):
     for row, text in enumerate(texts):
         if text.startswith("#"):
             heads = [(0, 0), *(m.span() for m in HEADING.finditer(text))]
             for (a, b), until in zip(heads, [*(x for x, _ in heads[1:]), len(text)], strict=True):
                 if text[b:until].strip():
                     whole = f"{text[a:b]}\n{text[b:until]}".strip()
-                    at = text.find(whole)  # -1 for most, as a line feed has come between
-                    yield row, (whole, at, at + len(whole), 0), None
+                    if exact:
+                        first = a if a < b else len(text[:until]) - len(text[:until].lstrip())
+                        level = re.match("#*", text[a:b])[0]
+                        yield row, (whole, first, len(text[:until].rstrip()), len(level)), None
+                    else:
+                        at = text.find(whole)  # -1 for most, as a line feed has come between
+                        yield row, (whole, at, at + len(whole), 0), None
         else:
-            kept = [x for x in text.split("\n\n") if x.strip()]
+            parts = text.split("\n\n")
+            for x, behind in zip(parts, accumulate(len(x) + 2 for x in parts), strict=True) if exact else []:
+                if piece := x.strip():
+                    first = behind - 2 - len(x) + len(x) - len(x.lstrip())
+                    yield row, (piece, first, first + len(piece), 0), None
+            kept = [x for x in parts if x.strip()] if not exact else []
             for x, behind in zip(kept, accumulate(len(x) + 2 for x in kept), strict=True):
                 yield row, (x.strip(), behind - len(x) - 2, behind - 2, 0), None
 
@@ -133,11 +154,11 @@ def _parts(texts: pa.Array):
         a = b
 
 
-def chunked(texts: list[str | None], strategy: str, size: int, overlap: int, model: SentenceModel | None = None) -> tuple[list[int], list[tuple]]:
+def chunked(texts: list[str | None], strategy: str, size: int, overlap: int, model: SentenceModel | None = None, exact: bool = False) -> tuple[list[int], list[tuple]]:
     """(number of the text, values of _MADE) of all chunks; numbered within each text. A text with an error has one row with nulls and the error instead."""
     name, spans = STRATEGIES[strategy]
-    rows, made, more = [], [], (model,) if strategy == "Semantic" else ()
-    for row, span, error in spans([t or "" for t in texts], size, overlap, *more):
+    rows, made = [], []
+    for row, span, error in spans([t or "" for t in texts], size, overlap, model, exact):
         if error:
             while rows and rows[-1] == row:
                 rows.pop()
@@ -149,12 +170,12 @@ def chunked(texts: list[str | None], strategy: str, size: int, overlap: int, mod
     return rows, made
 
 
-def chunk_batches(batches, strategy: str, size: int, overlap: int, model: SentenceModel | None = None):
+def chunk_batches(batches, strategy: str, size: int, overlap: int, model: SentenceModel | None = None, exact: bool = False):
     """Arrow batches whose first column is the text, to batches of chunks: the other columns, then those of _MADE."""
     for batch in batches:
         for a, b in _parts(batch.column(0)):
             part = batch.slice(a, b - a)
-            rows, made = chunked(part.column(0).to_pylist(), strategy, size, overlap, model)
+            rows, made = chunked(part.column(0).to_pylist(), strategy, size, overlap, model, exact)
             if made:
                 columns = [pa.array(x, kind) for x, (_, kind) in zip(zip(*made, strict=True), _MADE, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in part.columns[1:]), *columns], names=[*batch.schema.names[1:], *(n for n, _ in _MADE)])
@@ -172,9 +193,11 @@ def checked(strategy: str, size: int, overlap: int) -> None:
         raise ValueError("size must be at least 50 and exceed the overlap by at least 50")
 
 
-def chunk(df: DataFrame, strategy: str = "Length-based", size: int = 500, overlap: int = 10, text: str = "text", overlap_mode: str = "raw", errors: bool = False, model: SentenceModel | None = None) -> DataFrame:
+def chunk(df: DataFrame, strategy: str = "Length-based", size: int = 500, overlap: int = 10, text: str = "text", overlap_mode: str = "raw", errors: bool = False, model: SentenceModel | None = None, exact: bool = False) -> DataFrame:
     """One row per chunk: the other columns of df, chunk_ix, chunk text, start, end, strategy, level. overlap_mode 'percent' takes overlap as a share of size.
 
+    Offsets of sentences are where their text stands first, those of paragraphs leave out blank ones, and sections under headings mostly have none and level 0. With `exact` all are
+    true places in the text, and level is the number of a heading's signs.
     Sentences end after `.`, `!` or `?` and white space, or where a model from sentences.learn() says so.
     A text that cannot be chunked gives one row with nulls; with `errors` a column `error` says why. Null and empty texts give no
     rows. By length, sizes under 50 or steps that could not advance anywhere are refused. Columns of df with the names of new ones are left out.
@@ -183,5 +206,5 @@ def chunk(df: DataFrame, strategy: str = "Length-based", size: int = 500, overla
     checked(strategy, size, overlap)
     others = [c for c in df.columns if c != text and c not in MADE_NAMES]
     kept = df.select(F.col(text).alias("__text"), *others)
-    out = kept.mapInArrow(lambda it: chunk_batches(it, strategy, size, overlap, model), chunk_schema(kept.schema.fields[1:]))
+    out = kept.mapInArrow(lambda it: chunk_batches(it, strategy, size, overlap, model, exact), chunk_schema(kept.schema.fields[1:]))
     return out if errors else out.drop("error")

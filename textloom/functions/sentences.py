@@ -50,15 +50,21 @@ class SentenceModel:
     def short(self, name: str) -> bool:
         return typed(name) in self.abbreviations or len(name) == 1 and name.isalpha() or re.fullmatch(r"(?:\w\.)+\w", name) is not None
 
-    def split(self, text: str) -> list[str]:
-        """The sentences of a text, without white space around them."""
-        out, begin = [], 0
+    def ends_in(self, text: str):
+        """(end of a sentence, start of what follows) in a text."""
+        begin = 0
         for m in END.finditer(text):
             word = text[max(begin, m.start() - 64) : m.start(1)].split()
             if word and self.ends(word[-1], (re.compile(r"\S{1,64}").match(text, m.end()) or [""])[0]):
-                out.append(text[begin : m.start(1)].strip())
+                yield m.start(1), m.end()
                 begin = m.end()
-        out.append(text[begin:].strip())
+
+    def split(self, text: str) -> list[str]:
+        """The sentences of a text, without white space around them."""
+        out, begin = [], 0
+        for a, b in (*self.ends_in(text), (len(text), len(text))):
+            out.append(text[begin:a].strip())
+            begin = b
         return [s for s in out if s]
 
 

@@ -167,9 +167,15 @@ def numbered(rows: DataFrame, order: list[str], name: str = "row_id") -> DataFra
     return placed.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__row")).cast("long")).drop("__at", "__part", "__row", "__start")
 
 
-def vector_records(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """chunks with row_id, id `chunk_<row_id>` and batch, counted over all files in `order`."""
-    return numbered(chunks, order).withColumns({"id": F.concat(F.lit("chunk_"), F.col("row_id").cast("string")), "batch": F.floor(F.col("row_id") / BATCH).cast("long")})
+def vector_records(chunks: DataFrame, order: list[str], stable: list[str] | None = None) -> DataFrame:
+    """chunks with row_id, id `chunk_<row_id>` and batch, counted over all files in `order`.
+
+    With `stable` an id is made of the hash of these columns instead, so it stays if other files come or go, and a store replaces the record.
+    """
+    name = F.col("row_id").cast("string")
+    if stable:
+        name = F.sha2(F.to_json(F.struct(*(F.col(c).cast("string").alias(str(i)) for i, c in enumerate(stable)))).cast("binary"), 256)
+    return numbered(chunks, order).withColumns({"id": F.concat(F.lit("chunk_"), name), "batch": F.floor(F.col("row_id") / BATCH).cast("long")})
 
 
 class VectorStore:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import chunking, mojibake, sentences, sql
+from textloom.functions import chunking, languages, mojibake, sentences, sql
 from textloom.functions.cleaning import CleanOptions, clean_stats, clean_text, fix_line_breaks, remove_headers_footers, repair_unicode
 from textloom.operators import blocks, export, structure, terms
 from textloom.plans import catalog, ingest
@@ -497,6 +497,20 @@ def test_embedding_relates_texts_without_common_words(spark):
     assert terms.fit_embedding(docs.limit(0), "id", "text").size == 0
 
 
+def test_languages_are_learned(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    docs.unionByName(spark.createDataFrame([(9000, None, "en"), (9001, "12 !?", "de"), (9002, "", None)], docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in catalog.queries()["language_learned"](spark, str(tmp_path)).collect()}
+    true = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    held = [i for i in true if got[i]["held_out"]]
+    assert len(held) > 30 and sum(got[i]["language"] == true[i] for i in held) >= 0.95 * len(held)
+    assert {got[i]["language"] for i in (9000, 9001, 9002)} == {"unknown"}
+    packed, sizes = languages.triples(["Ab c", "", "é1é"])
+    text = lambda x: "".join(chr(x >> s & (1 << 21) - 1) for s in (42, 21, 0))
+    assert [text(x) for x in packed.tolist()] == [" ab", "ab ", "b c", " c ", " é ", "é é", " é "] and sizes.tolist() == [4, 0, 3]
+    assert languages.learn(docs.limit(0)).score(["some text"])[0] == ["unknown"]
+
+
 def test_types_follow_the_mime_table(spark):
     want = {"X.MD": "markdown", "a.DOCX": "docx", "noend": "text", "a.csv": None, "a.exe": None, "a.tsv": None, "a.bmp": None, "a.webp": None, "a.c": "text", "a.HTM": "html", "b.txt.gz": "text", "b.tgz": None, ".csv": "text", "dir.csv/x": "text", "a.unknown": "text", ".md": "markdown", "a.": "text"}
     got = spark.createDataFrame([(k,) for k in want], "f string").select("f", files.type_of(F.col("f")).alias("t")).collect()

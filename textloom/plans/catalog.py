@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import chunking, cleaning, sentences, sql
+from textloom.functions import chunking, cleaning, languages, sentences, sql
 from textloom.functions.cleaning import CleanOptions
 from textloom.operators import export, structure, terms
 from textloom.sources import files, pdf
@@ -117,6 +117,14 @@ def _embedded(spark, d: str) -> DataFrame:
     return terms.fit_embedding(docs, "doc_id", "text").transform(docs, "doc_id", "text").select("doc_id", "embedding")
 
 
+def _languages(spark, d: str) -> DataFrame:
+    """Languages by profiles that are learned from three quarters of the documents."""
+    docs = _docs(spark, d, "doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = languages.learn(docs.filter(~held))
+    return docs.select("doc_id", held.alias("held_out"), model.detect(F.col("text")).alias("language"))
+
+
 def _stats(spark, d: str) -> DataFrame:
     return _cleaned(spark, d).select("doc_id", *(v.alias(k) for k, v in cleaning.clean_stats(F.col("text"), F.col("cleaned")).items()))
 
@@ -175,6 +183,7 @@ def queries() -> dict:
         "term_counts": lambda s, d: structure.term_counts(_docs(s, d), "doc_id", "text"),
         "topics_lda": _lda,
         "document_embeddings": _embedded,
+        "language_learned": _languages,
         "topic_argmax": _topic_argmax,
         "language_detect": lambda s, d: _docs(s, d).select("doc_id", files.detect_language(F.col("text")).alias("language")),
     }

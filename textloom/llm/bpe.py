@@ -18,15 +18,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm.shared import gather, slices, table, tidy
+from textloom.llm.shared import gather, kept_in_worker, slices, table, tidy
 
-LONG, BATCH_BYTES, CACHE_PIECES = 256, 1 << 19, 200_000
+LONG, BATCH_BYTES, CACHE_PIECES = 256, 1 << 19, 100_000
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: For this pattern a text may be cut before any single space and around any single line feed between non-spaces
 #: without changing its pieces, so that whole words are looked up; other patterns split every text in full.
 WORDS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _codecs: dict[bytes, "Codec"] = {}
+kept_in_worker.append(_codecs)
 
 
 class Codec:
@@ -266,7 +267,7 @@ def tokenise(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], ou
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *outputs])
         own._forget()  # the worker may serve other stages afterwards
 
-    return narrow.mapInArrow(lambda it: tidy(run(it)), schema)
+    return narrow.mapInArrow(lambda it: tidy(run(it), _codecs), schema)
 
 
 def vocabulary() -> tuple[str, str]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.shared import joinable, materialise, slices, string_parts, table, tidy
 
-ORDERS, BUCKETS, DIM, BATCH_BYTES = (2, 3), 1 << 15, 16, 1 << 21
+ORDERS, BUCKETS, DIM, BATCH_BYTES = (2, 3), 1 << 15, 16, 1 << 18
 PER_LANGUAGE, REJECT_RATE, UNKNOWN, BROADCAST_ROWS = 600, 0.002, "und", 100_000
 _MAP = np.full(256, 32, np.uint32)
 _MAP[128:] = np.arange(128, 256)
@@ -126,6 +126,16 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model([(r["lang"], r["ids"], r["counts"]) for r in rows])
 
 
+def _identified(batches, model: Model, keep: list[str], place: int):
+    """The columns `keep` of the batches and what the model says about the texts in the column `place`, some BATCH_BYTES at a time."""
+    for batch in batches:
+        texts = batch.column(place)
+        for a, b in slices(np.diff(string_parts(texts)[1]), BATCH_BYTES):
+            lang, score = model.predict(texts.slice(a, b - a))
+            out = [pa.array(lang, pa.string()), pa.array(score), pa.array([x == UNKNOWN or s < model.reject for x, s in zip(lang, score, strict=True)])]
+            yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + out, names=[*keep, "lang_pred", "score", "rejected"])
+
+
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns `keep` of docs and lang_pred, score, rejected. Texts are read whole; null texts and texts without a letter are `und` with score 0, and rejected.
 
@@ -138,16 +148,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[: len(keep)]] + ["lang_pred string, score double, rejected boolean"])
 
-    def run(batches):
-        own = sent.value
-        for batch in batches:
-            texts = batch.column(place)
-            for a, b in slices(np.diff(string_parts(texts)[1]), BATCH_BYTES):
-                lang, score = own.predict(texts.slice(a, b - a))
-                out = [pa.array(lang, pa.string()), pa.array(score), pa.array([x == UNKNOWN or s < own.reject for x, s in zip(lang, score, strict=True)])]
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(keep))] + out, names=[*keep, "lang_pred", "score", "rejected"])
-
-    return narrow.mapInArrow(lambda it: tidy(run(it)), schema)
+    return narrow.mapInArrow(lambda it: tidy(_identified(it, sent.value, keep, place)), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -32,7 +32,8 @@ def similarity_edges(vectors: DataFrame, node: str, vector: str, above: float =
     Two blocks of vectors meet in one task, which multiplies them as matrices, if a bound on their dot products exceeds the
     threshold (see blocks.py); a task's memory stays bounded and neither side is broadcast. Vectors have one length.
     """
-    rows = vectors.select(F.col(node).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"  # products are doubles in any case
+    rows = vectors.select(F.col(node).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
 
     def edges(ids, i, j, dots):
         a, b = ids[i], ids[j]

@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from textloom.functions.sentences import SentenceModel
+from textloom.tables import given_back
 
 #: How far around a chunk's end breaks are searched, and what a heading and the end of a sentence are.
 PARAGRAPH_REACH, PERIOD_REACH = 50, 30
 HEADING = re.compile(r"^#{1,6}\s+.+$", re.M)
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 #: Bytes of text that are taken at once; a longer text stands alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 19
 
 
 def _leftmost(breaks: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -206,5 +207,5 @@ def chunk(df: DataFrame, strategy: str = "Length-based", size: int = 500, overla
     checked(strategy, size, overlap)
     others = [c for c in df.columns if c != text and c not in MADE_NAMES]
     kept = df.select(F.col(text).alias("__text"), *others)
-    out = kept.mapInArrow(lambda it: chunk_batches(it, strategy, size, overlap, model, exact), chunk_schema(kept.schema.fields[1:]))
+    out = kept.mapInArrow(lambda it: given_back(chunk_batches(it, strategy, size, overlap, model, exact)), chunk_schema(kept.schema.fields[1:]))
     return out if errors else out.drop("error")

@@ -2,15 +2,17 @@
 
 A word is an abbreviation if it stands before a period far more often than chance has it, the more so the shorter it is and the more periods
 are in it, and the less often it goes without one (a log-likelihood ratio with these factors, after Kiss and Strunk). A word
-begins sentences if it stands after the other periods far more often than elsewhere. Both are counted in one pass each over all
-words; what is learned is a small model, which is sent to where texts are split.
+begins sentences if it stands after the other periods far more often than elsewhere. Words are counted where texts are read, so
+patterns see each different word once; what is learned is a small model, which is sent to where texts are split.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,14 @@ ABBREVIATION, STARTER, SURE = 0.3, 30.0, 0.99
 #: At most so many abbreviations and sentence starters, the best first, make a model.
 MODEL_WORDS = 50_000
 END = re.compile(r"[.!?][)\]}\"'»“”’]*(\s+)")
+_AFTER = re.compile(r"\S{1,64}").match
 #: Punctuation left off before and behind a word.
 OPENING, CLOSING = r"^[(\[{\"'«„“‚‘]+", r"[)\]}\"'»“”’,;:!?]+$"
 _OPENING, _CLOSING = re.compile(OPENING), re.compile(CLOSING)
+#: White space between words is ASCII's.
+_WORD = re.compile(r"\S+", re.A)
+#: Different words that a task counts before it passes them on.
+DIFFERENT = 200_000
 _NUMBER = re.compile(r"[0-9][0-9.,]*")
 
 
@@ -55,7 +62,7 @@ class SentenceModel:
         begin = 0
         for m in END.finditer(text):
             word = text[max(begin, m.start() - 64) : m.start(1)].split()
-            if word and self.ends(word[-1], (re.compile(r"\S{1,64}").match(text, m.end()) or [""])[0]):
+            if word and self.ends(word[-1], (_AFTER(text, m.end()) or [""])[0]):
                 yield m.start(1), m.end()
                 begin = m.end()
 
@@ -76,21 +83,38 @@ def typed(word: str) -> str:
 
 def _type(word: Column) -> Column:
     bare = F.lower(F.regexp_replace(F.regexp_replace(word, OPENING, ""), CLOSING, ""))
-    return F.when(bare.rlike(r"^[0-9][0-9.,]*\.$"), "#.").when(bare.rlike(r"^[0-9][0-9.,]*$"), "#").otherwise(bare)
+    kind = lambda b: F.when(b.rlike(r"^[0-9][0-9.,]*\.$"), "#.").when(b.rlike(r"^[0-9][0-9.,]*$"), "#").otherwise(b)
+    return F.get(F.transform(F.array(bare), kind), F.lit(0))  # the patterns of `bare` are matched once
+
+
+def _pairs(batches):
+    """(word, word before it if that holds a period, n) of all texts, counted until so many are different."""
+    seen: Counter = Counter()
+
+    def told():
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([b for _, b in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "before", "n"])
+
+    for batch in batches:
+        for t in batch.column(0):
+            found = _WORD.findall(t.as_py())
+            seen.update(zip(found, [None, *(w if "." in w else None for w in found[:-1])], strict=True) if found else ())
+            if len(seen) > DIFFERENT:
+                yield told()
+                seen.clear()
+    yield told()
 
 
 def words(docs: DataFrame, text: str) -> DataFrame:
-    """(type, dot, before): each word of each text as it is counted, whether a period ends it, and the word before it; words without letters or digits are left out."""
-    all_ = F.regexp_extract_all(F.col(text), F.lit(r"\S+"), F.lit(0))
-    pairs = F.arrays_zip(all_.alias("word"), F.concat(F.array(F.lit(None).cast("string")), F.slice(all_, 1, F.greatest(F.size(all_) - 1, F.lit(0)))).alias("before"))
-    each = docs.filter(F.col(text).isNotNull()).select(F.explode(pairs).alias("p")).select(F.col("p.word").alias("word"), F.col("p.before").alias("before"))
-    form = each.select(_type(F.col("word")).alias("form"), "before").filter(F.col("form").rlike(r"[\p{L}\p{N}#]"))
-    return form.select(F.regexp_replace("form", r"\.$", "").alias("type"), F.col("form").endswith(".").alias("dot"), "before")
+    """(type, dot, before, n): how often each word of the texts is there as it is counted, whether a period ends it, and the word before it if it holds a period; words without letters or digits are left out."""
+    pairs = docs.select(F.col(text).alias("text")).filter("text IS NOT NULL").mapInArrow(_pairs, "word string, before string, n long")
+    each = pairs.groupBy("word", "before").agg(F.sum("n").alias("n"))
+    form = each.select(_type(F.col("word")).alias("form"), "before", "n").filter(F.col("form").rlike(r"[\p{L}\p{N}#]"))
+    return form.select(F.regexp_replace("form", r"\.$", "").alias("type"), F.col("form").endswith(".").alias("dot"), "before", "n")
 
 
 def abbreviation_scores(counted: DataFrame) -> DataFrame:
     """(type, n_dot, n_plain, score) of all types that end with a period somewhere; counted: words()."""
-    types = counted.groupBy("type").agg(F.sum(F.col("dot").cast("long")).alias("n_dot"), F.sum((~F.col("dot")).cast("long")).alias("n_plain"))
+    types = counted.groupBy("type").agg(F.sum(F.when(F.col("dot"), F.col("n")).otherwise(0)).alias("n_dot"), F.sum(F.when(F.col("dot"), 0).otherwise(F.col("n"))).alias("n_plain"))
     types = materialise(types, "types")
     total = types.agg(F.sum("n_dot").alias("all_dot"), F.sum(F.col("n_dot") + F.col("n_plain")).alias("all"))  # one row
     periods = F.length("type") - F.length(F.replace("type", F.lit("."), F.lit("")))
@@ -107,7 +131,7 @@ def starter_scores(counted: DataFrame, abbreviations: DataFrame) -> DataFrame:
     marked = counted.filter("type <> '#'").withColumn("b", F.when(F.col("before").rlike(r"\.[)\]}\"'»“”’]*$"), before))
     marked = marked.join(F.broadcast(abbreviations.select(F.col("type").alias("b"), F.lit(True).alias("short"))), "b", "left")
     after = F.col("b").isNotNull() & F.col("short").isNull() & (F.length("b") > 1)
-    types = materialise(marked.groupBy("type").agg(F.sum(after.cast("long")).alias("n_after"), F.count(F.lit(1)).alias("n")), "starters")
+    types = materialise(marked.groupBy("type").agg(F.sum(F.when(after, F.col("n")).otherwise(0)).alias("n_after"), F.sum("n").alias("n")), "starters")
     total = types.agg(F.sum("n_after").alias("breaks"), F.sum("n").alias("all"))  # one row
     chance = lambda k, n, p: k * F.log(F.greatest(p, F.lit(1e-12))) + (n - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
     n, k, breaks, rest = F.col("n"), F.col("n_after"), F.col("breaks"), F.col("all") - F.col("breaks")
@@ -118,7 +142,7 @@ def starter_scores(counted: DataFrame, abbreviations: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, text: str = "text") -> SentenceModel:
     """A model from all texts of docs. Null texts count for nothing; without texts no word is an abbreviation."""
-    counted = words(docs, text)
+    counted = materialise(words(docs, text), "words")
     best = lambda df, least: df.filter(F.col("score") >= least).orderBy(F.desc("score"), "type").limit(MODEL_WORDS)
     short = materialise(best(abbreviation_scores(counted), ABBREVIATION).select("type"), "abbreviations")
     starters = best(starter_scores(counted, short), STARTER).select("type").collect()  # MODEL_WORDS rows at most, as are the abbreviations

@@ -44,3 +44,27 @@ def test_language_identification_holds_little(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(map(len, out)) == len(texts) and peak < 32 << 20
+
+
+def test_encoding_holds_little():
+    """The pipeline's byte_bpe: 512 KB of text at a time and every pair of tokens as Python numbers, in each worker of an executor near its limit."""
+    ranks, pattern = bpe.vocabulary()
+    with open(ranks, "rb") as f:
+        codec = bpe.Codec(f.read(), pattern)
+    assert "pairs" not in codec.__dict__ and len(codec.merge_long(b"ab" * 200)) and codec.pairs
+    codec._forget()
+    assert "pairs" not in codec.__dict__ and bpe.BATCH_BYTES <= 1 << 18
+
+
+def test_pipeline_bounds_its_batches(spark):
+    """Ten thousand texts of any length went to a worker at once; both sides of the worker hold such a batch."""
+    import corpus_pipeline
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    corpus_pipeline.small_batches(spark)
+    sizes = lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in it)
+    try:
+        rows = spark.range(3000, numPartitions=1).selectExpr("repeat('some text', 300) AS text").mapInArrow(sizes, "n long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    assert len(rows) >= 3 and max(r["n"] for r in rows) < 2 * corpus_pipeline.BATCH_BYTES

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from functools import cached_property
 from itertools import chain, repeat
 
 import numpy as np
@@ -18,9 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm.shared import gather, kept_in_worker, slices, table, tidy
+from textloom.llm.shared import gather, give_back, kept_in_worker, slices, table, tidy
 
-LONG, BATCH_BYTES, CACHE_PIECES = 256, 1 << 19, 100_000
+LONG, BATCH_BYTES, CACHE_PIECES = 256, 1 << 18, 100_000
 _NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: For this pattern a text may be cut before any single space and around any single line feed between non-spaces
@@ -51,19 +52,19 @@ class Codec:
         self.digit_len = np.array([len(x) for x in digits], np.int64)
         self.digit_at = np.cumsum(self.digit_len) - self.digit_len
         self.digit_bytes = np.frombuffer(b"".join(digits), np.uint8)
-        self.pairs = {}
+        pairs = {}
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
-                    self.pairs[a << 32 | b] = rank
-        self._hash_table()
+                    pairs[a << 32 | b] = rank
+        self._hash_table(pairs)
         self._forget()
 
-    def _hash_table(self) -> None:
+    def _hash_table(self, pairs: dict[int, int]) -> None:
         """Open addressing with linear probing, filled in numpy rounds."""
-        self.bits = max(4, (4 * len(self.pairs)).bit_length())
-        keys, vals = np.fromiter(self.pairs, np.uint64, len(self.pairs)), np.fromiter(self.pairs.values(), np.int32, len(self.pairs))
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        keys, vals = np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
         self.slot_keys, self.slot_vals = np.full(1 << self.bits, np.uint64(2**64 - 1)), np.full(1 << self.bits, _NONE)
         at, self.probes = self._slot(keys), 0
         while len(keys):
@@ -77,6 +78,12 @@ class Codec:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The table's pairs and their ranks for plain Python, made when a long piece needs them and forgotten with the pieces."""
+        used = self.slot_vals != _NONE
+        return dict(zip(self.slot_keys[used].tolist(), self.slot_vals[used].tolist(), strict=True))
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or _NONE; negative ids (padding) have none."""
         keys = left.astype(np.uint32).astype(np.uint64) << np.uint64(32) | right.astype(np.uint32).astype(np.uint64)
@@ -92,6 +99,7 @@ class Codec:
         return out
 
     def _forget(self) -> None:
+        self.__dict__.pop("pairs", None)
         self.index: dict[str, int] = {}
         self.piece_len, self.piece_at, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -254,7 +262,7 @@ def tokenise(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], ou
     def run(batches):
         own = codec(ranks.value, pattern)
         for batch in batches:
-            texts = batch.column(len(keep))
+            texts, cols = batch.column(len(keep)), []
             lengths = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts])
             for a, b in slices(lengths, BATCH_BYTES):
                 ids, per = own.encode([x or "" for x in texts.slice(a, b - a).to_pylist()])
@@ -265,6 +273,8 @@ def tokenise(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], ou
                 cols = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 cols += [x if isinstance(x := made[o](), pa.Array) else pa.array(x, _ARROW[o]) for o in outputs]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *outputs])
+            del batch, texts, cols  # or they stay until the next one has been read
+            give_back()
         own._forget()  # the worker may serve other stages afterwards
 
     return narrow.mapInArrow(lambda it: tidy(run(it), _codecs), schema)

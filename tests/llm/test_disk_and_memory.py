@@ -3,8 +3,10 @@
 import time
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 
+from textloom import tables
 from textloom.llm import bpe, langid, line_dedup, shared
 
 
@@ -68,3 +70,24 @@ def test_pipeline_bounds_its_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
     assert len(rows) >= 3 and max(r["n"] for r in rows) < 2 * corpus_pipeline.BATCH_BYTES
+
+
+def test_training_rows_travel_as_bytes(spark):
+    """pipeline: subwords of the training texts reached the driver as lists of numbers, of some 36 bytes each, which its Python never gave back."""
+    batch = pa.record_batch([pa.array(["en"]), pa.array(["ab cd ab"])], names=["lang", "text"])
+    (out,) = langid._counts([batch])
+    ids, counts = (np.frombuffer(out.column(i)[0].as_py(), np.int32) for i in (1, 2))
+    want = np.bincount(np.concatenate(langid.subwords(np.frombuffer(b"ab cd ab", np.uint8))))
+    assert ids.tolist() == np.flatnonzero(want).tolist() and counts.tolist() == want[want > 0].tolist()
+    model = langid.train(spark.createDataFrame([(i, f"some words {i}", "en") for i in range(20)] + [(i, f"einige wörter {i}", "de") for i in range(20, 40)], "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en"] and model.predict(pa.array(["some words", "einige wörter"]))[0] == ["en", "de"]
+
+
+def test_the_driver_collects_its_garbage_every_few_tables(spark, monkeypatch):
+    """pipeline: stages of many small jobs, as mixing, let the driver's heap grow to its bound."""
+    done = []
+    collect = tables.drop_shuffles
+    monkeypatch.setattr(tables, "drop_shuffles", lambda spark: (done.append(1), collect(spark)))
+    for _ in range(3 * tables.TABLES):
+        tables.release(tables.materialise(spark.range(1), "tiny"))
+    assert len(done) == 3

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import joinable, materialise, slices, string_parts, table, tidy
+from textloom.llm.shared import give_back, joinable, materialise, slices, string_parts, table, tidy
 
 ORDERS, BUCKETS, DIM, BATCH_BYTES = (2, 3), 1 << 15, 16, 1 << 18
 PER_LANGUAGE, REJECT_RATE, UNKNOWN, BROADCAST_ROWS = 600, 0.002, "und", 100_000
@@ -42,9 +42,10 @@ def _counts(batches):
         ids, counts = [], []
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             c = np.bincount(np.concatenate(subwords(data[a:b])), minlength=BUCKETS) if b > a else np.zeros(BUCKETS, int)
-            ids.append(np.flatnonzero(c))
-            counts.append(c[ids[-1]])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["lang", "ids", "counts"])
+            some = np.flatnonzero(c).astype(np.int32)
+            ids.append(some.tobytes())
+            counts.append(c[some].astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "ids", "counts"])
 
 
 class Model:
@@ -58,8 +59,8 @@ class Model:
         if not n:
             return
         y = np.array([self.langs.index(r[0]) for r in rows])
-        ids = [np.asarray(r[1], np.int64) for r in rows]
-        share = [np.asarray(r[2], float) / sum(r[2]) for r in rows]
+        ids = [np.asarray(r[1]) for r in rows]
+        share = lambda i: np.asarray(rows[i][2], float) / np.sum(rows[i][2])
         order = rng.permutation(n)
         held, train = order[: n // 5], order[n // 5 :]
         E, W, b = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(self.langs))), np.zeros(len(self.langs))
@@ -68,7 +69,7 @@ class Model:
             step = rate * (1 - epoch / epochs)
             for k in range(0, len(train), 16):
                 part = train[k : k + 16]
-                which, w = np.concatenate([ids[i] for i in part]), np.concatenate([share[i] for i in part])
+                which, w = np.concatenate([ids[i] for i in part]), np.concatenate([share(i) for i in part])
                 at = np.cumsum([0, *(len(ids[i]) for i in part)])
                 x = np.add.reduceat(E[which] * w[:, None], at[:-1])
                 p = self._softmax(x @ W + b)
@@ -80,7 +81,7 @@ class Model:
                 np.add.at(E, which, -step * 16 * w[:, None] * np.repeat(back, np.diff(at), 0))
         table = E @ W
         held = held if len(held) else train
-        z = np.array([table[ids[i]].T @ share[i] + b for i in held])
+        z = np.array([table[ids[i]].T @ share(i) + b for i in held])
         loss = lambda t: -np.log(self._softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
         t = min(np.geomspace(0.05, 20, 60), key=loss)
         self.table, self.bias = table / t, b / t
@@ -122,8 +123,11 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     shares = seen.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(per_language) / F.count(F.lit(1))).alias("__share"))
     shares = materialise(shares, "lang-shares")
     drawn = seen.select("doc_id", "lang", "text").join(joinable(shares, shares.count(), BROADCAST_ROWS), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("__share") * (1 << 30)).select("lang", "text")
-    rows = drawn.mapInArrow(_counts, "lang string, ids array<int>, counts array<int>").collect()
-    return Model([(r["lang"], r["ids"], r["counts"]) for r in rows])
+    rows = drawn.mapInArrow(_counts, "lang string, ids binary, counts binary").collect()
+    model = Model([(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 def _identified(batches, model: Model, keep: list[str], place: int):

@@ -91,3 +91,25 @@ def test_the_driver_collects_its_garbage_every_few_tables(spark, monkeypatch):
     for _ in range(3 * tables.TABLES):
         tables.release(tables.materialise(spark.range(1), "tiny"))
     assert len(done) == 3
+
+
+def test_edit_distances_follow_a_band(monkeypatch):
+    """op2: distances were computed over all columns and rows of the lines, not over the diagonals that the allowed edits can reach."""
+    rng = np.random.default_rng(5)
+    drawn = lambda n, of="abcdefghijklm ": "".join(rng.choice(list(of), n))
+    made, zeros = [], np.zeros
+    with monkeypatch.context() as m:
+        m.setattr(np, "zeros", lambda *a, **b: made.append(a[0]) or zeros(*a, **b))
+        line_dedup._some_edits([drawn(1000) for _ in range(9)], [drawn(1000) for _ in range(9)], np.full(9, 60))
+    assert (1, 9) in made and (16, 9) not in made  # words of 64 rows, pairs
+    xs, ys = [], []
+    for _ in range(300):
+        line = drawn(int(rng.integers(2, 700)))
+        at, n = int(rng.integers(len(line))), int(rng.integers(0, 1 + len(line) // 4))
+        xs.append("a" + line + "b")
+        ys.append("c" + line[:at] + drawn(n, "xyz") + line[at + int(rng.integers(0, n + 1)) :] + "d")
+    exact = np.array([line_dedup.edits(a, b) for a, b in zip(xs, ys, strict=True)])
+    for most in (exact - 1, exact, exact + 40):
+        some = np.flatnonzero(np.abs(np.array([len(a) - len(b) for a, b in zip(xs, ys, strict=True)])) <= most)
+        got = line_dedup._some_edits([xs[i] for i in some], [ys[i] for i in some], most[some])
+        assert (got == (exact <= most)[some]).all()

@@ -17,6 +17,10 @@ WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE = f"[{SPACES}]"
+#: SPACE for patterns that look at every character: one look in a table and one comparison for most of them.
+_WIDE = r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+_ODD_SPACE = rf"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0{_WIDE}]"
+_ANY_SPACE = rf"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0{_WIDE}]"
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 #: The removal patterns.
 URL = r"https?://[a-zA-Z0-9$-_@.&+!*\\(),]+"
@@ -55,7 +59,8 @@ def let(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    return let(text, lambda t: F.when(ends(t).rlike(_ANY_SPACE), F.regexp_replace(t, rf"\A{SPACE}+|{SPACE}+\z", "")).otherwise(t))
 
 
 def normal_unicode(text: str) -> str:
@@ -75,11 +80,24 @@ def repair_unicode(text: Column) -> Column:
     beyond = F.regexp_replace(text, r"[\x00-\x7f]+", " ")  # what is asked for needs no ASCII, so the patterns see a small part of most texts
     odd = let(beyond, lambda b: b.rlike(mojibake.suspicious()) | b.rlike(NOT_PLAIN))
     text = F.coalesce(_normal_unicode(F.when(odd, text)), text)
-    text = F.regexp_replace(text, r"\r\n?|[\x85\x{2028}\x{2029}]", "\n")
-    text = F.translate(text, "‘’‚‛“”„‟", "''''\"\"\"\"")
-    for one, many in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
-        text = F.replace(text, F.lit(one), F.lit(many))
-    return F.regexp_replace(text, r"[\x00-\x08\x0b\x0e-\x1f\x7f\x{FEFF}]", "")
+    return let(text, lambda t: let(F.regexp_replace(t, r"[\x00-\x7f]+", ""), lambda b: _in_order(t, b)))
+
+
+def _in_order(text: Column, beyond: Column) -> Column:
+    """The other steps of repair_unicode; each runs only on texts that have its characters, most of which `beyond`, the text without ASCII, tells."""
+
+    def step(out: Column, has: Column, change) -> Column:
+        return let(out, lambda t: F.when(has, change(t)).otherwise(t))
+
+    def ligatures(t: Column) -> Column:
+        for one, many in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+            t = F.replace(t, F.lit(one), F.lit(many))
+        return t
+
+    out = step(text, text.contains("\r") | beyond.rlike(r"[\x85\x{2028}\x{2029}]"), lambda t: F.regexp_replace(t, r"\r\n?|[\x85\x{2028}\x{2029}]", "\n"))
+    out = step(out, beyond.rlike("[‘’‚‛“”„‟]"), lambda t: F.translate(t, "‘’‚‛“”„‟", "''''\"\"\"\""))
+    out = step(out, beyond.rlike("[ﬀ-ﬆ]"), ligatures)
+    return step(out, text.rlike(r"[\x00-\x08\x0b\x0e-\x1f\x7f]") | beyond.contains("\ufeff"), lambda t: F.regexp_replace(t, r"[\x00-\x08\x0b\x0e-\x1f\x7f\x{FEFF}]", ""))
 
 
 def _at(lines: Column, i: Column) -> Column:
@@ -107,7 +125,7 @@ def repeated_line_abort(text: Column) -> Column:
 
 def remove_headers_footers(text: Column) -> Column:
     """Drops lines equal to a repeated first or last line, page numbers and lines of digits; texts under 3 lines stay."""
-    number = rf"\A(Page {DIGIT}+( of {DIGIT}+)?|{DIGIT}+)\z"
+    number = rf"\A{SPACE}*(Page {DIGIT}+( of {DIGIT}+)?|{DIGIT}+){SPACE}*\z"
 
     def kept(lines: Column) -> Column:
         n = F.size(lines)
@@ -115,19 +133,19 @@ def remove_headers_footers(text: Column) -> Column:
         header = _first_equal(lines, [(F.lit(i), h + i) for i in range(3)])
         footer = _first_equal(lines, [(n - 1 - i, F.when(n - 1 - i - h >= 0, n - 1 - i - h)) for i in range(3)])
         drop = F.struct(F.when(n >= 3, header).alias("header"), F.when(n >= 3, footer).alias("footer"), (n < 3).alias("few"))
-        return let(drop, lambda d: F.filter(lines, lambda x: d["few"] | (~x.eqNullSafe(d["header"]) & ~x.eqNullSafe(d["footer"]) & ~strip(x).rlike(number))))
+        return let(drop, lambda d: F.filter(lines, lambda x: d["few"] | (~x.eqNullSafe(d["header"]) & ~x.eqNullSafe(d["footer"]) & ~x.rlike(number))))
 
     return F.array_join(let(F.split(text, "\n", -1), kept), "\n")
 
 
 def fix_line_breaks(text: Column) -> Column:
     text = F.regexp_replace(text, rf"([.!?]){SPACE}*\n(?=[A-Z])", "$1\n\n")
-    text = F.regexp_replace(text, rf"({WORD})-\n({WORD})", "$1$2")
-    return F.regexp_replace(text, r"(?<=[^.!?])\n(?=[a-z])", " ")
+    text = let(text, lambda t: F.when(t.contains("-\n"), F.regexp_replace(t, rf"({WORD})-\n({WORD})", "$1$2")).otherwise(t))
+    return F.regexp_replace(text, r"\n(?<=[^.!?]\n)(?=[a-z])", " ")  # a pattern that begins with its line feed is tried at few places
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+", " ")
+    return F.regexp_replace(text, f"(?:\x20(?={_ANY_SPACE})|{_ODD_SPACE}){_ANY_SPACE}*", " ")  # single spaces stay as they are
 
 
 def normalise_whitespace(text: Column) -> Column:
@@ -135,7 +153,7 @@ def normalise_whitespace(text: Column) -> Column:
 
 
 def remove_empty_lines(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, LINE_END, -1), lambda x: F.length(strip(x)) > 0), "\n")
+    return F.array_join(F.filter(F.split(text, LINE_END, -1), lambda x: x.rlike(rf"[^{SPACES}]")), "\n")
 
 
 def clean_text(text: Column, options: CleanOptions = CleanOptions()) -> Column:
@@ -156,8 +174,11 @@ def clean_text(text: Column, options: CleanOptions = CleanOptions()) -> Column:
 
 
 def line_count(text: Column) -> Column:
-    body = F.regexp_replace(text, rf"({LINE_END})\z", "")
-    return F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(body, LINE_END, -1))).cast("long")
+    other = r"[\x0b\f\r\x1c\x1d\x1e\x85[\x{2028}\x{2029}]]"
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    ends = F.when(text.rlike(other), F.regexp_count(text, F.lit(LINE_END))).otherwise(feeds)
+    last = F.substring(text, -1, 1).rlike(rf"\n|{other}").cast("int")
+    return F.when(F.length(text) == 0, 0).otherwise(ends + 1 - last).cast("long")
 
 
 def clean_stats(original: Column, cleaned: Column) -> dict[str, Column]:

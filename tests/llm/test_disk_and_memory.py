@@ -113,3 +113,57 @@ def test_edit_distances_follow_a_band(monkeypatch):
         some = np.flatnonzero(np.abs(np.array([len(a) - len(b) for a, b in zip(xs, ys, strict=True)])) <= most)
         got = line_dedup._some_edits([xs[i] for i in some], [ys[i] for i in some], most[some])
         assert (got == (exact <= most)[some]).all()
+
+
+def test_bands_do_not_depend_on_a_line_s_place():
+    """op2: the last line of a slice lost its last run, and so its bands differed from those of the same line elsewhere."""
+    rng = np.random.default_rng(6)
+    n = rng.integers(3, 30, 40)
+    h, brief, last = rng.integers(0, 2**63, n.sum()).astype(np.uint64), rng.random(n.sum()) < 0.3, np.cumsum(n)
+    bands = lambda a, b: [band.tolist() for _, band in line_dedup.shingle_bands(h[a:b], brief[a:b], np.array([0]), np.array([b - a]))]
+    together = list(line_dedup.shingle_bands(h, brief, last - n, last))
+    for i, (a, b) in enumerate(zip(last - n, last, strict=True)):
+        mine = [band[at == i].tolist() for at, band in together]
+        own, long = bands(a, b), [(c + d) for c, d in line_dedup.SPANS]
+        assert own == [x for x in mine if x] and max(long) == 5
+        tail = list(line_dedup.shingle_bands(h[a - 1 : b] if a else h[a:b], brief[a - 1 : b] if a else brief[a:b], np.array([a and 1]), np.array([b - a + (a and 1)])))
+        assert own == [x.tolist() for _, x in tail]
+        k = line_dedup.RUNS - 1
+        runs, few = line_dedup._triples(h[a:b], brief[a:b].astype(np.uint64), 1, 1)
+        assert own[k] == line_dedup.mix(line_dedup._hashed(runs, few, k).min(keepdims=True) + np.uint64(k)).view(np.int64).tolist()
+
+
+def test_bands_of_two_travel_once():
+    """op2: a band of two was two rows that were joined with their lines twice, though the pair with the lead is all there is to compare."""
+    entries = np.array([[5, 1, 200 << 8], [5, 2, 200 << 8], [6, 1, 200 << 8], [6, 2, 200 << 8], [6, 3, 200 << 8], [7, 9, 0]], np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([entries.tobytes()])], names=["bucket", "entries"])
+    rows = [tuple(r.values()) for b in line_dedup._shared([batch], line_dedup._near(0.8, True)) for r in b.to_pylist()]
+    assert sorted(rows, key=str) == sorted([(None, 2, None, 1), (6, 1, 200 << 8, None), (6, 2, 200 << 8, 1), (6, 3, 200 << 8, 1)], key=str)
+
+
+def test_pairs_of_many_blocks_are_compared_together(monkeypatch):
+    """op2: each block was a group of its own, whose few pairs were too few for distances of many pairs at once."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    lines = []
+    for _ in range(60):
+        line = list(rng.choice(words, 40))
+        lines += [" ".join(line), " ".join([*rng.choice(words, int(rng.integers(4, 12))), *line[8:]])]
+    rows, expected = [], set()
+    for block in range(20):
+        some = sorted(rng.choice(len(lines), 12, replace=False).tolist())
+        for k in some:
+            for left in (True, False):
+                rows.append((block, 0, 0, k, 255, k, 0, 0, 0, 0, True, left, [block], lines[k]))
+        expected |= {(i, j) for i in some for j in some if i < j and line_dedup.similar(lines[i], lines[j], 0.8)}
+    names = f"band x y node mark root {line_dedup.BITS} minor_row left bands line".split()
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 7, pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.string()]
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    called, plain = [], line_dedup.all_similar
+    monkeypatch.setattr(line_dedup, "all_similar", lambda *a: called.append(len(a[0])) or plain(*a))
+    near = lambda mark, bits: lambda x, y: (x != y)
+    for size in (len(rows), 7):
+        called.clear()
+        got = [tuple(r.values()) for b in line_dedup._met(table.to_batches(size), near, 0.8, 0) for r in b.to_pylist()]
+        assert {(min(p), max(p)) for p in got} == expected and len(got) >= len(expected) > 5
+        assert size == 7 or len(called) <= 2  # the last block is known to be whole at the end only

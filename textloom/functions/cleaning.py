@@ -182,6 +182,8 @@ def line_count(text: Column) -> Column:
 
 
 def clean_stats(original: Column, cleaned: Column) -> dict[str, Column]:
-    """The six figures; the percentage of an empty original is null."""
+    """The six figures; the percentage of an empty original is null.
+
+    It is rounded as a binary number, as SQL's round does: Spark's with two places takes the shortest decimal form, which at ties may go the other way."""
     a, b = F.length(original).cast("long"), F.length(cleaned).cast("long")
-    return {"original_length": a, "cleaned_length": b, "reduction_percentage": F.when(a > 0, F.round((1 - b / a) * 100, 2)), "removed_characters": a - b, "original_lines": line_count(original), "cleaned_lines": line_count(cleaned)}
+    return {"original_length": a, "cleaned_length": b, "reduction_percentage": F.when(a > 0, F.round((1 - b / a) * 100 * 100) / 100), "removed_characters": a - b, "original_lines": line_count(original), "cleaned_lines": line_count(cleaned)}

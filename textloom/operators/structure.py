@@ -222,7 +222,7 @@ def structure_documents(docs: DataFrame, min_similarity: float = 0.5, max_topics
     try:
         if docs.schema["content"].dataType.simpleString() != "string":
             raise ValueError("content has to be text")
-        docs = docs if "embedding" in docs.columns else fit_embedding(docs, "ix", "content").transform(docs, "ix", "content")
+        docs = docs if "embedding" in docs.columns else fit_embedding(docs, "ix", "content").fitted(docs, "ix")
         docs = materialise(docs, "docs")
         try:
             named, shares = topics(docs, "content", max_topics, node="ix")
